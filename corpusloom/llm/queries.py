@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
+from corpusloom.llm.langid import op10_language_id
 from corpusloom.llm.simhash import op9_simhash_near_dedup
 
-QUERIES = {"op9_simhash_near_dedup": op9_simhash_near_dedup}
+QUERIES = {f.__name__: f for f in (op9_simhash_near_dedup, op10_language_id)}
 ORACLES: dict[str, str] = {}

@@ -64,14 +64,14 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", size:
     return docs.withColumn(out, fingerprint(F.col(text)))
 
 
-def covering_masks(radius: int, bits: int = BITS, first: int = 0) -> list[int]:
-    """2^(radius+1)-1 masks over the bits first to first+bits-1.
+def covering_masks(radius: int) -> list[int]:
+    """2^(radius+1)-1 masks over the bits of a fingerprint.
 
     Bit i has a nonzero vector m(i) of radius+1 bits; mask v compares the bits where v and m(i) have an odd
     product. radius vectors never span all radius+1 dimensions, so for any radius bits some v leaves all out.
     """
-    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
-    return [sum(1 << (first + i) for i, m in enumerate(vectors) if (v & m).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
+    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(BITS)]
+    return [sum(1 << i for i, m in enumerate(vectors) if (v & m).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
 def _signed(x: int) -> int:
@@ -152,15 +152,12 @@ def _midpoint_links(hot: DataFrame, masks: list[int], radius: int) -> DataFrame:
     return link.select(F.least("a", "x.f").alias("a"), F.greatest("a", "x.f").alias("b")).distinct()
 
 
-def links_within(fps: DataFrame, radius: int, parts: int = 1, fp: str = "fp") -> DataFrame:
+def links_within(fps: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
     """Links (a, b) between different fingerprints that join all those within radius bits.
 
-    parts > 1 divides the bits: two fingerprints within radius bits are within radius // parts bits in
-    some part, so each part is covered for that radius with fewer tables. Pairs are verified over all bits.
-    Duplicate and null fingerprints do not matter; no fingerprints, no links.
+    Pairs are verified over all bits. Duplicate and null fingerprints do not matter; no fingerprints, no links.
     """
-    spark, width = fps.sparkSession, BITS // parts
-    masks = [m for p in range(parts) for m in covering_masks(radius // parts, width, p * width)]
+    spark, masks = fps.sparkSession, covering_masks(radius)
     f = fps.select(F.col(fp).alias("f")).where("f is not null").distinct()
     tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("f").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     rows = f.select("f", F.explode(tables).alias("b")).select("b.t", "b.key", "f")
