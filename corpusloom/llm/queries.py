@@ -3,8 +3,9 @@
 from corpusloom.llm import warc
 from corpusloom.llm.langid import op10_language_id
 from corpusloom.llm.packing import op7_best_fit_packing
+from corpusloom.llm.sharding import op3_sharding
 from corpusloom.llm.simhash import op9_simhash_near_dedup
 from corpusloom.llm.warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op2_warc, op7_best_fit_packing, op9_simhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_sharding, op7_best_fit_packing, op9_simhash_near_dedup, op10_language_id)}
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}
