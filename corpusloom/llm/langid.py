@@ -77,24 +77,30 @@ class Svm:
     slope: float
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 25, c: float = 1.0) -> Svm:
-    """Dual coordinate descent for the L1-loss linear SVM; y is 1 or -1. Deterministic."""
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def fit_svm(x: list[Vector], y: np.ndarray, rounds: int = 25, c: float = 1.0) -> Svm:
+    """Dual coordinate descent for the L1-loss linear SVM over sparse vectors; y is 1 or -1. Deterministic."""
     rng, n = np.random.default_rng(0), len(y)
-    scale = 1 / max(np.sqrt((x * x).sum(1)).mean(), 1e-12)
-    x = np.hstack([x * scale, np.ones((n, 1))]).astype(np.float32)
-    diagonal, alpha, w = (x * x).sum(1), np.zeros(n), np.zeros(x.shape[1], np.float32)
+    squares = np.array([float(v @ v) for _, v in x])
+    scale = 1 / max(float(np.sqrt(squares).mean()), 1e-12)
+    diagonal, alpha, w, bias = squares * scale * scale + 1, np.zeros(n), np.zeros(DIMENSIONS), 0.0
     bound = np.where(y > 0, c * n / (2 * max((y > 0).sum(), 1)), c * n / (2 * max((y < 0).sum(), 1)))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(n):
-            step = min(max(alpha[i] - (y[i] * float(w @ x[i]) - 1) / diagonal[i], 0), bound[i]) - alpha[i]
+            at, v = x[i]
+            margin = y[i] * (float(w[at] @ v) * scale + bias)
+            step = min(max(alpha[i] - (margin - 1) / diagonal[i], 0), bound[i]) - alpha[i]
             if step:
                 alpha[i] += step
-                w += np.float32(step * y[i]) * x[i]
+                w[at] += (step * y[i] * scale) * v
+                bias += step * y[i]
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    return Svm(w[:-1].astype(np.float64) * scale, float(w[-1]), 2.0)
+    return Svm(w * scale, float(bias), 2.0)
 
 
 @dataclass
@@ -141,11 +147,10 @@ def _vote(n: int, pairs: list[tuple[int, int, Svm]], margins: list[float]) -> tu
     return best, float(share[best] / (n - 1))
 
 
-def fit(sample: list[tuple[np.ndarray, str]]) -> Model:
+def fit(sample: list[tuple[Vector, str]]) -> Model:
     """A model of the languages in the sample; of an empty sample a model without any."""
     langs = sorted({lang for _, lang in sample})
     families = sorted({family_of(x) for x in langs})
-    x = np.array([v for v, _ in sample]) if sample else np.zeros((0, DIMENSIONS))
     labels = np.array([lang for _, lang in sample], object)
     of = np.array([family_of(lang) for lang in labels], object)
 
@@ -153,7 +158,7 @@ def fit(sample: list[tuple[np.ndarray, str]]) -> Model:
         out = []
         for i, j in combinations(range(len(names)), 2):
             rows = np.flatnonzero((by == names[i]) | (by == names[j]))
-            out.append((i, j, fit_svm(x[rows], np.where(by[rows] == names[i], 1, -1))))
+            out.append((i, j, fit_svm([sample[r][0] for r in rows], np.where(by[rows] == names[i], 1, -1))))
         return out
 
     languages = {f: [x for x in langs if family_of(x) == f] for f in families}
@@ -165,10 +170,9 @@ def _packed(counts: np.ndarray) -> bytes:
     return at.astype(np.uint16).tobytes() + counts[at].astype(np.float32).tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    n, out = len(data) // 6, np.zeros(DIMENSIONS)
-    out[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float32, n, 2 * n)
-    return out
+def _unpacked(data: bytes) -> Vector:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint16, n).astype(np.int64), np.frombuffer(data, np.float32, n, 2 * n).astype(np.float64)
 
 
 def train(labelled: DataFrame, key: Column, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
