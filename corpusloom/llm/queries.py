@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from corpusloom.llm import warc
+from corpusloom.llm import ann, warc
+from corpusloom.llm.ann import op8_nearest_neighbours
+from corpusloom.llm.bytebpe import op6_byte_bpe
 from corpusloom.llm.langid import op10_language_id
 from corpusloom.llm.packing import op7_best_fit_packing
 from corpusloom.llm.sharding import op3_sharding
 from corpusloom.llm.simhash import op9_simhash_near_dedup
 from corpusloom.llm.warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_sharding, op7_best_fit_packing, op9_simhash_near_dedup, op10_language_id)}
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_sharding, op6_byte_bpe, op7_best_fit_packing, op8_nearest_neighbours, op9_simhash_near_dedup, op10_language_id)}
+ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op8_nearest_neighbours": ann.ORACLE}
