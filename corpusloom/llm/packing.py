@@ -20,7 +20,9 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 4096
 END = 1
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Marks that part from a letter before them.
+MARKS = ".,;:!?"
 #: Long texts are tokenised in pieces of about so many code points, cut at white space.
 PIECE = 1 << 20
 
@@ -38,7 +40,12 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
+        #: The marks that may follow a word stay known.
+        self.first = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
+        self.known: dict[str, bytes] = dict(self.first)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -51,18 +58,44 @@ class _Words:
 
     def _ids(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        new = [w for w in set(parts) if w not in self.known]
+        new = set(parts).difference(self.known)
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(parts))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            if len(self.known) + 2 * len(new) > REMEMBERED:
+                self.known = dict(self.first)
+                new = set(parts)
+            self._learn(new)
         out = b"".join(map(self.known.__getitem__, parts))
         if len(new) > REMEMBERED // 4:
-            self.known.clear()
+            self.known = dict(self.first)
         return out
 
+    def _learn(self, words: set[str]) -> None:
+        """A word of letters only, also before a mark, is one word to the tokenizer, and ends with a token that ends words.
+
+        So many of them can be encoded at once and told apart again; all others are encoded one by one.
+        """
+        known = self.known
+        marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha()]
+        stems = {w for w in words if w.isalpha()}
+        stems.update(w[:-1] for w in marked)
+        stems.difference_update(known)
+        rest = words.difference(marked, stems, known)
+        listed = list(stems)
+        ids = np.array(self.tokenizer.encode(" ".join(listed), add_special_tokens=False).ids, "<u4") if listed else np.zeros(0, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(listed):
+            data, at = ids.tobytes(), 0
+            for w, stop in zip(listed, (4 * stops).tolist()):
+                known[w] = data[at:stop]
+                at = stop
+        else:
+            rest.update(listed)
+        rest = list(rest)
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
 
 @lru_cache(1)
 def _words(path: str) -> _Words:
