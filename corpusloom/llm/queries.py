@@ -5,11 +5,12 @@ from corpusloom.llm.ann import op8_nearest_neighbours
 from corpusloom.llm.bytebpe import op6_byte_bpe
 from corpusloom.llm.langid import op10_language_id
 from corpusloom.llm.packing import op7_best_fit_packing
+from corpusloom.llm.pii import op4_pii
 from corpusloom.llm.sharding import op3_sharding
 from corpusloom.llm.simhash import op9_simhash_near_dedup
 from corpusloom.llm.spotsigs import op5_spotsigs
 from corpusloom.llm.tokencount import op1_token_counts
 from corpusloom.llm.warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sharding, op5_spotsigs, op6_byte_bpe, op7_best_fit_packing, op8_nearest_neighbours, op9_simhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sharding, op4_pii, op5_spotsigs, op6_byte_bpe, op7_best_fit_packing, op8_nearest_neighbours, op9_simhash_near_dedup, op10_language_id)}
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op8_nearest_neighbours": ann.ORACLE}
