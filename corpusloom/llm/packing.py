@@ -78,8 +78,8 @@ class _Words:
         marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha()]
         stems = {w for w in words if w.isalpha()}
         stems.update(w[:-1] for w in marked)
-        stems.difference_update(known)
-        rest = words.difference(marked, stems, known)
+        stems = {w for w in stems if w not in known}
+        rest = words.difference(marked).difference(stems)
         listed = list(stems)
         ids = np.array(self.tokenizer.encode(" ".join(listed), add_special_tokens=False).ids, "<u4") if listed else np.zeros(0, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
@@ -90,7 +90,7 @@ class _Words:
                 at = stop
         else:
             rest.update(listed)
-        rest = list(rest)
+        rest = [w for w in rest if w not in known]
         for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
             known[w] = np.array(e.ids, "<u4").tobytes()
         for w in marked:
