@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
+import corpus_pipeline
 from corpusloom.llm import ann, warc
 from corpusloom.llm.ann import op8_nearest_neighbours
 from corpusloom.llm.bytebpe import op6_byte_bpe
@@ -12,5 +13,5 @@ from corpusloom.llm.spotsigs import op5_spotsigs
 from corpusloom.llm.tokencount import op1_token_counts
 from corpusloom.llm.warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sharding, op4_pii, op5_spotsigs, op6_byte_bpe, op7_best_fit_packing, op8_nearest_neighbours, op9_simhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sharding, op4_pii, op5_spotsigs, op6_byte_bpe, op7_best_fit_packing, op8_nearest_neighbours, op9_simhash_near_dedup, op10_language_id)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op8_nearest_neighbours": ann.ORACLE}

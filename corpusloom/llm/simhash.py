@@ -14,10 +14,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import partitions, table, written
+from corpusloom.llm.common import fresh, partitions, positioned, table, written
 from corpusloom.llm.graph import connected_components
 
 BITS = 64
@@ -27,6 +27,11 @@ BUCKET_ROWS = 16_384
 ALL_LINKS = 64
 #: Keys of large buckets are broadcast up to so many; beyond that they are joined by a shuffle.
 BROADCAST_KEYS = 50_000
+#: Rows that go are broadcast up to so many; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Near duplicates share 0.8 of their shingles of so many words; of such pairs nearly all are within WORD_RADIUS bits.
+SHINGLE = 5
+WORD_RADIUS = 6
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,25 +46,35 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
     return [b" ".join(w) for w in zip(*(words[i:] for i in range(size)))]
 
 
-def simhash(text: str | None, size: int = 4, seed: int = 42) -> int:
-    """Bit i is set if it is set in over half the shingles' XXH64; no words: 0."""
-    words = words_of(text)
-    total, counts = max(len(words) - size + 1, 1), np.zeros(BITS, np.int64)
-    if not words:
-        return 0
-    for at in range(0, total, 8192):  # bounds the memory that a very long text takes
-        part = shingles(words[at : at + 8192 + size - 1] if total > 1 else words, size)
+def _majority(features: Iterator[list[bytes]], seed: int) -> int:
+    """Bit i is set if it is set in over half the features' XXH64; no features: 0."""
+    counts, total = np.zeros(BITS, np.int64), 0
+    for part in features:
         h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in part), np.uint64, len(part))
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += len(part)
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", size: int = 4) -> DataFrame:
-    """docs and the SimHash of each whole text as a signed long; null and wordless texts have 0."""
+def simhash(text: str | None, size: int = 4, seed: int = 42) -> int:
+    """Of all shingles, repeats included, 8192 at a time, so that a very long text needs little memory for them."""
+    words = words_of(text)
+    last = max(len(words) - size + 1, 1)
+    return _majority((shingles(words[at : min(at + 8192, last) + size - 1], size) for at in range(0, last, 8192)), seed)
+
+
+def simhash_of_words(text: str | None, seed: int = 42) -> int:
+    """Of the different words. It moves far less under small edits than that of shingles."""
+    words = list(set(words_of(text)))
+    return _majority((words[at : at + 8192] for at in range(0, len(words), 8192)), seed)
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", size: int | None = 4) -> DataFrame:
+    """docs and the SimHash of each whole text as a signed long, of shingles or (no size) of words; null and wordless texts have 0."""
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(t, size) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([simhash(t, size) if size else simhash_of_words(t) for t in texts], np.uint64).view(np.int64))
 
     return docs.withColumn(out, fingerprint(F.col(text)))
 
@@ -189,6 +204,85 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, doc_id: str
     return fp.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _shingle_set(texts: pd.Series) -> pd.Series:
+    def one(t: str | None) -> np.ndarray:
+        words, found = words_of(t), []
+        for at in range(0, max(len(words) - SHINGLE + 1, 1), 8192):
+            part = shingles(words[at : at + 8192 + SHINGLE - 1], SHINGLE) if len(words) > SHINGLE else shingles(words, SHINGLE)
+            found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), np.uint64, len(part))))
+        return np.unique(np.concatenate(found)).view(np.int64)
+
+    return pd.Series([one(t) for t in texts])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs (a, b) with whether the Jaccard index of their shingle sets is at least `least`; two empty sets are equal.
+
+    b is joined first: the hub of a star stands in a, and adaptive execution can split that last join.
+    """
+    sa, sb = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - shared
+    return pairs.join(sb, "b").join(sa, "a").select("a", "b", ((union == 0) | (shared >= F.lit(least) * union - F.lit(1e-9))).alias("similar"))
+
+
+def deduplicate(docs: DataFrame, radius: int = WORD_RADIUS, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near duplicates: of each group the row with the least doc_id stays, with all its columns.
+
+    Candidates are equal texts and texts whose SimHash of different words differs in at most radius bits;
+    a link between different texts also needs a Jaccard index of their 5-word shingles of at least
+    `similarity`. Groups are what links join. A null text is empty; a null doc_id never comes before one that
+    is not null; of rows that repeat in doc_id and text one stays.
+    """
+    key, = fresh(docs, "_key")
+    held = F.coalesce(F.col(text), F.lit(""))
+    rows = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.md5(held).alias("key"), held.alias("t")), "t", "fp", None)
+    rows = written(rows.select("doc_id", "key", "fp"), "rows")
+    nodes = rows.groupBy("key", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    nodes = written(positioned(nodes, [F.col("fp"), F.col("key")], "node"), "nodes")
+    classes = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "classes")
+    between = links_within(classes, radius)
+    ca, cb = classes.select(F.col("fp").alias("a"), F.col("node").alias("na")), classes.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
+    between = between.join(ca, "a").join(cb, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+    first = classes.select("fp", F.col("node").alias("a"))
+    within = nodes.join(first, "fp").where("node != a").select("a", F.col("node").alias("b"))
+    pairs = written(between.unionByName(within), "pairs")
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(nodes.join(linked, "node", "left_semi").select("node", "key", "least"), "wanted")
+    texts = docs.select(F.col(doc_id).alias("least"), F.md5(held).alias("key"), held.alias("t"))
+    same = F.col("w.key") == F.col("x.key")
+    of = texts.alias("x").join(wanted.alias("w"), same & F.col("x.least").eqNullSafe(F.col("w.least")))
+    sets = written(of.select("node", "t").dropDuplicates(["node"]).select("node", F.pandas_udf(_shingle_set, "array<long>")("t").alias("shingles")), "shingles")
+    judged = written(_similar(pairs, sets, similarity), "judged")
+    links = judged.where("similar").select("a", "b")
+    # Texts of one fingerprint that are unlike its first text are compared with the first of the rest, and so on.
+    rest = written(judged.where("not similar").join(within, ["a", "b"], "left_semi").select(F.col("b").alias("node")), "rest")
+    while not rest.isEmpty():
+        left = nodes.join(rest, "node", "left_semi").select("fp", "node")
+        stars = left.join(left.groupBy("fp").agg(F.min("node").alias("a")), "fp").where("node != a").select("a", F.col("node").alias("b"))
+        again = written(_similar(stars, sets, similarity), "judged")
+        links = links.unionByName(again.where("similar").select("a", "b"))
+        rest = written(again.where("not similar").select(F.col("b").alias("node")), "rest")
+    roots = connected_components(links)
+    group = written(nodes.join(roots, "node", "left").select("key", "node", "least", "n", F.coalesce("root", "node").alias("root")), "groups")
+    order = F.struct(F.col("least").isNull(), "least", "node")
+    best = written(group.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.node").alias("stays")), "best")
+    kept = written(group.join(best, "root").select("key", "least", "n", (F.col("node") == F.col("stays")).alias("kept")), "kept")
+    # Only what goes is listed: rows of texts that go, and of texts that stay the copies with other ids.
+    gone = rows.select("doc_id", "key").join(kept.where("not kept or n > 1"), "key").where(~F.col("kept") | ~F.col("doc_id").eqNullSafe(F.col("least")))
+    gone = written(gone.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "key").distinct(), "gone")
+    repeats = written(rows.groupBy("doc_id", "key").count().where("count > 1").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "key"), "repeats")
+    listed = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    ident, = fresh(docs, "_id")
+    marked = docs.withColumns({ident: F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), key: F.md5(held)})
+    named = lambda t: t.select(F.col("id").alias(ident), F.col("key").alias(key))
+    out = marked.join(listed(named(gone)), [ident, key], "left_anti")
+    if not repeats.isEmpty():
+        twice = listed(named(repeats))
+        out = out.join(twice, [ident, key], "left_anti").unionByName(out.join(twice, [ident, key], "left_semi").dropDuplicates([ident, key]))
+    return out.select(*docs.columns)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents over 4-word shingles, linked at 4 or fewer differing bits."""
     return near_duplicates(table(spark, sf_dir, "documents"), radius=4, size=4)
