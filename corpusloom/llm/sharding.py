@@ -112,8 +112,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
     """
     held = F.coalesce(F.col(text), F.lit(""))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(held) + 1).cast("long").alias("size"), F.crc32(held).alias("text_crc32"), F.md5(held).alias("hub"))
-    nodes = written(positioned(narrow, [F.col("doc_id"), F.col("hub")], "node").withColumn("label", (F.col("node") % shards).cast("int")), "nodes")
+    # Propagation starts from runs of rows in the order of their hubs: balanced, and with most groups whole already.
+    nodes = written(positioned(narrow, [F.col("hub"), F.col("doc_id")], "node"), "nodes")
     total = nodes.count()
+    nodes = nodes.withColumn("label", F.floor(F.col("node") * shards / max(total, 1)).cast("int"))
     groups = written(nodes.groupBy("hub").count().where("count > 1").select("hub"), "groups")
     members = written(nodes.join(groups, "hub", "left_semi").select("node", "hub"), "members")
     linked = written(propagate(nodes.select("node", "label"), members, total, shards), "linked")
