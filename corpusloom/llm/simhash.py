@@ -7,6 +7,7 @@ bits of at least one mask, so no link is lost; every collision is verified on th
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,7 +23,7 @@ from corpusloom.llm.graph import connected_components
 
 BITS = 64
 #: A bucket of up to so many different fingerprints is searched in one task; larger ones go the way of midpoints.
-BUCKET_ROWS = 16_384
+BUCKET_ROWS = 32_768
 #: Of buckets with up to so many fingerprints all links are returned, of larger ones a spanning forest.
 ALL_LINKS = 64
 #: Keys of large buckets are broadcast up to so many; beyond that they are joined by a shuffle.
@@ -84,9 +85,16 @@ def covering_masks(radius: int) -> list[int]:
 
     Bit i has a nonzero vector m(i) of radius+1 bits; mask v compares the bits where v and m(i) have an odd
     product. radius vectors never span all radius+1 dimensions, so for any radius bits some v leaves all out.
+    Which vectors the bits have does not matter for that; they are chosen so that no mask compares few bits.
     """
-    vectors = [1 + i % (2 ** (radius + 1) - 1) for i in range(BITS)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (v & m).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
+    n = 2 ** (radius + 1) - 1
+
+    def masks(vectors: list[int]) -> list[int]:
+        return [sum(1 << i for i, m in enumerate(vectors) if (v & m).bit_count() % 2) for v in range(1, n + 1)]
+
+    if n <= BITS:
+        return masks([1 + i % n for i in range(BITS)])
+    return max((masks(random.Random(seed).sample(range(1, n + 1), BITS)) for seed in range(40)), key=lambda found: min(m.bit_count() for m in found))
 
 
 def _signed(x: int) -> int:
