@@ -63,7 +63,7 @@ def complete(prompts: DataFrame, make: Callable[[], Client], prompt: str = "prom
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = make()
         for texts in batches:
-            yield texts.map(client)
+            yield texts.fillna("").map(client)
 
     said = prompts.withColumn("raw", run(F.col(prompt)))
     return said.withColumns({"payload": T.json_payload(F.col("raw")), "status": T.parse_status(F.col("raw"))})
