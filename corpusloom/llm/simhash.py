@@ -8,6 +8,7 @@ bits of at least one mask, so no link is lost; every collision is verified on th
 from __future__ import annotations
 
 import random
+from collections import deque
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,7 +26,9 @@ BITS = 64
 #: A bucket of up to so many different fingerprints is searched in one task; larger ones go the way of midpoints.
 BUCKET_ROWS = 32_768
 #: Of buckets with up to so many fingerprints all links are returned, of larger ones a spanning forest.
-ALL_LINKS = 64
+ALL_LINKS = 8
+#: Parts of each table, for a first count; times the number of masks they bound what is broadcast of them.
+COARSE = 4096
 #: Keys of large buckets are broadcast up to so many; beyond that they are joined by a shuffle.
 BROADCAST_KEYS = 50_000
 #: Rows that go are broadcast up to so many; beyond that they are joined by a shuffle.
@@ -107,21 +110,25 @@ def _bucket_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     if len(x) <= ALL_LINKS:
         i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius, 1))
         return list(zip(fps[i].tolist(), fps[j].tolist()))
-    out, rest = [], np.arange(len(x))
+    # The search begins nearest to the bucket's majority, so that the tables give a dense group much the same edges.
+    counts = sum(np.unpackbits(x[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for at in range(0, len(x), 8192))
+    middle = np.packbits(counts * 2 > len(x), bitorder="little").view(np.uint64)[0]
+    out, rest = [], np.lexsort((x, np.bitwise_count(x ^ middle)))
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        queue, rest = deque([rest[0]]), rest[1:]
         while queue and len(rest):
-            at = queue.pop()
+            at = queue.popleft()
             near = np.bitwise_count(x[rest] ^ x[at]) <= radius
             if near.any():
                 found, rest = rest[near], rest[~near]
                 out += [(int(fps[at]), f) for f in fps[found].tolist()]
-                queue += found.tolist()
+                queue.extend(found.tolist())
     return out
 
 
-def _scan(radius: int):
-    """Over rows sorted by table and key: the links of each run of equal table and key."""
+def _scan(radius: int, masks: list[int]):
+    """Over rows (t, f) sorted by table and key, which is f under the table's mask: the links of each run of equal table and key."""
+    compared = np.array([_signed(m) for m in masks], np.int64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
@@ -144,7 +151,8 @@ def _scan(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = tuple(batch.column(i).to_numpy() for i in range(3))
+            t, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            now = (t, f & compared[t], f)
             t, k, f = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
             last = len(t) - 1 - int(np.argmax(np.r_[((t != t[-1]) | (k != k[-1]))[::-1], True]))
             if last + 1:
@@ -182,16 +190,24 @@ def links_within(fps: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
     """
     spark, masks = fps.sparkSession, covering_masks(radius)
     f = fps.select(F.col(fp).alias("f")).where("f is not null").distinct()
-    tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("f").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    rows = f.select("f", F.explode(tables).alias("b")).select("b.t", "b.key", "f")
-    large = written(rows.groupBy("t", "key").count().where(F.col("count") > BUCKET_ROWS).select("t", "key"), "buckets")
-    known, extra = large.count(), None
-    if known:
-        keys = F.broadcast(large) if known <= BROADCAST_KEYS else large
-        extra = _midpoint_links(rows.join(keys, ["t", "key"], "left_semi"), masks, radius)
-        rows = rows.join(keys, ["t", "key"], "left_anti")
-    rows = rows.repartition(partitions(spark), "t", "key").sortWithinPartitions("t", "key")
-    found = rows.mapInArrow(_scan(radius), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    key = F.col("f").bitwiseAND(F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), F.col("t") + 1))
+    rows = f.select(F.explode(F.array(*[F.lit(t).cast("short") for t in range(len(masks))])).alias("t"), "f")
+    # Large buckets are looked for in COARSE parts of each table first: few rows, and mostly none is crowded.
+    part = F.pmod(F.xxhash64(key), F.lit(COARSE)).cast("short").alias("h")
+    crowded = written(rows.groupBy("t", part).count().where(F.col("count") > BUCKET_ROWS).select("t", "h"), "crowded")
+    extra = None
+    if not crowded.isEmpty():
+        keyed = rows.select("t", "f", key.alias("key"))
+        within = keyed.select("t", "key", F.pmod(F.xxhash64("key"), F.lit(COARSE)).cast("short").alias("h")).join(F.broadcast(crowded), ["t", "h"], "left_semi")
+        large = written(within.groupBy("t", "key").count().where(F.col("count") > BUCKET_ROWS).select("t", "key"), "buckets")
+        known = large.count()
+        if known:
+            keys = F.broadcast(large) if known <= BROADCAST_KEYS else large
+            extra = _midpoint_links(keyed.join(keys, ["t", "key"], "left_semi"), masks, radius)
+            rows = keyed.join(keys, ["t", "key"], "left_anti").select("t", "f")
+    # The key is not shuffled: both sides work it out from f.
+    rows = rows.repartition(partitions(spark), "t", key).sortWithinPartitions("t", key)
+    found = rows.mapInArrow(_scan(radius, masks), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found if extra is None else found.unionByName(extra)
 
 
