@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from corpusloom.llm.common import fresh, partitions, positioned, table, written
 from corpusloom.llm.graph import connected_components
@@ -36,6 +37,11 @@ BROADCAST_ROWS = 100_000
 #: Near duplicates share 0.8 of their shingles of so many words; of such pairs nearly all are within WORD_RADIUS bits.
 SHINGLE = 5
 WORD_RADIUS = 6
+#: Buckets of one prefix shingle with up to so many texts give their pairs; those in larger ones are compared in blocks of BLOCK.
+SMALL = 32
+BLOCK = 512
+#: Shingles that COMMON_TEXTS texts of one in COMMON_SAMPLE have come last in prefixes, COMMON of them at most. This decides the work alone.
+COMMON, COMMON_SAMPLE, COMMON_TEXTS = 200_000, 16, 3
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -228,15 +234,137 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, doc_id: str
     return fp.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """The different shingles' XXH64 as signed longs, sorted as unsigned ones."""
+    found = []
+    for at in range(0, max(len(words) - SHINGLE + 1, 1), 8192):
+        part = shingles(words[at : at + 8192 + SHINGLE - 1], SHINGLE) if len(words) > SHINGLE else shingles(words, SHINGLE)
+        found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), np.uint64, len(part))))
+    return np.unique(np.concatenate(found)).view(np.int64)
+
+
 def _shingle_set(texts: pd.Series) -> pd.Series:
-    def one(t: str | None) -> np.ndarray:
-        words, found = words_of(t), []
-        for at in range(0, max(len(words) - SHINGLE + 1, 1), 8192):
-            part = shingles(words[at : at + 8192 + SHINGLE - 1], SHINGLE) if len(words) > SHINGLE else shingles(words, SHINGLE)
-            found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), np.uint64, len(part))))
-        return np.unique(np.concatenate(found)).view(np.int64)
+    return pd.Series([_shingle_hashes(words_of(t)) for t in texts])
+
+
+def _prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in an order that all texts share: two sets of that similarity have one of these in common.
+
+    common holds frequent shingles in unsigned order; they come last, which decides the work and not the result.
+    No shingle at all has the prefix [0].
+    """
+    if not len(found):
+        return np.zeros(1, np.int64)
+    x, c = found.view(np.uint64), common.view(np.uint64)
+    often = c[np.minimum(np.searchsorted(c, x), len(c) - 1)] == x if len(c) else np.zeros(len(x), bool)
+    return found[np.argsort(often, kind="stable")][: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1]
+
+
+def _common_shingles(held: DataFrame) -> np.ndarray:
+    """Shingles that several texts of a sample by hash have, the most frequent COMMON of them at most."""
+    some = held.where(F.pmod(F.xxhash64("key"), F.lit(COMMON_SAMPLE)) == 0).dropDuplicates(["key"])
+    each = some.select(F.explode(F.pandas_udf(_shingle_set, "array<long>")("t")).alias("s")).groupBy("s").count().where(F.col("count") >= COMMON_TEXTS)
+    rows = each.orderBy(F.desc("count"), "s").limit(COMMON).select("s").toPandas()["s"].to_numpy(np.int64)
+    return np.unique(rows.view(np.uint64)).view(np.int64)
+
 
-    return pd.Series([one(t) for t in texts])
+def _met(radius: int, similarity: float, small: int):
+    """Over rows (s, node, fp, n) sorted by s: pairs (a, b) of small buckets that may be similar, and of large ones a star that holds their nodes together."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+
+        def out(s: np.ndarray, node: np.ndarray, fp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size, found = np.diff(np.r_[cut, len(s)]), []
+            for m in np.unique(size[(size > 1) & (size <= small)]).tolist():
+                i, j = np.triu_indices(m, 1)
+                of = cut[size == m]
+                for at in range(0, len(of), max(1, 2_000_000 // len(i))):
+                    part = of[at : at + max(1, 2_000_000 // len(i)), None]
+                    x, y = (part + i).ravel(), (part + j).ravel()
+                    near = np.bitwise_count(fp[x].view(np.uint64) ^ fp[y].view(np.uint64)) <= radius
+                    near &= np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6
+                    x, y = node[x[near]], node[y[near]]
+                    found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], ["a", "b", "large"])
+            stars = [np.stack([np.full(m, node[at : at + m].min()), node[at : at + m]], 1) for at, m in zip(cut[size > small].tolist(), size[size > small].tolist())]
+            if stars:
+                star = np.unique(np.concatenate(stars), axis=0)
+                yield pa.record_batch([pa.array(star[:, 0]), pa.array(star[:, 1]), pa.array(np.ones(len(star), bool))], ["a", "b", "large"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = tuple(batch.column(c).to_numpy() for c in range(4))
+            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+            if len(held[0]) >= 500_000:
+                last = len(held[0]) - 1 - int(np.argmax(np.r_[(held[0] != held[0][-1])[::-1], True]))
+                if last + 1:
+                    yield from out(*(x[: last + 1] for x in held))
+                held = tuple(x[last + 1 :] for x in held)
+        if held is not None:
+            yield from out(*held)
+
+    return scan
+
+
+def _block_links(radius: int, similarity: float):
+    """Of the nodes of two blocks (node, fp, shingles) a forest of all links between them, each compared exactly."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        lists = t.column("shingles").combine_chunks()
+        n, values = np.array([len(x) for x in lists], np.int64), lists.flatten().to_numpy()
+        _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(n)), n), np.zeros((len(n), len(n)), np.float32)
+        # A shingle of one text adds to no pair; the others are counted so many columns at a time.
+        number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+        order = np.argsort(number, kind="stable")
+        number, row = number[order], row[order]
+        for at in range(0, int(number.max(initial=-1)) + 1, 4096):
+            lo, hi = np.searchsorted(number, [at, at + 4096])
+            part = np.zeros((len(n), 4096), np.float32)
+            part[row[lo:hi], number[lo:hi] - at] = 1
+            shared += part @ part.T
+        union = n[:, None] + n[None, :] - shared
+        near = (union == 0) | (shared >= similarity * union - 1e-9)
+        near &= np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+        links, rest = [], np.ones(len(n), bool)
+        for first in range(len(n)):
+            queue = deque([first] if rest[first] else [])
+            rest[first] = False
+            while queue:
+                x = queue.popleft()
+                found = np.flatnonzero(near[x] & rest)
+                rest[found] = False
+                links += [(node[x], node[y]) for y in found]
+                queue.extend(found.tolist())
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _links_of_large(stars: DataFrame, nodes: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links among the texts that large buckets hold together, compared block by block within each such group.
+
+    Blocks are by number of shingles, so that blocks too far apart for the similarity never meet. A group's links
+    come as one forest for each two blocks; every pair of texts is compared.
+    """
+    groups = connected_components(stars)
+    held = groups.join(nodes.select("node", "fp", "n_shingles"), "node").select("root", "node", "fp", "n_shingles")
+    held = written(positioned(held, [F.col("root"), F.col("n_shingles"), F.col("node")], "pos"), "members")
+    held = held.join(held.groupBy("root").agg(F.min("pos").alias("first")), "root").withColumn("block", F.floor((F.col("pos") - F.col("first")) / BLOCK).cast("int"))
+    held = written(held.select("root", "node", "fp", "n_shingles", "block"), "blocks")
+    spans = held.groupBy("root", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    i, j = spans.select("root", F.col("block").alias("i"), F.col("hi").alias("most")), spans.select("root", F.col("block").alias("j"), F.col("lo").alias("least"))
+    met = i.join(j, "root").where((F.col("i") <= F.col("j")) & (F.col("most") >= F.lit(similarity) * F.col("least") - 1e-6)).select("root", "i", "j")
+    sides = met.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    each = sides.join(held.select("root", "block", "node", "fp"), ["root", "block"]).join(sets, "node").select("root", "i", "j", "node", "fp", "shingles")
+    return each.groupBy("root", "i", "j").applyInArrow(_block_links(radius, similarity), "a long, b long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -250,43 +378,51 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", ((union == 0) | (shared >= F.lit(least) * union - F.lit(1e-9))).alias("similar"))
 
 
+def _fingerprints(similarity: float, common: np.ndarray):
+    """Over rows (doc_id, key, t): doc_id, key, SimHash of the different words, number of shingles and prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            found = [_shingle_hashes(words_of(t)) for t in texts]
+            fp = pa.array(np.array([simhash_of_words(t) for t in texts], np.uint64).view(np.int64))
+            sizes, prefixes = pa.array([len(x) for x in found], pa.int32()), pa.array([_prefix(x, common, similarity) for x in found], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), fp, sizes, prefixes], ["doc_id", "key", "fp", "n_shingles", "prefix"])
+
+    return run
+
+
 def deduplicate(docs: DataFrame, radius: int = WORD_RADIUS, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near duplicates: of each group the row with the least doc_id stays, with all its columns.
 
-    Candidates are equal texts and texts whose SimHash of different words differs in at most radius bits;
-    a link between different texts also needs a Jaccard index of their 5-word shingles of at least
-    `similarity`. Groups are what links join. A null text is empty; a null doc_id never comes before one that
+    Links are equal texts, and texts whose SimHash of different words differs in at most radius bits and whose
+    5-word shingles have a Jaccard index of at least `similarity` (above 0). All such links count: their texts
+    share a shingle of their prefixes. Small buckets of a shingle give pairs, large ones are compared in blocks.
+    Groups are what links join. A null text is empty; a null doc_id never comes before one that
     is not null; of rows that repeat in doc_id and text one stays.
     """
     key, = fresh(docs, "_key")
     held = F.coalesce(F.col(text), F.lit(""))
-    rows = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.md5(held).alias("key"), held.alias("t")), "t", "fp", None)
-    rows = written(rows.select("doc_id", "key", "fp"), "rows")
-    nodes = rows.groupBy("key", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    nodes = written(positioned(nodes, [F.col("fp"), F.col("key")], "node"), "nodes")
-    classes = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "classes")
-    between = links_within(classes, radius)
-    ca, cb = classes.select(F.col("fp").alias("a"), F.col("node").alias("na")), classes.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
-    between = between.join(ca, "a").join(cb, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-    first = classes.select("fp", F.col("node").alias("a"))
-    within = nodes.join(first, "fp").where("node != a").select("a", F.col("node").alias("b"))
-    pairs = written(between.unionByName(within), "pairs")
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.md5(held).alias("key"), held.alias("t"))
+    rows = texts.select("doc_id", "key")
+    schema = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *_parse_datatype_string("key string, fp long, n_shingles int, prefix array<long>").fields])
+    told = texts.mapInArrow(_fingerprints(similarity, _common_shingles(texts)), schema)
+    nodes = told.groupBy("key", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
+    # A node is the first 64 bits of its text's MD5.
+    half = lambda at: F.conv(F.substring("key", at, 8), 16, 10).cast("long")
+    nodes = written(nodes.withColumn("node", F.shiftleft(half(1), 32).bitwiseOR(half(9))), "nodes")
+    met = nodes.select(F.explode("prefix").alias("s"), "node", "fp", "n_shingles").repartition(partitions(docs.sparkSession), "s").sortWithinPartitions("s")
+    met = written(met.mapInArrow(_met(radius, similarity, SMALL), "a long, b long, large boolean"), "met")
+    pairs = written(met.where("not large").select("a", "b").distinct(), "pairs")
+    stars = written(met.where("large").select("a", "b").distinct(), "stars")
+    linked = pairs.unionByName(stars).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(nodes.join(linked, "node", "left_semi").select("node", "key", "least"), "wanted")
-    texts = docs.select(F.col(doc_id).alias("least"), F.md5(held).alias("key"), held.alias("t"))
     same = F.col("w.key") == F.col("x.key")
-    of = texts.alias("x").join(wanted.alias("w"), same & F.col("x.least").eqNullSafe(F.col("w.least")))
+    of = texts.withColumnRenamed("doc_id", "least").alias("x").join(wanted.alias("w"), same & F.col("x.least").eqNullSafe(F.col("w.least")))
     sets = written(of.select("node", "t").dropDuplicates(["node"]).select("node", F.pandas_udf(_shingle_set, "array<long>")("t").alias("shingles")), "shingles")
-    judged = written(_similar(pairs, sets, similarity), "judged")
-    links = judged.where("similar").select("a", "b")
-    # Texts of one fingerprint that are unlike its first text are compared with the first of the rest, and so on.
-    rest = written(judged.where("not similar").join(within, ["a", "b"], "left_semi").select(F.col("b").alias("node")), "rest")
-    while not rest.isEmpty():
-        left = nodes.join(rest, "node", "left_semi").select("fp", "node")
-        stars = left.join(left.groupBy("fp").agg(F.min("node").alias("a")), "fp").where("node != a").select("a", F.col("node").alias("b"))
-        again = written(_similar(stars, sets, similarity), "judged")
-        links = links.unionByName(again.where("similar").select("a", "b"))
-        rest = written(again.where("not similar").select(F.col("b").alias("node")), "rest")
+    links = written(_similar(pairs, sets, similarity).where("similar").select("a", "b"), "judged")
+    if not stars.isEmpty():
+        links = links.unionByName(written(_links_of_large(stars, nodes, sets, radius, similarity), "large"))
     roots = connected_components(links)
     group = written(nodes.join(roots, "node", "left").select("key", "node", "least", "n", F.coalesce("root", "node").alias("root")), "groups")
     order = F.struct(F.col("least").isNull(), "least", "node")
