@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from corpusloom.llm import simhash
 
 
@@ -40,3 +42,16 @@ def test_every_text_of_a_value_meets_other_values(spark):
         other = rng.sample(words, len(words))
         given += [" ".join(words), " ".join(other), " ".join([*other[:-1], word(rng)]), " ".join([*words[:-1], word(rng)])]
     assert kept(spark, given) == left(given, simhash.WORD_RADIUS)
+
+
+@pytest.mark.parametrize(("small", "block"), [(32, 512), (2, 5)])
+def test_dense_groups_with_unlike_hubs(spark, monkeypatch, small, block):
+    monkeypatch.setattr(simhash, "SMALL", small, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng, given = random.Random(4), []
+    words = [word(rng) for _ in range(200)]
+    for _ in range(12):
+        order = rng.sample(words, len(words))
+        for at in (0, 60, 120):
+            given.append(" ".join([*order[:at], word(rng), *order[at + 1 :]]))
+    assert kept(spark, given) == left(given, simhash.WORD_RADIUS)
