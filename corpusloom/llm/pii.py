@@ -1,9 +1,9 @@
 """Personal data, and terms that disclose it, found and sanitised by corpus co-occurrence.
 
 Base spans (email, ip, card, phone) are found by patterns. Each different value is a protected entity.
-How strongly a term reveals an entity is their pointwise mutual information over the corpus, against the
-entity's information content: a term that stands near the entity in enough texts and exceeds the disclosure
-thresholds is generalised or removed there. Everything runs as DataFrame functions.
+How strongly a term reveals an entity is their pointwise mutual information over the documents of the corpus,
+against the entity's information content: a term that exceeds the disclosure thresholds is generalised or removed
+wherever it stands in a text that holds the entity. Everything runs as DataFrame functions.
 """
 
 from __future__ import annotations
@@ -24,18 +24,16 @@ PATTERNS = {
 }
 #: What a text must hold for a match that counts: a character, or a shorter pattern. Other texts are not searched.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}", "phone": "+"}
-#: Code points on either side of an entity in which terms count as near it.
-WINDOW = 160
-#: A term and an entity must stand near each other in so many different texts.
-SUPPORT = 3
+#: Of n documents with both, n / (n + DISCOUNT) count: what few documents share may be chance, however rare it is.
+DISCOUNT = 1
 #: A term that reveals this share of an entity's information is generalised; from REMOVE on it is removed.
 DISCLOSE, REMOVE = 0.8, 0.98
-#: A term is of this many letters at least.
-TERM = r"\p{L}{4,}"
+#: A term is a whole run of letters, of this many at least.
+TERM = r"(?<!\p{L})\p{L}{3,}+"
 _OPEN, _SHUT = "\ue000", "\ue001"
 
 
-def _cut(text: Column, pattern: str) -> Column:
+def _cut(text: Column, pattern: str | Column) -> Column:
     """Struct (start, end, value) of each match; places in code points. The marks are replaced in the text first, one for one."""
     parts = F.split(F.regexp_replace(F.translate(text, _OPEN + _SHUT, "\ufffd\ufffd"), pattern, f"{_OPEN}$0{_SHUT}"), f"[{_OPEN}{_SHUT}]", -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
@@ -92,40 +90,44 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _values(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(_values(text), F.lower))
 
 
 def disclosing_terms(texts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(text_key, start, end, share): the terms near entities that disclose them, in every text that holds the entity.
+    """(text_key, start, end, share): the terms that disclose an entity, at all their places in every text that holds it.
 
-    texts has (text_key, text, spans), a row per different text with base spans; corpus has the texts of all
-    documents. The share is PMI(term; entity) / information of the entity, over all documents.
+    texts has (text_key, text, n_docs, spans), a row per different text with base spans; corpus has the texts of all
+    documents. The share is PMI(term; entity) / information of the entity, over all documents, with the documents
+    that have both discounted. Every entity counts, and every term of its texts.
     """
-    near = texts.select("text_key", "text", F.explode("spans").alias("s")).select(
-        "text_key", F.lower("s.value").alias("entity"), F.greatest(F.col("s.start") - WINDOW, F.lit(0)).alias("from"), "text", F.col("s.start").alias("s0"), F.col("s.end").alias("s1")
-    )
-    before, after = F.substring(F.col("text"), F.col("from") + 1, F.col("s0") - F.col("from")), F.substring(F.col("text"), F.col("s1") + 1, F.lit(WINDOW))
-    sides = F.array(F.struct(F.col("from").alias("at"), before.alias("side")), F.struct(F.col("s1").alias("at"), after.alias("side")))
-    sides = near.select("text_key", "entity", "from", "s1", F.explode(sides).alias("w")).withColumn("t", F.explode(_cut(F.col("w.side"), TERM))).select("*", "w.at", F.char_length("w.side").alias("n"))
-    # What touches the far edge of a window may be a part of a word and does not count.
-    whole = F.when(F.col("at") == F.col("s1"), (F.col("t.end") < F.col("n")) | (F.col("n") < WINDOW)).otherwise((F.col("t.start") > 0) | (F.col("from") == 0))
-    sides = sides.where(whole)
-    uses = written(sides.select("text_key", "entity", (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"), F.lower("t.value").alias("term")).distinct(), "uses")
-    joint = uses.groupBy("entity", "term").agg(F.count_distinct("text_key").alias("support")).where(F.col("support") >= SUPPORT)
-    joint = written(joint, "joint")
-    if joint.isEmpty():
-        return uses.select("text_key", "start", "end", F.lit(0.0).alias("share")).limit(0)
-    total = corpus.count()
+    total = float(corpus.count())
     df = corpus.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
     own = texts.select("text_key", "n_docs", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
-    of_entity = own.groupBy("entity").agg(F.sum("n_docs").alias("df_entity"))
-    both = uses.select("text_key", "entity", "term").distinct().join(texts.select("text_key", "n_docs"), "text_key").groupBy("entity", "term").agg(F.sum("n_docs").alias("df_both"))
-    known = joint.select("entity", "term").join(both, ["entity", "term"]).join(df, "term").join(of_entity, "entity")
-    information = F.log2(F.lit(float(total)) / F.col("df_entity"))
-    share = F.log2(F.col("df_both") * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity"))) / information
-    flagged = written(known.where(information > 0).withColumn("share", share).where(F.col("share") >= DISCLOSE).select("entity", "term", "share"), "flagged")
-    return uses.join(flagged, ["entity", "term"]).groupBy("text_key", "start", "end").agg(F.max("share").alias("share"))
+    of_entity = own.groupBy("entity").agg(F.sum("n_docs").alias("df_entity")).where(F.col("df_entity") < total)
+    own = written(own.join(of_entity, "entity"), "entities")
+    information = F.log2(F.lit(total) / F.col("df_entity"))
+    least = own.groupBy("text_key").agg(F.min(information).alias("least"))
+    terms = texts.select("text_key", F.explode(_terms(F.col("text"))).alias("term"))
+    # What all entities of a text together cannot make disclosing goes first: PMI is at most the term's own information.
+    rare = terms.join(df, "term").join(least, "text_key").where(F.log2(F.lit(total) / F.col("df_term")) >= DISCLOSE * F.col("least") - 1e-9)
+    rare = written(rare.select("text_key", "term", "df_term"), "rare")
+    both = rare.join(own, "text_key").groupBy("entity", "term", "df_term", "df_entity").agg(F.sum("n_docs").alias("df_both"))
+    counted = F.col("df_both") * F.col("df_both") / (F.col("df_both") + DISCOUNT)
+    share = F.log2(counted * F.lit(total) / (F.col("df_term") * F.col("df_entity"))) / information
+    flagged = written(both.withColumn("share", share).where(F.col("share") >= DISCLOSE).select("entity", "term", "share"), "flagged")
+    found = rare.join(own.select("text_key", "entity"), "text_key").join(flagged, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share"))
+    found = written(found.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "terms")
+    # The words as the text has them are looked for; they are of letters alone, and whole runs.
+    words = F.filter(_values(F.col("text")), lambda w: F.map_contains_key(F.col("shares"), F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
+    places = texts.select("text_key", "text").join(found, "text_key").withColumn("pattern", pattern)
+    places = places.select("text_key", "shares", F.explode(_cut(F.col("text"), F.col("pattern"))).alias("t"))
+    return places.select("text_key", "t.start", "t.end", F.element_at("shares", F.lower("t.value")).alias("share"))
 
 
 def _found(docs: DataFrame, text: str) -> DataFrame:

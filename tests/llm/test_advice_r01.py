@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from corpusloom.llm import simhash
+from corpusloom.llm import pii, simhash
 
 
 def left(given, radius):
@@ -55,3 +55,25 @@ def test_dense_groups_with_unlike_hubs(spark, monkeypatch, small, block):
         for at in (0, 60, 120):
             given.append(" ".join([*order[:at], word(rng), *order[at + 1 :]]))
     assert kept(spark, given) == left(given, simhash.WORD_RADIUS)
+
+
+def test_no_bound_on_bits_gives_the_exact_join(spark):
+    rng, given = random.Random(5), []
+    for _ in range(12):
+        words = [word(rng) for _ in range(60)]
+        given += [" ".join(words), " ".join([*words, *(word(rng) for _ in range(10))])]
+    assert len(left(given, simhash.BITS)) == 12 < len(left(given, simhash.WORD_RADIUS))
+    assert kept(spark, given, radius=simhash.BITS) == left(given, simhash.BITS)
+
+
+def sanitised(spark, given):
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    return {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+
+
+def test_entity_of_one_text_discloses(spark):
+    filler = [f"plain words number {i} stand here with nothing" for i in range(100)]
+    alone, copied = "Ask Zorblax with words via z@q.com here", "Ask Quimby with words via y@q.com here"
+    clean = sanitised(spark, [*filler, alone, *[copied] * 5])
+    assert "Zorblax" not in clean[100] and not any("Quimby" in clean[i] for i in range(101, 106))
+    assert "words" in clean[100] and "words" in clean[105] and [clean[i] for i in range(100)] == filler
