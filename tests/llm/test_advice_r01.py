@@ -77,3 +77,10 @@ def test_entity_of_one_text_discloses(spark):
     clean = sanitised(spark, [*filler, alone, *[copied] * 5])
     assert "Zorblax" not in clean[100] and not any("Quimby" in clean[i] for i in range(101, 106))
     assert "words" in clean[100] and "words" in clean[105] and [clean[i] for i in range(100)] == filler
+
+
+def test_terms_far_from_the_entity_and_short_ones(spark):
+    filler = [f"plain words number {i} stand here with nothing" for i in range(60)]
+    far = " plain words stand here" * 20
+    clean = sanitised(spark, [*filler, *[f"Zorblax and Kim{far} z@q.com{far} by Zorblax number {i}" for i in range(5)]])
+    assert not any("Zorblax" in clean[i] or "Kim" in clean[i] or "words" not in clean[i] for i in range(60, 65))
