@@ -39,7 +39,7 @@ SHINGLE = 5
 WORD_RADIUS = 6
 #: Buckets of one prefix shingle with up to so many texts give their pairs; those in larger ones are compared in blocks of BLOCK.
 SMALL = 32
-BLOCK = 512
+BLOCK = 128
 #: Shingles that COMMON_TEXTS texts of one in COMMON_SAMPLE have come last in prefixes, COMMON of them at most. This decides the work alone.
 COMMON, COMMON_SAMPLE, COMMON_TEXTS = 200_000, 16, 3
 
@@ -280,8 +280,8 @@ def _met(radius: int, similarity: float, small: int):
             for m in np.unique(size[(size > 1) & (size <= small)]).tolist():
                 i, j = np.triu_indices(m, 1)
                 of = cut[size == m]
-                for at in range(0, len(of), max(1, 2_000_000 // len(i))):
-                    part = of[at : at + max(1, 2_000_000 // len(i)), None]
+                for at in range(0, len(of), max(1, 200_000 // len(i))):
+                    part = of[at : at + max(1, 200_000 // len(i)), None]
                     x, y = (part + i).ravel(), (part + j).ravel()
                     near = np.bitwise_count(fp[x].view(np.uint64) ^ fp[y].view(np.uint64)) <= radius
                     near &= np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6
@@ -300,7 +300,7 @@ def _met(radius: int, similarity: float, small: int):
                 continue
             now = tuple(batch.column(c).to_numpy() for c in range(4))
             held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            if len(held[0]) >= 500_000:
+            if len(held[0]) >= 100_000:
                 last = len(held[0]) - 1 - int(np.argmax(np.r_[(held[0] != held[0][-1])[::-1], True]))
                 if last + 1:
                     yield from out(*(x[: last + 1] for x in held))
