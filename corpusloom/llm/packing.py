@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +24,8 @@ END = 1
 REMEMBERED = 700_000
 #: Marks that part from a letter before them.
 MARKS = ".,;:!?"
+#: Letters that stay one letter each when the tokenizer normalises them: Latin, Greek and Cyrillic ones, but for the dotted capital I.
+PLAIN = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u024f\u0370-\u04ff]+")
 #: Long texts are tokenised in pieces of about so many code points, cut at white space.
 PIECE = 1 << 20
 
@@ -30,8 +33,9 @@ PIECE = 1 << 20
 class _Words:
     """Ids of whole texts, word by word.
 
-    The tokenizer drops white space and neither its normaliser nor its words reach across it, so a text's
-    ids are those of its parts between spaces, one after the other.
+    The tokenizer drops white space and neither its normaliser nor its words nor its special strings reach across
+    it, so a text's ids are those of its parts between spaces, one after the other. A special string in a text is
+    the special token, as in the library's own call.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,7 +43,6 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
@@ -70,13 +73,14 @@ class _Words:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        """A word of letters only, also before a mark, is one word to the tokenizer, and ends with a token that ends words.
+        """A word of plain letters, also before a mark, is one word to the tokenizer, and ends with a token that ends words.
 
         So many of them can be encoded at once and told apart again; all others are encoded one by one.
         """
         known = self.known
-        marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha()]
-        stems = {w for w in words if w.isalpha()}
+        plain = lambda w: w.isalpha() and PLAIN.fullmatch(w)
+        marked = [w for w in words if w[-1:] in MARKS and plain(w[:-1])]
+        stems = {w for w in words if plain(w)}
         stems.update(w[:-1] for w in marked)
         stems = {w for w in stems if w not in known}
         rest = words.difference(marked).difference(stems)
@@ -105,7 +109,8 @@ def _words(path: str) -> _Words:
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER, length: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then END, cut only beyond `length`.
 
-    A null text is empty and has one piece of one id. Repeated rows give repeated pieces.
+    A null text is empty and has one piece of one id. Repeated rows give repeated pieces; no rows, no pieces. A very long
+    text is tokenised in parts of about PIECE code points. Columns other than the two named are not read.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]

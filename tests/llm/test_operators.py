@@ -5,9 +5,11 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -115,9 +117,49 @@ def test_sharding(spark, docs, held):
     assert not rows(sharding.shard_documents(empty(docs)))
 
 
+def cut_of(labels, hubs):
+    return sum(labels[a] != labels[b] for m in hubs for a, b in combinations(m, 2))
+
+
+def test_propagation_lessens_the_cut(spark):
+    rng, first, mine, best = random.Random(13), 0, 0, 0
+    for _ in range(4):
+        n = 14
+        near = [(a, b) for a, b in combinations(range(n), 2) if rng.random() < (0.7 if a % 2 == b % 2 else 0.1)]
+        hubs = [*near, tuple(rng.sample(range(0, n, 2), 3)), tuple(rng.sample(range(1, n, 2), 4))]
+        side, log = set(rng.sample(range(n), n // 2)), []
+        start = {i: int(i in side) for i in range(n)}
+        members = spark.createDataFrame([(x, str(h)) for h, m in enumerate(hubs) for x in m], "node long, hub string").coalesce(1)
+        nodes = spark.createDataFrame(list(start.items()), "node long, label int").coalesce(1)
+        end = start | {r["node"]: r["label"] for r in sharding.propagate(nodes, members, n, 2, slack=0, log=log).collect()}
+        assert log[0][0] == cut_of(start, hubs) and all(a[0] > b[0] for a, b in zip(log, log[1:])) and log[-1][0] == cut_of(end, hubs)
+        assert sum(end.values()) == n // 2
+        least = min(cut_of({i: int(i in side) for i in range(n)}, hubs) for side in map(set, combinations(range(n), n // 2)))
+        assert log[-1][0] >= least
+        first, mine, best = first + log[0][0], mine + log[-1][0], best + least
+    assert mine - best <= 0.5 * (first - best)
+
+
+def test_groups_end_whole(spark):
+    pairs = spark.createDataFrame([(i, f"text {i % 150}") for i in range(400)] + [(1000 + i, "hot") for i in range(200)], "doc_id long, text string")
+    log, of = [], {}
+    for r in sharding.shard_documents(pairs, log=log).collect():
+        of.setdefault("hot" if r["doc_id"] >= 1000 else r["doc_id"] % 150, []).append(r["shard"])
+    assert all(a[0] > b[0] for a, b in zip(log, log[1:])) and sum(len(set(v)) > 1 for k, v in of.items() if k != "hot") <= 15
+    assert sum(sorted((of["hot"].count(s) for s in range(8)), reverse=True)[:3]) >= 150
+
+
 def test_quotas_keep_sizes():
     q = sharding.quotas([[0, 9, 0], [4, 0, 0], [7, 0, 0]], [0, 2, 0])
     assert q[0][1] == 6 and q[1][0] == 4 and q[2][0] == 0
+    rng = random.Random(8)
+    assert sharding.circulated([[0, 5, 0], [0, 0, 5], [7, 0, 0]], [0, 0, 0]) == [[0, 5, 0], [0, 0, 5], [5, 0, 0]]
+    for _ in range(50):
+        want = [[rng.randint(0, 20) if a != b else 0 for b in range(5)] for a in range(5)]
+        room = [rng.randint(-3, 6) for _ in range(5)]
+        least, q = sharding.quotas(want, room), sharding.circulated(want, room)
+        assert all(least[a][b] <= q[a][b] <= want[a][b] for a in range(5) for b in range(5) if a != b)
+        assert all(sum(q[a][b] for a in range(5)) - sum(q[b]) <= max(room[b], 0) for b in range(5))
 
 
 def _luhn(d):
@@ -242,16 +284,51 @@ def test_byte_bpe(docs, held):
     assert not rows(bytebpe.digests(empty(docs)))
 
 
-def test_byte_bpe_long_words(monkeypatch):
+def _library(pattern):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bytebpe.read_ranks(bytebpe.VOCABULARY), special_tokens={})
+
+
+def test_byte_bpe_words_match_the_library(monkeypatch):
+    c, e, rng = bytebpe.codec(bytebpe.VOCABULARY, bytebpe.PATTERN), _library("(?s:.+)"), random.Random(1)
+    scripts = [(32, 127), (0xC0, 0x250), (0x370, 0x500), (0x600, 0x700), (0x4E00, 0x9FFF), (0xAC00, 0xD7A0), (0x1F600, 0x1F640)]
+    words = ["".join(chr(rng.randint(*rng.choice(scripts[k % 7 :][:1]))) for _ in range(rng.randint(1, 50))) for k in range(3000)]
+    words += ["abcabcabc" * 90, "-=" * 400, "é" * 300, "thethethe", "x" * 700]
+    want = [",".join(map(str, e.encode_ordinary(w))) for w in words]
+    assert c.encode_words(words) == want and c.decode(want) == [w.encode() for w in words]
+    monkeypatch.setattr(bytebpe, "BYTES_AT_ONCE", 300)
+    assert c.encode_words(words[::9]) == want[::9]
+    with pytest.raises(ValueError, match="vocabulary"):
+        c.decode(["1,60000"])
+
+
+def test_byte_bpe_many_long_words():
+    c, rng = bytebpe.codec(bytebpe.VOCABULARY, bytebpe.PATTERN), random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlucm", k=120)) for _ in range(20_000)]
+    assert c.decode(c.encode_words(words)) == [w.encode() for w in words]
+
+
+def test_byte_bpe_pieces(spark, monkeypatch):
     c = bytebpe.codec(bytebpe.VOCABULARY, bytebpe.PATTERN)
-    words = ["abcabcabc" * 9, "-=" * 40, "é" * 30, "thethethe"]
-    usual = c.encode_words(words)
-    monkeypatch.setattr(bytebpe, "LONG_WORD", 0)
-    assert c.encode_words(words) == usual
-    monkeypatch.setattr(bytebpe, "PIECE", 7)
+    long = " ".join(f"word{i} and  more\n\nof it's," for i in range(60_000))
+    assert len(long) > bytebpe.PIECE
+    e = _library(public_tokenizers.PATTERN)
+    batch = lambda texts: pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    for given in (["a b", long, "", "c"], ["some words  here \n\n and there ", None, "", " "]):
+        got = [r for x in bytebpe._digested(bytebpe.VOCABULARY, bytebpe.PATTERN)(iter([batch(given)])) for r in x.to_pylist()]
+        for r, t in zip(got, given):
+            ids = e.encode_ordinary(t or "")
+            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        monkeypatch.setattr(bytebpe, "PIECE", 7)
     assert [w for p in c.pieces("some words  here \n\n and there ") for w in p] == c.pattern.findall("some words  here \n\n and there ")
 
 
+def test_byte_bpe_after_encode_in_one_worker(spark):
+    df = spark.createDataFrame([(1, "quite new words here"), (1, "quite new words here"), (2, None)], "doc_id long, text string").coalesce(1)
+    assert df.transform(bytebpe.encode).count() == 3 and len(rows(bytebpe.digests(df))) == 3
+
+
 def test_packing(docs, held):
     from tokenizers import Tokenizer
 
@@ -276,6 +353,29 @@ def test_packing(docs, held):
     assert not rows(packing.packed(empty(docs)))
 
 
+def test_packing_ids_are_the_library_s(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(packing.TOKENIZER), random.Random(6)
+    scripts = [(32, 127), (97, 123), (0xC0, 0x250), (0x300, 0x370), (0x370, 0x500), (0x590, 0x700), (0x900, 0xA00), (0x1E00, 0x2100), (0x4E00, 0x9FFF), (0xAC00, 0xD7A4), (0xFB00, 0xFB50), (0x1F600, 0x1F640)]
+    whole = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\u0130", "\u0958", "\u212b", "'s", "\t", "\n", " ", ".", ",", "?!", "1"]
+
+    def some():
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            low, high = rng.choice(scripts)
+            parts.append(rng.choice(whole) if rng.random() < 0.4 else "".join(chr(rng.randrange(low, high)) for _ in range(rng.randint(1, 4))))
+        return "".join(parts)
+
+    given = ["hello <|endoftext|> world", "b\u0130.", "\u0130stanbul, \u0130.", *(some() for _ in range(100_000))]
+    words = packing._Words(packing.TOKENIZER)
+    for x, e in zip(given, t.encode_batch(given, add_special_tokens=False)):
+        assert np.frombuffer(words.ids(x), "<u4").tolist() == e.ids, repr(x)
+    monkeypatch.setattr(packing, "PIECE", 9)
+    for x in given[:2000]:
+        assert np.frombuffer(words.ids(x + " and more of it " + x), "<u4").tolist() == t.encode(x + " and more of it " + x, add_special_tokens=False).ids
+
+
 def test_minimum_bin_slack():
     rng = random.Random(4)
     for _ in range(20):
