@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
@@ -32,16 +32,20 @@ ALL_LINKS = 8
 COARSE = 4096
 #: Keys of large buckets are broadcast up to so many; beyond that they are joined by a shuffle.
 BROADCAST_KEYS = 50_000
-#: Rows that go are broadcast up to so many; beyond that they are joined by a shuffle.
-BROADCAST_ROWS = 100_000
-#: Near duplicates share 0.8 of their shingles of so many words; of such pairs nearly all are within WORD_RADIUS bits.
+#: Rows that go, and texts whose shingles are wanted, are broadcast up to so many; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Near duplicates share 0.8 of their shingles of so many words.
 SHINGLE = 5
-WORD_RADIUS = 6
-#: Buckets of one prefix shingle with up to so many texts give their pairs; those in larger ones are compared in blocks of BLOCK.
-SMALL = 32
-BLOCK = 128
+#: Texts whose fingerprints over different words are within so many bits are compared first; most near duplicates are.
+WORD_RADIUS = 4
+#: Buckets of one prefix shingle with more texts than this are compared in blocks of so many, each two in a task of their own.
+LARGE = 4096
+#: Texts whose shingle sets are compared come in blocks of so many, or of fewer where sets are larger than SET.
+BLOCK, SET = 128, 512
 #: Shingles that COMMON_TEXTS texts of one in COMMON_SAMPLE have come last in prefixes, COMMON of them at most. This decides the work alone.
 COMMON, COMMON_SAMPLE, COMMON_TEXTS = 200_000, 16, 3
+#: Texts that are fingerprinted at once.
+AT_ONCE = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -268,56 +272,142 @@ def _common_shingles(held: DataFrame) -> np.ndarray:
     return np.unique(rows.view(np.uint64)).view(np.int64)
 
 
-def _met(radius: int, similarity: float, small: int):
-    """Over rows (s, node, fp, n) sorted by s: pairs (a, b) of small buckets that may be similar, and of large ones a star that holds their nodes together."""
+def _may(similarity: float, n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles may be similar if the first one that they share has the places p and q in their common order.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
+    Both must be large enough, and what can follow the shared shingle must be enough.
+    """
+    least = similarity / (1 + similarity) * (n + m) - 1e-6
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (np.minimum(n - p, m - q) >= least)
 
-        def out(s: np.ndarray, node: np.ndarray, fp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            size, found = np.diff(np.r_[cut, len(s)]), []
-            for m in np.unique(size[(size > 1) & (size <= small)]).tolist():
-                i, j = np.triu_indices(m, 1)
-                of = cut[size == m]
-                for at in range(0, len(of), max(1, 200_000 // len(i))):
-                    part = of[at : at + max(1, 200_000 // len(i)), None]
-                    x, y = (part + i).ravel(), (part + j).ravel()
-                    near = np.bitwise_count(fp[x].view(np.uint64) ^ fp[y].view(np.uint64)) <= radius
-                    near &= np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6
-                    x, y = node[x[near]], node[y[near]]
-                    found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], ["a", "b", "large"])
-            stars = [np.stack([np.full(m, node[at : at + m].min()), node[at : at + m]], 1) for at, m in zip(cut[size > small].tolist(), size[size > small].tolist())]
-            if stars:
-                star = np.unique(np.concatenate(stars), axis=0)
-                yield pa.record_batch([pa.array(star[:, 0]), pa.array(star[:, 1]), pa.array(np.ones(len(star), bool))], ["a", "b", "large"])
 
-        for batch in batches:
-            if not batch.num_rows:
+def _may_all(similarity: float, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Pairs of different labels from x and y (node, n, pos, label) that may be similar, the smaller node first."""
+    (node, n, p, g), (other, m, q, h) = x, y
+    i, j = np.nonzero(_may(similarity, n[:, None], m[None, :], p[:, None], q[None, :]) & (g[:, None] != h[None, :]))
+    return _pairs(node[i], other[j])
+
+
+_ROW = ("s", "node", "n", "pos", "label")
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
+def _scan_prefixes(similarity: float):
+    """Over rows (s, node, n, pos, label) sorted by s: as rows without s the pairs (node, n) that may be similar; large buckets' rows as they are."""
+
+    def rows(s: np.ndarray | None, *columns: np.ndarray) -> pa.RecordBatch:
+        given = [pa.nulls(len(columns[0]), pa.int64()) if s is None else pa.array(s, pa.int64())]
+        return pa.record_batch([*given, *(pa.array(c, pa.int64()) for c in columns)], list(_ROW))
+
+    def within(x: list[np.ndarray], cut: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+        """The pairs of buckets of size rows from cut on: of small ones by size, of the others one by one."""
+        node, n, pos, label = x
+        for m in np.unique(size[size <= 8]).tolist():
+            i, j = np.triu_indices(m, 1)
+            of = cut[size == m]
+            for at in range(0, len(of), 20_000):
+                part = of[at : at + 20_000, None]
+                a, b = (part + i).ravel(), (part + j).ravel()
+                may = _may(similarity, n[a], n[b], pos[a], pos[b]) & (label[a] != label[b])
+                yield _pairs(node[a[may]], node[b[may]])
+        for at, m in zip(cut[size > 8].tolist(), size[size > 8].tolist()):
+            own = [c[at : at + m] for c in x]
+            for k in range(0, m, 512):
+                yield _may_all(similarity, [c[k : k + 512] for c in own], [c[k:] for c in own])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large, found, n_found = None, None, [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            none = np.zeros(len(pairs), np.int64)
+            return rows(None, pairs[:, 0], pairs[:, 1], none, none)
+
+        for batch in _with_end(batches):
+            if batch is not None and batch.num_rows:
+                now = [batch.column(c).to_numpy() for c in range(5)]
+                held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if held is None or (batch is not None and len(held[0]) < 65_536):
                 continue
-            now = tuple(batch.column(c).to_numpy() for c in range(4))
-            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            if len(held[0]) >= 100_000:
-                last = len(held[0]) - 1 - int(np.argmax(np.r_[(held[0] != held[0][-1])[::-1], True]))
-                if last + 1:
-                    yield from out(*(x[: last + 1] for x in held))
-                held = tuple(x[last + 1 :] for x in held)
-        if held is not None:
-            yield from out(*held)
+            s, label = held[0], held[4]
+            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size = np.diff(np.r_[cut, len(s)])
+            # The last bucket may go on in the next batch. Once a bucket is large its rows go out as they come.
+            whole = len(cut) - (batch is not None)
+            big = size > LARGE
+            big[0] |= large is not None and bool(s[0] == large)
+            for k in np.flatnonzero(big).tolist():
+                yield rows(*(c[cut[k] : cut[k] + size[k]] for c in held))
+            mixed = ~big & (np.minimum.reduceat(label, cut) != np.maximum.reduceat(label, cut))
+            mixed[whole:] = False
+            for pairs in within(held[1:], cut[mixed], size[mixed]):
+                found.append(pairs)
+                n_found += len(pairs)
+                if n_found >= 200_000:
+                    yield out()
+                    found, n_found = [], 0
+            large = s[-1] if batch is not None and big[-1] else None
+            held = None if whole == len(cut) or big[-1] else [c[cut[-1] :] for c in held]
+        yield out()
 
     return scan
 
 
-def _block_links(radius: int, similarity: float):
-    """Of the nodes of two blocks (node, fp, shingles) a forest of all links between them, each compared exactly."""
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None after the last."""
+    yield from batches
+    yield None
+
+
+def _block_pairs(similarity: float):
+    """Of a large bucket's two blocks (side, node, n, pos, label): the pairs that may be similar."""
+
+    def run(t: pa.Table) -> pa.Table:
+        first = t.column("side").to_numpy() == t.column("i").to_numpy()
+        x = [t.column(c).to_numpy() for c in _ROW[1:]]
+        one, two = [c[first] for c in x], [c[~first] for c in x]
+        two = two if len(two[0]) else one
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(one[0]), 512):
+            found.append(_may_all(similarity, [c[at : at + 512] for c in one], two))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n_shingles, prefix, label) of different labels that share a prefix shingle and may be similar.
+
+    Similar sets share a shingle of their prefixes, so no similar pair is left out. Large buckets are dealt in blocks
+    by number of shingles; blocks too far apart for the similarity do not meet.
+    """
+    rows = nodes.select("node", F.col("n_shingles").cast("long").alias("n"), "label", F.posexplode("prefix").alias("pos", "s")).select("s", "node", "n", F.col("pos").cast("long"), "label")
+    rows = rows.repartition(partitions(nodes.sparkSession), "s").sortWithinPartitions("s")
+    met = written(rows.mapInArrow(_scan_prefixes(similarity), "s long, node long, n long, pos long, label long"), "met")
+    pairs, large = met.where("s is null").select(F.col("node").alias("a"), F.col("n").alias("b")), met.where("s is not null")
+    if not large.isEmpty():
+        placed = positioned(large, [F.col("s"), F.col("n"), F.col("node")], "at").withColumn("block", F.floor(F.col("at") / LARGE))
+        placed = written(placed, "large")
+        spans = placed.groupBy("s", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        i, j = spans.select("s", F.col("block").alias("i"), F.col("hi").alias("most")), spans.select("s", F.col("block").alias("j"), F.col("lo").alias("least"))
+        two = i.join(j, "s").where((F.col("i") <= F.col("j")) & (F.col("most") >= F.lit(similarity) * F.col("least") - 1e-6))
+        sides = two.select("s", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        each = sides.join(placed, ["s", "block"]).withColumnRenamed("block", "side")
+        pairs = pairs.unionByName(each.groupBy("s", "i", "j").applyInArrow(_block_pairs(similarity), "a long, b long"))
+    return written(pairs.distinct(), "pairs")
+
+
+def _block_links(similarity: float):
+    """Of the texts of two blocks (i, j, block, node, shingles) a forest of all links between them, each compared exactly."""
 
     def run(t: pa.Table) -> pa.Table:
-        node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        node = t.column("node").to_numpy()
         lists = t.column("shingles").combine_chunks()
-        n, values = np.array([len(x) for x in lists], np.int64), lists.flatten().to_numpy()
+        n, values = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
         _, column, times = np.unique(values, return_inverse=True, return_counts=True)
         row, shared = np.repeat(np.arange(len(n)), n), np.zeros((len(n), len(n)), np.float32)
         # A shingle of one text adds to no pair; the others are counted so many columns at a time.
@@ -331,7 +421,6 @@ def _block_links(radius: int, similarity: float):
             shared += part @ part.T
         union = n[:, None] + n[None, :] - shared
         near = (union == 0) | (shared >= similarity * union - 1e-9)
-        near &= np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
         links, rest = [], np.ones(len(n), bool)
         for first in range(len(n)):
             queue = deque([first] if rest[first] else [])
@@ -348,58 +437,61 @@ def _block_links(radius: int, similarity: float):
     return run
 
 
-def _links_of_large(stars: DataFrame, nodes: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Links among the texts that large buckets hold together, compared block by block within each such group.
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all those of the pairs whose texts are similar; others that are similar may be among them.
 
-    Blocks are by number of shingles, so that blocks too far apart for the similarity never meet. A group's links
-    come as one forest for each two blocks; every pair of texts is compared.
-    """
-    groups = connected_components(stars)
-    held = groups.join(nodes.select("node", "fp", "n_shingles"), "node").select("root", "node", "fp", "n_shingles")
-    held = written(positioned(held, [F.col("root"), F.col("n_shingles"), F.col("node")], "pos"), "members")
-    held = held.join(held.groupBy("root").agg(F.min("pos").alias("first")), "root").withColumn("block", F.floor((F.col("pos") - F.col("first")) / BLOCK).cast("int"))
-    held = written(held.select("root", "node", "fp", "n_shingles", "block"), "blocks")
-    spans = held.groupBy("root", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    i, j = spans.select("root", F.col("block").alias("i"), F.col("hi").alias("most")), spans.select("root", F.col("block").alias("j"), F.col("lo").alias("least"))
-    met = i.join(j, "root").where((F.col("i") <= F.col("j")) & (F.col("most") >= F.lit(similarity) * F.col("least") - 1e-6)).select("root", "i", "j")
-    sides = met.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    each = sides.join(held.select("root", "block", "node", "fp"), ["root", "block"]).join(sets, "node").select("root", "i", "j", "node", "fp", "shingles")
-    return each.groupBy("root", "i", "j").applyInArrow(_block_links(radius, similarity), "a long, b long")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) with whether the Jaccard index of their shingle sets is at least `least`; two empty sets are equal.
-
-    b is joined first: the hub of a star stands in a, and adaptive execution can split that last join.
+    Texts that pairs hold together stand together in blocks, and blocks with a pair between them are compared, so that
+    a text's shingles move about once per block that its own meets, however many pairs it is in.
     """
-    sa, sb = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - shared
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", ((union == 0) | (shared >= F.lit(least) * union - F.lit(1e-9))).alias("similar"))
+    groups = connected_components(pairs)
+    held = groups.join(nodes.select("node", "least", "n_shingles"), "node")
+    held = positioned(held, [F.col("root"), F.col("n_shingles"), F.col("node")], "pos")
+    size = F.greatest(F.ceil(F.log2(F.greatest(F.col("n_shingles"), F.lit(SET)) / SET)), F.lit(0))
+    rows = F.greatest(F.floor(F.lit(BLOCK) / F.pow(F.lit(2.0), size)), F.lit(1))
+    block = (size * F.lit(1 << 48) + F.floor(F.col("pos") / rows)).cast("long")
+    held = written(held.select("node", "least", block.alias("block")), "blocks")
+    at = lambda c: held.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}"))
+    both = pairs.join(at("a"), "a").join(at("b"), "b")
+    met = both.select(F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j")).distinct()
+    sides = written(met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "sides")
+    wanted = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    own = texts.join(wanted, (texts["own"] == held["node"]) & texts["doc_id"].eqNullSafe(held["least"]))
+    sets = written(own.select("block", "node", F.pandas_udf(_shingle_set, "array<long>")("t").alias("shingles")), "shingles")
+    return written(sides.join(sets, "block").groupBy("i", "j").applyInArrow(_block_links(similarity), "a long, b long"), "links")
 
 
 def _fingerprints(similarity: float, common: np.ndarray):
     """Over rows (doc_id, key, t): doc_id, key, SimHash of the different words, number of shingles and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = [_shingle_hashes(words_of(t)) for t in texts]
-            fp = pa.array(np.array([simhash_of_words(t) for t in texts], np.uint64).view(np.int64))
-            sizes, prefixes = pa.array([len(x) for x in found], pa.int32()), pa.array([_prefix(x, common, similarity) for x in found], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), batch.column(1), fp, sizes, prefixes], ["doc_id", "key", "fp", "n_shingles", "prefix"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                texts = batch.column(2).to_pylist()
+                found = [_shingle_hashes(words_of(t)) for t in texts]
+                fp = pa.array(np.array([simhash_of_words(t) for t in texts], np.uint64).view(np.int64))
+                sizes, prefixes = pa.array([len(x) for x in found], pa.int32()), pa.array([_prefix(x, common, similarity) for x in found], pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column(0), batch.column(1), fp, sizes, prefixes], ["doc_id", "key", "fp", "n_shingles", "prefix"])
 
     return run
 
 
+def _node(key: Column) -> Column:
+    """The first 64 bits of an MD5."""
+    half = lambda at: F.conv(F.substring(key, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
 def deduplicate(docs: DataFrame, radius: int = WORD_RADIUS, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near duplicates: of each group the row with the least doc_id stays, with all its columns.
 
-    Links are equal texts, and texts whose SimHash of different words differs in at most radius bits and whose
-    5-word shingles have a Jaccard index of at least `similarity` (above 0). All such links count: their texts
-    share a shingle of their prefixes. Small buckets of a shingle give pairs, large ones are compared in blocks.
-    Groups are what links join. A null text is empty; a null doc_id never comes before one that
-    is not null; of rows that repeat in doc_id and text one stays.
+    Links are equal texts, and texts whose 5-word shingles have a Jaccard index of at least `similarity` (above 0). All
+    such links count. First texts are compared whose SimHash over different words is within `radius` bits, by covering
+    masks: that joins most groups. Then all other pairs that can be similar are compared: those from different groups
+    that share a shingle of their prefixes. So radius decides the work and not the result. Groups are what links join.
+
+    A null text is empty, and two texts without words are equal; a very long text counts as a whole. A null doc_id never
+    comes before one that is not null; of rows that repeat in doc_id and text one stays. No rows, no rows.
     """
     key, = fresh(docs, "_key")
     held = F.coalesce(F.col(text), F.lit(""))
@@ -407,22 +499,20 @@ def deduplicate(docs: DataFrame, radius: int = WORD_RADIUS, similarity: float =
     rows = texts.select("doc_id", "key")
     schema = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *_parse_datatype_string("key string, fp long, n_shingles int, prefix array<long>").fields])
     told = texts.mapInArrow(_fingerprints(similarity, _common_shingles(texts)), schema)
-    nodes = told.groupBy("key", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
-    # A node is the first 64 bits of its text's MD5.
-    half = lambda at: F.conv(F.substring("key", at, 8), 16, 10).cast("long")
-    nodes = written(nodes.withColumn("node", F.shiftleft(half(1), 32).bitwiseOR(half(9))), "nodes")
-    met = nodes.select(F.explode("prefix").alias("s"), "node", "fp", "n_shingles").repartition(partitions(docs.sparkSession), "s").sortWithinPartitions("s")
-    met = written(met.mapInArrow(_met(radius, similarity, SMALL), "a long, b long, large boolean"), "met")
-    pairs = written(met.where("not large").select("a", "b").distinct(), "pairs")
-    stars = written(met.where("large").select("a", "b").distinct(), "stars")
-    linked = pairs.unionByName(stars).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(nodes.join(linked, "node", "left_semi").select("node", "key", "least"), "wanted")
-    same = F.col("w.key") == F.col("x.key")
-    of = texts.withColumnRenamed("doc_id", "least").alias("x").join(wanted.alias("w"), same & F.col("x.least").eqNullSafe(F.col("w.least")))
-    sets = written(of.select("node", "t").dropDuplicates(["node"]).select("node", F.pandas_udf(_shingle_set, "array<long>")("t").alias("shingles")), "shingles")
-    links = written(_similar(pairs, sets, similarity).where("similar").select("a", "b"), "judged")
-    if not stars.isEmpty():
-        links = links.unionByName(written(_links_of_large(stars, nodes, sets, radius, similarity), "large"))
+    nodes = told.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fp", "n_shingles", "prefix")])
+    nodes = written(nodes.withColumn("node", _node(F.col("key"))), "nodes")
+    own = texts.select("doc_id", _node(F.col("key")).alias("own"), "t")
+    # Of each fingerprint one text stands for it; the others are compared with that one.
+    values = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "values")
+    value = lambda c: values.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c))
+    near = links_within(values, radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(value("a"), "fp_a").join(value("b"), "fp_b").select("a", "b")
+    same = nodes.select("node", "fp").join(values, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = _verified(written(near.unionByName(same).distinct(), "near"), nodes, own, similarity)
+    labels = connected_components(links)
+    labelled = nodes.select("node", "n_shingles", "prefix").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    pairs = _candidates(labelled, similarity)
+    if not pairs.isEmpty():
+        links = links.unionByName(_verified(pairs, nodes, own, similarity))
     roots = connected_components(links)
     group = written(nodes.join(roots, "node", "left").select("key", "node", "least", "n", F.coalesce("root", "node").alias("root")), "groups")
     order = F.struct(F.col("least").isNull(), "least", "node")

@@ -8,10 +8,9 @@ import pytest
 from corpusloom.llm import pii, simhash
 
 
-def left(given, radius):
+def left(given):
     """Ids that stay when every two texts are compared."""
     sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in given]
-    fps = [simhash.simhash_of_words(t) for t in given]
     root = list(range(len(given)))
 
     def find(x):
@@ -20,7 +19,7 @@ def left(given, radius):
         return x
 
     for i, j in combinations(range(len(given)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             a, b = sorted((find(i), find(j)))
             root[b] = a
     return [i for i in range(len(given)) if find(i) == i]
@@ -41,29 +40,46 @@ def test_every_text_of_a_value_meets_other_values(spark):
         words = [word(rng) for _ in range(150)]
         other = rng.sample(words, len(words))
         given += [" ".join(words), " ".join(other), " ".join([*other[:-1], word(rng)]), " ".join([*words[:-1], word(rng)])]
-    assert kept(spark, given) == left(given, simhash.WORD_RADIUS)
+    assert kept(spark, given) == left(given)
 
 
-@pytest.mark.parametrize(("small", "block"), [(32, 512), (2, 5)])
-def test_dense_groups_with_unlike_hubs(spark, monkeypatch, small, block):
-    monkeypatch.setattr(simhash, "SMALL", small, raising=False)
-    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+@pytest.mark.parametrize(("large", "block", "radius"), [(4096, 128, 4), (2, 5, 4), (3, 2, 0)])
+def test_dense_groups_with_unlike_hubs(spark, monkeypatch, large, block, radius):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng, given = random.Random(4), []
     words = [word(rng) for _ in range(200)]
     for _ in range(12):
         order = rng.sample(words, len(words))
         for at in (0, 60, 120):
             given.append(" ".join([*order[:at], word(rng), *order[at + 1 :]]))
-    assert kept(spark, given) == left(given, simhash.WORD_RADIUS)
+    assert kept(spark, given, radius=radius) == left(given)
 
 
-def test_no_bound_on_bits_gives_the_exact_join(spark):
+def test_more_bits_than_the_radius(spark):
     rng, given = random.Random(5), []
     for _ in range(12):
         words = [word(rng) for _ in range(60)]
         given += [" ".join(words), " ".join([*words, *(word(rng) for _ in range(10))])]
-    assert len(left(given, simhash.BITS)) == 12 < len(left(given, simhash.WORD_RADIUS))
-    assert kept(spark, given, radius=simhash.BITS) == left(given, simhash.BITS)
+    bits = [(simhash.simhash_of_words(a) ^ simhash.simhash_of_words(b)).bit_count() for a, b in zip(given[::2], given[1::2])]
+    assert max(bits) > simhash.WORD_RADIUS and len(left(given)) == 12
+    assert kept(spark, given) == left(given)
+
+
+@pytest.mark.parametrize("radius", [0, 4])
+def test_texts_around_the_threshold(spark, monkeypatch, radius):
+    monkeypatch.setattr(simhash, "LARGE", 6)
+    rng, given = random.Random(6), []
+    common = [word(rng) for _ in range(25)]
+    for _ in range(30):
+        words = [word(rng) for _ in range(rng.randint(4, 160))]
+        for _ in range(4):
+            edited = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 25))):
+                at = rng.randrange(len(edited))
+                edited[at : at + rng.randint(0, 1)] = [word(rng)] * rng.randint(0, 2)
+            given.append(" ".join([*edited, *common] if rng.random() < 0.5 else [*common, *edited, *edited[: rng.choice([0, 6])]]))
+    assert kept(spark, given, radius=radius) == left(given)
 
 
 def sanitised(spark, given):
