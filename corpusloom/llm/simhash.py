@@ -272,37 +272,54 @@ def _common_shingles(held: DataFrame) -> np.ndarray:
     return np.unique(rows.view(np.uint64)).view(np.int64)
 
 
+def _least(similarity: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What similar sets of n and m shingles share at least."""
+    return similarity / (1 + similarity) * (n + m) - 1e-6
+
+
 def _may(similarity: float, n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m shingles may be similar if the first one that they share has the places p and q in their common order.
+    """Whether sets of n and m shingles may be similar that share one at the places p and q in their common order.
 
-    Both must be large enough, and what can follow the shared shingle must be enough.
+    Both must be large enough, and what can come before the shared shingle and after it must be enough.
     """
-    least = similarity / (1 + similarity) * (n + m) - 1e-6
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (np.minimum(n - p, m - q) >= least)
+    enough = np.minimum(p, q) + np.minimum(n - p, m - q) >= _least(similarity, n, m)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (enough | ((n == 0) & (m == 0)))
 
 
-def _may_all(similarity: float, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Pairs of different labels from x and y (node, n, pos, label) that may be similar, the smaller node first."""
+def _may_all(similarity: float, x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Pairs (a, b, n of a, n of b) of different labels from x and y (node, n, pos, label) that may be similar; each once if y goes on from x."""
     (node, n, p, g), (other, m, q, h) = x, y
-    i, j = np.nonzero(_may(similarity, n[:, None], m[None, :], p[:, None], q[None, :]) & (g[:, None] != h[None, :]))
-    return _pairs(node[i], other[j])
+    may = _may(similarity, n[:, None], m[None, :], p[:, None], q[None, :]) & (g[:, None] != h[None, :])
+    if np.shares_memory(node, other):
+        may &= np.arange(len(node))[:, None] < np.arange(len(other))[None, :]
+    i, j = np.nonzero(may)
+    return node[i], other[j], n[i], m[j]
 
 
-_ROW = ("s", "node", "n", "pos", "label")
+def _met(similarity: float, found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(a, b, times, needed) of the pairs found: how often they met, and how many prefix shingles they must share.
 
+    Of its prefix of p shingles a text may lack those that the two do not share, n less what they share at least.
+    """
+    a, b, n, m = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 4))
+    pairs, first, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True, return_counts=True)
+    n, m = n[first], m[first]
+    prefix = lambda k: k - np.ceil(similarity * k - 1e-6) + 1
+    needed = np.ceil(np.minimum(prefix(n) - n, prefix(m) - m) + _least(similarity, n, m) - 1e-6)
+    return pairs[:, 0], pairs[:, 1], times.astype(np.int64), np.maximum(needed, 1).astype(np.int64)
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+_ROW = ("s", "node", "n", "pos", "label")
 
 
 def _scan_prefixes(similarity: float):
-    """Over rows (s, node, n, pos, label) sorted by s: as rows without s the pairs (node, n) that may be similar; large buckets' rows as they are."""
+    """Over rows (s, node, n, pos, label) sorted by s: as rows without s the pairs (a, b, times, needed) that may be similar; large buckets' rows as they are."""
 
     def rows(s: np.ndarray | None, *columns: np.ndarray) -> pa.RecordBatch:
         given = [pa.nulls(len(columns[0]), pa.int64()) if s is None else pa.array(s, pa.int64())]
         return pa.record_batch([*given, *(pa.array(c, pa.int64()) for c in columns)], list(_ROW))
 
-    def within(x: list[np.ndarray], cut: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    def within(x: list[np.ndarray], cut: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """The pairs of buckets of size rows from cut on: of small ones by size, of the others one by one."""
         node, n, pos, label = x
         for m in np.unique(size[size <= 8]).tolist():
@@ -312,7 +329,7 @@ def _scan_prefixes(similarity: float):
                 part = of[at : at + 20_000, None]
                 a, b = (part + i).ravel(), (part + j).ravel()
                 may = _may(similarity, n[a], n[b], pos[a], pos[b]) & (label[a] != label[b])
-                yield _pairs(node[a[may]], node[b[may]])
+                yield node[a[may]], node[b[may]], n[a[may]], n[b[may]]
         for at, m in zip(cut[size > 8].tolist(), size[size > 8].tolist()):
             own = [c[at : at + m] for c in x]
             for k in range(0, m, 512):
@@ -321,11 +338,6 @@ def _scan_prefixes(similarity: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large, found, n_found = None, None, [], 0
 
-        def out() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            none = np.zeros(len(pairs), np.int64)
-            return rows(None, pairs[:, 0], pairs[:, 1], none, none)
-
         for batch in _with_end(batches):
             if batch is not None and batch.num_rows:
                 now = [batch.column(c).to_numpy() for c in range(5)]
@@ -345,13 +357,13 @@ def _scan_prefixes(similarity: float):
             mixed[whole:] = False
             for pairs in within(held[1:], cut[mixed], size[mixed]):
                 found.append(pairs)
-                n_found += len(pairs)
-                if n_found >= 200_000:
-                    yield out()
+                n_found += len(pairs[0])
+                if n_found >= 500_000:
+                    yield rows(None, *_met(similarity, found))
                     found, n_found = [], 0
             large = s[-1] if batch is not None and big[-1] else None
             held = None if whole == len(cut) or big[-1] else [c[cut[-1] :] for c in held]
-        yield out()
+        yield rows(None, *_met(similarity, found))
 
     return scan
 
@@ -363,18 +375,15 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _block_pairs(similarity: float):
-    """Of a large bucket's two blocks (side, node, n, pos, label): the pairs that may be similar."""
+    """Of a large bucket's two blocks (side, node, n, pos, label): the pairs (a, b, times, needed) that may be similar."""
 
     def run(t: pa.Table) -> pa.Table:
         first = t.column("side").to_numpy() == t.column("i").to_numpy()
         x = [t.column(c).to_numpy() for c in _ROW[1:]]
         one, two = [c[first] for c in x], [c[~first] for c in x]
-        two = two if len(two[0]) else one
-        found = [np.zeros((0, 2), np.int64)]
-        for at in range(0, len(one[0]), 512):
-            found.append(_may_all(similarity, [c[at : at + 512] for c in one], two))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        alike = not len(two[0])
+        found = [_may_all(similarity, [c[at : at + 512] for c in one], [c[at:] for c in one] if alike else two) for at in range(0, len(one[0]), 512)]
+        return pa.table(dict(zip(("a", "b", "times", "needed"), map(pa.array, _met(similarity, found)))))
 
     return run
 
@@ -382,13 +391,13 @@ def _block_pairs(similarity: float):
 def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes (node, n_shingles, prefix, label) of different labels that share a prefix shingle and may be similar.
 
-    Similar sets share a shingle of their prefixes, so no similar pair is left out. Large buckets are dealt in blocks
-    by number of shingles; blocks too far apart for the similarity do not meet.
+    Similar sets share shingles of their prefixes, as many as their sizes demand, so no similar pair is left out. Large
+    buckets are dealt in blocks by number of shingles; blocks too far apart for the similarity do not meet.
     """
     rows = nodes.select("node", F.col("n_shingles").cast("long").alias("n"), "label", F.posexplode("prefix").alias("pos", "s")).select("s", "node", "n", F.col("pos").cast("long"), "label")
     rows = rows.repartition(partitions(nodes.sparkSession), "s").sortWithinPartitions("s")
     met = written(rows.mapInArrow(_scan_prefixes(similarity), "s long, node long, n long, pos long, label long"), "met")
-    pairs, large = met.where("s is null").select(F.col("node").alias("a"), F.col("n").alias("b")), met.where("s is not null")
+    pairs, large = met.where("s is null").select(F.col("node").alias("a"), F.col("n").alias("b"), F.col("pos").alias("times"), F.col("label").alias("needed")), met.where("s is not null")
     if not large.isEmpty():
         placed = positioned(large, [F.col("s"), F.col("n"), F.col("node")], "at").withColumn("block", F.floor(F.col("at") / LARGE))
         placed = written(placed, "large")
@@ -397,8 +406,9 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         two = i.join(j, "s").where((F.col("i") <= F.col("j")) & (F.col("most") >= F.lit(similarity) * F.col("least") - 1e-6))
         sides = two.select("s", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
         each = sides.join(placed, ["s", "block"]).withColumnRenamed("block", "side")
-        pairs = pairs.unionByName(each.groupBy("s", "i", "j").applyInArrow(_block_pairs(similarity), "a long, b long"))
-    return written(pairs.distinct(), "pairs")
+        pairs = pairs.unionByName(each.groupBy("s", "i", "j").applyInArrow(_block_pairs(similarity), "a long, b long, times long, needed long"))
+    counted = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("needed").alias("needed"))
+    return written(counted.where("times >= needed").select("a", "b"), "pairs")
 
 
 def _block_links(similarity: float):
