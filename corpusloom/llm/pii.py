@@ -174,27 +174,30 @@ def _counted(n: Column) -> Column:
 
 
 def shares(texts: DataFrame, frequencies: DataFrame, total: int, disclose: float = DISCLOSE, certain: float = CERTAIN) -> tuple[DataFrame, DataFrame]:
-    """What terms disclose: (entity, term, df_entity, df_term, df_both, share, sure) from `disclose` on, and (text_key, entity) of all texts.
+    """What terms disclose: (entity, term, df_entity, df_term, df_both, share, sure) from `disclose` on, and (id, term, share) where they stand.
 
-    texts has (text_key, text, n_docs, spans), a row per different text with base spans; frequencies has the number of
+    texts has (id, text, n_docs, spans), a row per different text with base spans; frequencies has the number of
     documents of each term of the corpus. The share is PMI(term; entity) / information of the entity, over all
     documents, with the documents that have both discounted. Every entity counts that not all documents hold, and
     every term of its texts; sure are terms of which `certain` of the documents hold the entity.
     """
-    own = texts.select("text_key", "n_docs", F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity"))
+    own = texts.select("id", "n_docs", F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity"))
     of_entity = own.groupBy("entity").agg(F.sum("n_docs").alias("df_entity")).where(F.col("df_entity") < total)
     own = written(own.join(of_entity, "entity"), "entities")
     information = F.log2(F.lit(float(total)) / F.col("df_entity"))
-    least = own.groupBy("text_key").agg(F.min(information).alias("least"))
-    terms = texts.select("text_key", F.explode(_terms(F.col("text"))).alias("term"))
+    least = own.groupBy("id").agg(F.min(information).alias("least"))
+    terms = texts.select("id", F.explode(_terms(F.col("text"))).alias("term"))
     # What all entities of a text together cannot make disclosing goes first: PMI is at most the term's own information.
-    rare = terms.join(frequencies, "term").join(least, "text_key").where(F.log2(F.lit(float(total)) / F.col("df_term")) >= disclose * F.col("least") - 1e-9)
-    both = rare.select("text_key", "term", "df_term").join(own, "text_key").groupBy("entity", "term", "df_term", "df_entity").agg(F.sum("n_docs").alias("df_both"))
+    rare = terms.join(frequencies.hint("merge"), "term").join(least, "id").where(F.log2(F.lit(float(total)) / F.col("df_term")) >= disclose * F.col("least") - 1e-9)
+    rare = written(rare.select("id", "term", "df_term"), "rare")
+    both = rare.join(own, "id").groupBy("entity", "term", "df_term", "df_entity").agg(F.sum("n_docs").alias("df_both"))
     counted = _counted(F.col("df_both"))
     share = F.log2(counted * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity"))) / information
     sure = (counted / F.col("df_term") >= certain) & (F.col("df_both") < F.col("df_term"))
     flagged = both.withColumns({"share": share, "sure": sure}).where(F.col("share") >= disclose)
-    return written(flagged.select("entity", "term", "df_entity", "df_term", "df_both", "share", "sure"), "flagged"), own.select("text_key", "entity")
+    flagged = written(flagged.select("entity", "term", "df_entity", "df_term", "df_both", "share", "sure"), "flagged")
+    places = rare.join(own.select("id", "entity"), "id").join(flagged.select("entity", "term", "share"), ["entity", "term"])
+    return flagged, places.select("id", "term", "share")
 
 
 def classes(flagged: DataFrame, frequencies: DataFrame, total: int, disclose: float = DISCLOSE) -> DataFrame:
@@ -216,35 +219,35 @@ def disclosing_terms(texts: DataFrame, corpus: DataFrame, disclose: float = DISC
     """(text_key, terms): the terms of each text that go, at all their places outside base spans, with their share and what replaces them."""
     total = corpus.count()
     df = written(corpus.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term")), "frequencies")
-    flagged, own = shares(texts, df, total, disclose, certain)
+    flagged, found = shares(texts, df, total, disclose, certain)
     by = F.when(F.col("share") >= remove, F.lit("")).otherwise(F.coalesce(F.concat("class", F.lit("*")), F.lit("")))
-    held = texts.select("text_key", F.explode(_terms(F.col("text"))).alias("term"))
-    found = held.join(flagged.select("term").distinct(), "term", "left_semi").join(own, "text_key").join(flagged, ["entity", "term"]).select("text_key", "term", "share")
     escaped = written(flagged.where("sure").groupBy("term").agg(F.max("share").alias("share")), "escaped")
-    texts = texts.select("text_key", "text", "spans")
+    held = texts.select("id", "text_key", "text", "spans")
     if not escaped.isEmpty():
         keyed = corpus.select(F.sha2("text", 256).alias("text_key"), "text")
         there = written(keyed.select("text_key", F.explode(_terms(F.col("text"))).alias("term")).join(_small(escaped), "term").distinct(), "elsewhere")
-        new = written(there.select("text_key").distinct().join(texts, "text_key", "left_anti"), "others")
-        others = keyed.join(_small(new), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
-        texts = texts.unionByName(others.withColumn("spans", F.array().cast(_SPANS)))
-        found = found.unionByName(there.select("text_key", "term", "share"))
-    most = found.groupBy("text_key", "term").agg(F.max("share").alias("share")).join(classes(flagged, df, total, disclose), "term", "left")
-    told = written(most.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("share", by.alias("by"))))).alias("told")), "terms")
+        new = written(there.select("text_key").distinct().join(held.select("text_key"), "text_key", "left_anti").withColumn("id", -1 - F.monotonically_increasing_id()), "others")
+        others = keyed.join(_small(new), "text_key").groupBy("id", "text_key").agg(F.first("text").alias("text"))
+        held = held.unionByName(others.withColumn("spans", F.array().cast(_SPANS)))
+        ids = held.select("id", "text_key")
+        found = found.unionByName(there.join(ids, "text_key").select("id", "term", "share"))
+    most = found.groupBy("id", "term").agg(F.max("share").alias("share")).join(classes(flagged, df, total, disclose), "term", "left")
+    told = written(most.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("share", by.alias("by"))))).alias("told")), "terms")
     # Base spans are blanked; then the words as the text has them are looked for, which are of letters alone, and whole runs.
     blank = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("by")))
     words = F.filter(_values(F.col("text")), lambda w: F.map_contains_key(F.col("told"), F.lower(w)))
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
-    places = texts.join(told, "text_key").withColumns({"pattern": pattern, "plain": _replaced(F.col("text"), blank)})
+    places = held.join(told, "id").withColumns({"pattern": pattern, "plain": _replaced(F.col("text"), blank)})
     of = lambda t: F.element_at(F.col("told"), F.lower(t["value"]))
     return places.select("text_key", F.transform(_cut(F.col("plain"), F.col("pattern")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), of(t)["share"].alias("share"), of(t)["by"].alias("by"))).alias("terms"))
 
 
 def _found(docs: DataFrame, text: str) -> DataFrame:
-    """(text_key, text, n_docs, spans) of the different texts that have base spans."""
+    """(id, text_key, text, n_docs, spans) of the different texts that have base spans; id is a number of their own."""
     held = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     hits = held.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0).withColumn("text_key", F.sha2("text", 256))
-    return written(hits.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("n_docs"), F.first("spans").alias("spans")), "found")
+    hits = hits.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("n_docs"), F.first("spans").alias("spans"))
+    return written(hits.withColumn("id", F.monotonically_increasing_id()), "found")
 
 
 def spans_of(docs: DataFrame, text: str = "text", disclose: float = DISCLOSE, remove: float = REMOVE, certain: float = CERTAIN) -> DataFrame:

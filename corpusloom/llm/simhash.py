@@ -247,8 +247,13 @@ def _shingle_hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(np.concatenate(found)).view(np.int64)
 
 
-def _shingle_set(texts: pd.Series) -> pd.Series:
-    return pd.Series([_shingle_hashes(words_of(t)) for t in texts])
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows whose last column is a text: the rows with its shingles' hashes in its place, AT_ONCE at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, AT_ONCE):
+            batch = whole.slice(at, AT_ONCE)
+            found = [_shingle_hashes(words_of(t.as_py())) for t in batch.column(batch.num_columns - 1)]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "shingles"])
 
 
 def _prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
@@ -267,7 +272,7 @@ def _prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
 def _common_shingles(held: DataFrame) -> np.ndarray:
     """Shingles that several texts of a sample by hash have, the most frequent COMMON of them at most."""
     some = held.where(F.pmod(F.xxhash64("key"), F.lit(COMMON_SAMPLE)) == 0).dropDuplicates(["key"])
-    each = some.select(F.explode(F.pandas_udf(_shingle_set, "array<long>")("t")).alias("s")).groupBy("s").count().where(F.col("count") >= COMMON_TEXTS)
+    each = some.select("t").mapInArrow(_shingled, "shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON_TEXTS)
     rows = each.orderBy(F.desc("count"), "s").limit(COMMON).select("s").toPandas()["s"].to_numpy(np.int64)
     return np.unique(rows.view(np.uint64)).view(np.int64)
 
@@ -325,15 +330,15 @@ def _scan_prefixes(similarity: float):
         for m in np.unique(size[size <= 8]).tolist():
             i, j = np.triu_indices(m, 1)
             of = cut[size == m]
-            for at in range(0, len(of), 20_000):
-                part = of[at : at + 20_000, None]
+            for at in range(0, len(of), 4096):
+                part = of[at : at + 4096, None]
                 a, b = (part + i).ravel(), (part + j).ravel()
                 may = _may(similarity, n[a], n[b], pos[a], pos[b]) & (label[a] != label[b])
                 yield node[a[may]], node[b[may]], n[a[may]], n[b[may]]
         for at, m in zip(cut[size > 8].tolist(), size[size > 8].tolist()):
             own = [c[at : at + m] for c in x]
-            for k in range(0, m, 512):
-                yield _may_all(similarity, [c[k : k + 512] for c in own], [c[k:] for c in own])
+            for k in range(0, m, 64):
+                yield _may_all(similarity, [c[k : k + 64] for c in own], [c[k:] for c in own])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large, found, n_found = None, None, [], 0
@@ -358,7 +363,7 @@ def _scan_prefixes(similarity: float):
             for pairs in within(held[1:], cut[mixed], size[mixed]):
                 found.append(pairs)
                 n_found += len(pairs[0])
-                if n_found >= 500_000:
+                if n_found >= 200_000:
                     yield rows(None, *_met(similarity, found))
                     found, n_found = [], 0
             large = s[-1] if batch is not None and big[-1] else None
@@ -382,7 +387,7 @@ def _block_pairs(similarity: float):
         x = [t.column(c).to_numpy() for c in _ROW[1:]]
         one, two = [c[first] for c in x], [c[~first] for c in x]
         alike = not len(two[0])
-        found = [_may_all(similarity, [c[at : at + 512] for c in one], [c[at:] for c in one] if alike else two) for at in range(0, len(one[0]), 512)]
+        found = [_may_all(similarity, [c[at : at + 64] for c in one], [c[at:] for c in one] if alike else two) for at in range(0, len(one[0]), 64)]
         return pa.table(dict(zip(("a", "b", "times", "needed"), map(pa.array, _met(similarity, found)))))
 
     return run
@@ -466,7 +471,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
     sides = written(met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "sides")
     wanted = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
     own = texts.join(wanted, (texts["own"] == held["node"]) & texts["doc_id"].eqNullSafe(held["least"]))
-    sets = written(own.select("block", "node", F.pandas_udf(_shingle_set, "array<long>")("t").alias("shingles")), "shingles")
+    sets = written(own.select("block", "node", "t").mapInArrow(_shingled, "block long, node long, shingles array<long>"), "shingles")
     return written(sides.join(sets, "block").groupBy("i", "j").applyInArrow(_block_links(similarity), "a long, b long"), "links")
 
 

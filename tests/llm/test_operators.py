@@ -212,6 +212,61 @@ def test_pii_disclosing_terms(spark):
     assert all("Zorblax" not in clean[i] and "[EMAIL]" in clean[i] for i in range(60, 66)) and clean[66] is None and clean[0] == filler[0] and pii.sanitise(df).columns == df.columns
 
 
+def test_pii_shares_by_brute_force(spark):
+    rng = random.Random(9)
+    words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma", "theta", "kappa"]
+    texts = [" ".join(rng.choices(words, k=4)) + rng.choice(["", "", " a@x.org", " b@x.org", " a@x.org and b@y.net"]) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = pii._found(df, "text")
+    corpus = df.select(F.explode(pii._terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    flagged, places = pii.shares(found, corpus, len(texts), 0.1)
+    terms = [set(re.findall(r"(?<![a-z])[a-z]{3,}", t)) for t in texts]
+    held = [{x for m in re.findall(r"\w@(\w\.\w+)", t) for x in (f"email:*@{m}",)} | {f"email:{m}" for m in re.findall(r"\w@\w\.\w+", t)} for t in texts]
+    want = {}
+    for e in set().union(*held):
+        n_e = sum(e in h for h in held)
+        for w in set().union(*terms):
+            n_w, n = sum(w in t for t in terms), sum(w in t and e in h for t, h in zip(terms, held))
+            if n:
+                c = n * n / (n + 1)
+                share = np.log2(c * 60 / (n_w * n_e)) / np.log2(60 / n_e)
+                if share >= 0.1 and np.log2(60 / n_w) >= 0.1 * np.log2(60 / n_e) - 1e-9:
+                    want[e, w] = (n_e, n_w, n, round(share, 9), bool(c / n_w >= pii.CERTAIN and n < n_w))
+    assert {(r["entity"], r["term"]): (r["df_entity"], r["df_term"], r["df_both"], round(r["share"], 9), r["sure"]) for r in flagged.collect()} == want and want
+    of = {r["id"]: r["text"] for r in found.collect()}
+    got = {(of[r["id"]], r["term"], round(r["share"], 9)) for r in places.collect()}
+    assert got == {(t, w, want[e, w][3]) for t, ws, es in zip(texts, terms, held) for e in es for w in ws if (e, w) in want}
+
+
+def test_pii_beyond_texts_with_base_spans(spark):
+    filler = [f"plain words number {i} stand here with nothing" for i in range(200)]
+    known, alone = [f"Zorblax wrote no. {i} at z@q.com" for i in range(19)], "what Zorblax wrote stands here"
+    df = spark.createDataFrame([(i, t, "b", "t") for i, t in enumerate([*filler, *known, alone, alone])], "doc_id long, text string, base string, terms string")
+    clean = pii.sanitise(df)
+    got = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert clean.columns == df.columns and len(got) == 221 and [got[i] for i in range(200)] == filler
+    assert got[219] == got[220] != alone and "Zorblax" not in got[219] and "stands here" in got[219]
+    spans = {r["doc_id"]: (r["n_term"], r["spans"]) for r in pii.report(df).collect()}
+    assert spans[219] == spans[220] == (2, "term:5:12,term:13:18") and spans[0] == (0, "")
+
+
+def test_pii_generalises_to_a_class(spark):
+    rng = random.Random(3)
+    filler = [f"zo{''.join(rng.choices('abcdef', k=5))} plain words {i}" for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*filler, "Zorblax and Qqxyz via z@q.com"])], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}[300]
+    assert got.startswith("zo* ") and "Qq" not in got and got.endswith("[EMAIL]")
+
+
+def test_pii_many_spans_in_one_text(spark):
+    many = " ".join(f"10.{i % 200}.{i // 200}.7 x" for i in range(16_000))
+    df = spark.createDataFrame([(1, many), (2, many[:100])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.report(df).collect()}
+    assert got[1]["n_ip"] == 16_000 and got[1]["base_sha256"] == hashlib.sha256(",".join(f"ip:{a}:{b}" for a, _, b, _ in base(many)).encode()).hexdigest()
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[1] == " ".join(["[IP] x"] * 16_000)
+
+
 def test_pii_empty(docs):
     assert not rows(pii.report(empty(docs))) and not rows(pii.sanitise(empty(docs)))
 
