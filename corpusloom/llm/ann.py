@@ -1,9 +1,10 @@
 """Nearest neighbours by a block matrix join with int8 products.
 
-Queries and candidates are dealt into blocks; a tile is a block of queries against a block of candidates.
-In a tile, products of int8 vectors bound each cosine from both sides; pairs whose upper bound stays below
-the k-th best lower bound are dropped, the others are recomputed in double precision, and heaps keep
-the best of each query.
+Queries and candidates are dealt into blocks of int8 codes; a tile is a block of queries against a block of
+candidates, and only codes, scales and error norms are copied for it. In a tile, products of codes bound each
+cosine from both sides; pairs whose upper bound stays below the k-th best lower bound are dropped, first within
+the tile, then over all tiles of a query. For the surviving pairs the original vectors are joined by number, the
+cosine is computed in double precision, and heaps keep the best of each query.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, written
+from corpusloom.llm.common import partitions, table, written
 
-QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 8192
-_ROWS = 128
+#: Vectors of a block at most; blocks are smaller while there are fewer tiles than partitions, but not below LEAST.
+BLOCK, LEAST = 65_536, 2048
+#: Products of so many components of int8 are exact in float32; longer vectors are multiplied slab by slab.
+SLAB = 1024
+_ROWS = 64
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -44,60 +47,146 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, ...]:
     return codes, scale[:, 0], np.sqrt((coded * coded).sum(1)), np.sqrt(((u - coded) ** 2).sum(1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component, which changes no cosine but keeps squares from over- and underflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, summed from the first component to the last."""
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    a, b = np.ascontiguousarray(_scaled(a).T), np.ascontiguousarray(_scaled(b).T)
     return np.clip((a * b).sum(0) / np.sqrt((a * a).sum(0) * (b * b).sum(0)), -1.0, 1.0)
 
 
-def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """(query, candidate, cosine) of each query's k nearest in the tile; ties to the smaller candidate."""
-    q8, qs, qn, qe = _quantised(q)
-    c8, cs, cn, ce = _quantised(c)
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (n, vec_id, dim, query, v) of which every v has dim components: the int8 codes in v's place, with scale and norms."""
+    for batch in batches:
+        dims = batch.column(2).to_numpy()
+        for dim in np.unique(dims).tolist():
+            rows = batch.filter(pa.array(dims == dim))
+            for at in range(0, rows.num_rows, 2048):
+                part = rows.slice(at, 2048)
+                x = part.column(4).flatten().to_numpy().reshape(-1, dim)
+                codes, scale, norm, error = _quantised(x)
+                data = codes.tobytes()
+                yield pa.record_batch([*part.columns[:4], pa.array([data[i : i + dim] for i in range(0, len(data), dim)], pa.binary()), *map(pa.array, (scale, norm, error))], ["n", "vec_id", "dim", "query", "code", "scale", "norm", "error"])
+
+
+def tile(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query's row, candidate's row, lower, upper) of the pairs that may be among a query's k nearest in the tile.
+
+    q and c are (vec_id, codes, scale, norm of the coded vector, norm of what coding leaves).
+    """
+    qid, q8, qs, qn, qe = q
+    cid, c8, cs, cn, ce = c
     c8 = c8.astype(np.float32).T
     for at in range(0, len(qid), _ROWS):
         rows = slice(at, at + _ROWS)
-        near = (q8[rows].astype(np.float32) @ c8) * (qs[rows, None] * cs[None, :])  # products of int8 are exact in float32 up to 1040 components
+        near = np.zeros((len(qid[rows]), len(cid)))
+        for s in range(0, c8.shape[0], SLAB):
+            near += q8[rows, s : s + SLAB].astype(np.float32) @ c8[s : s + SLAB]
+        near *= qs[rows, None] * cs[None, :]
         error = qe[rows, None] * cn[None, :] + (qn[rows, None] + qe[rows, None]) * ce[None, :] + 1e-6
         near[cid[None, :] == qid[rows, None]] = -np.inf
         n = min(k, len(cid))
         floor = -np.partition(error - near, n - 1, axis=1)[:, n - 1]
         i, j = np.nonzero((near + error >= floor[:, None]) & (near > -np.inf))
-        if not len(i):
-            continue
-        score = np.concatenate([cosines(q[at + i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536)])
-        for row, part in pd.DataFrame({"i": i, "c": cid[j], "s": score}).groupby("i"):
-            best = heapq.nsmallest(k, zip(-part["s"].to_numpy(), part["c"].to_numpy()))
-            yield from ((int(qid[at + row]), int(x), -float(s)) for s, x in best)
+        yield at + i, j, near[i, j] - error[i, j], near[i, j] + error[i, j]
+
+
+def _tiles(k: int):
+    """Over the coded rows of one tile: its surviving pairs (q, query_id, c, lower, upper) by row numbers."""
+
+    def run(t: pa.Table) -> pa.Table:
+        is_q = t["query"].to_numpy()
+        code = np.frombuffer(b"".join(t["code"].to_pylist()), np.int8).reshape(len(is_q), -1)
+        columns = [t["vec_id"].to_numpy(), code, *(t[x].to_numpy() for x in ("scale", "norm", "error"))]
+        number, found = t["n"].to_numpy(), []
+        q, c = tuple(x[is_q] for x in columns), tuple(x[~is_q] for x in columns)
+        if len(q[0]) and len(c[0]):
+            found = [(number[is_q][i], q[0][i], number[~is_q][j], low, high) for i, j, low, high in tile(q, c, k)]
+        out = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, d) for d in (np.int64, np.int64, np.int64, float, float)]
+        return pa.table(dict(zip(("q", "query_id", "c", "lower", "upper"), map(pa.array, out))))
+
+    return run
+
+
+def _heaped(k: int):
+    """Over rows (query_id, vec_id, score) in the order of query_id: each query's k best with their ranks, ties to the smaller vec_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heap, done = None, [], []
+
+        def close() -> None:
+            done.extend((now, rank, -v, s) for rank, (s, v) in enumerate(sorted(heap, reverse=True), 1))
+
+        def out() -> pa.RecordBatch:
+            rows = pa.record_batch([pa.array(x, t) for x, t in zip(zip(*done) if done else [()] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
+            done.clear()
+            return rows
+
+        for batch in batches:
+            for query, vec, score in zip(*(c.to_pylist() for c in batch.columns)):
+                if query != now:
+                    if heap:
+                        close()
+                    now, heap = query, []
+                (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (score, -vec))
+            if len(done) >= 10_000:
+                yield out()
+        if heap:
+            close()
+        yield out()
+
+    return run
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by cosine, all other rows being candidates.
 
     Exact: the int8 bounds only drop pairs that cannot be among the k. Vectors are compared with those of
-    their own dimension. Rows that repeat an id are candidates of their own but never of a query with
-    that id; a query that repeats is answered once. Fewer candidates than k: all. No usable vectors: no rows.
+    their own dimension, however long. Rows that repeat an id are candidates of their own but never of a query with
+    that id; a query that repeats is answered once. Fewer candidates than k: all; ties to the smaller id. No usable
+    vectors: no rows. Columns other than the two named count for is_query alone.
     """
-    v = written(usable(vectors, vec_id, embedding), "vectors")
-    queries = v.where(is_query).dropDuplicates(["vec_id"])
-    n_query, n_all = queries.count(), v.count()
-    nq, nc = max(1, math.ceil(n_query / QUERY_BLOCK)), max(1, math.ceil(n_all / CANDIDATE_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(n)), F.lit(n)).cast("int")
-    q = queries.select("dim", block(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"), F.lit(True).alias("query"), "vec_id", "v")
-    spread = F.pmod(F.xxhash64("vec_id", *[F.col("v")[i] for i in range(1)], F.lit(7)), F.lit(nc)).cast("int")
-    c = v.select("dim", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), spread.alias("cb"), F.lit(False).alias("query"), "vec_id", "v")
-
-    def work(t: pa.Table) -> pa.Table:
-        is_q = t["query"].to_numpy()
-        ids = t["vec_id"].to_numpy()
-        x = t["v"].combine_chunks().values.to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
-        rows = list(tile(ids[is_q], x[is_q], ids[~is_q], x[~is_q], k)) if is_q.any() and not is_q.all() else []
-        a, b, s = zip(*rows) if rows else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = q.unionByName(c).groupBy("dim", "qb", "cb").applyInArrow(work, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    v = written(usable(vectors, vec_id, embedding).withColumn("n", F.monotonically_increasing_id()), "vectors")
+    coded = v.select("n", "vec_id", "dim", F.coalesce(is_query, F.lit(False)).alias("query"), "v")
+    coded = written(coded.mapInArrow(_coded, "n long, vec_id long, dim int, query boolean, code binary, scale double, norm double, error double"), "codes")
+    queries = coded.where("query").dropDuplicates(["vec_id"])
+    # Of equal vectors only the first in the order of ids can be among a query's k: k rows of an id, and 2 k in all, so that k are left without the query's own.
+    alike = v.select("n", "vec_id", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"))
+    alike = alike.withColumn("i", F.row_number().over(Window.partitionBy("h", "g", "vec_id").orderBy("n"))).where(F.col("i") <= k)
+    alike = alike.withColumn("j", F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id", "n"))).where(F.col("j") <= 2 * k)
+    others = written(coded.join(alike.select("n"), "n", "left_semi"), "candidates")
+    n_query, n_all = queries.count(), coded.count()
+    most = lambda n, blocks: max(1, math.ceil(n / BLOCK), min(blocks, n // LEAST))
+    nc = most(n_all, partitions(spark))
+    nq = most(n_query, partitions(spark) // nc)
+    block = lambda n: F.pmod(F.xxhash64("n", F.lit(7)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = [F.col(c) for c in ("n", "vec_id", "code", "scale", "norm", "error")]
+    q = queries.select("dim", block(nq).alias("qb"), every(nc).alias("cb"), F.lit(True).alias("query"), *held)
+    c = others.select("dim", every(nq).alias("qb"), block(nc).alias("cb"), F.lit(False).alias("query"), *held)
+    found = written(q.unionByName(c).groupBy("dim", "qb", "cb").applyInArrow(_tiles(k), "q long, query_id long, c long, lower double, upper double"), "survivors")
+    # Over all tiles of a query the k-th best lower bound drops more of them.
+    kth = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("lower")))).where(F.col("place") == k).select("q", F.col("lower").alias("floor"))
+    left = found.join(kth, "q", "left").where("floor is null or upper >= floor").select("q", "query_id", "c")
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, dims = np.zeros(len(a)), a.map(len).to_numpy()
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            for i in range(0, len(at), 1024):
+                part = at[i : i + 1024]
+                out[part] = cosines(np.stack(a.iloc[part].to_list()), np.stack(b.iloc[part].to_list()))
+        return pd.Series(out)
+
+    own = lambda number, name: v.select(F.col("n").alias(number), F.col("v").alias(name))
+    both = left.join(own("q", "x"), "q").join(v.select(F.col("n").alias("c"), "vec_id", F.col("v").alias("y")), "c")
+    scored = both.select("query_id", "vec_id", score("x", "y").alias("score"))
+    return scored.repartition(partitions(spark), "query_id").sortWithinPartitions("query_id").mapInArrow(_heaped(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset one of our own, but only if all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='loom-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -36,18 +38,24 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Removes a shared folder that nothing reads any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """df as a Parquet table in a shared folder: lineage ends there, and lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark, label)}/table"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more; tables that were not written stay as they are."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path:
+            spark = df.sparkSession
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def partitions(spark: SparkSession) -> int:

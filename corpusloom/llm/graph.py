@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import forget, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,16 +20,17 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     label = None
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
-        parent = both.groupBy(F.col("e.u").alias("u")).agg(F.min("e.v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        parent = written(parent, "parents")
-        jump = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        parent = written(parent.join(jump, "p", "left").select("u", F.coalesce("pp", "p").alias("p")), "parents")
+        least = both.groupBy(F.col("e.u").alias("u")).agg(F.min("e.v").alias("v")).select("u", F.least("u", "v").alias("p"))
+        least = written(least, "parents")
+        jump = least.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        parent = written(least.join(jump, "p", "left").select("u", F.coalesce("pp", "p").alias("p")), "parents")
         if label is None:
-            label = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
+            kept, label = None, written(parent.select(F.col("u").alias("node"), F.col("p").alias("root")), "labels")
         else:
             step = parent.select(F.col("u").alias("root"), F.col("p").alias("next"))
-            label = written(label.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            kept, label = label, written(label.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
         pa, pb = parent.select(F.col("u").alias("a"), F.col("p").alias("pa")), parent.select(F.col("u").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(pa, "a").join(pb, "b").where("pa != pb")
-        edges = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+        old, edges = edges, written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+        forget(least, parent, old, *([kept] if kept is not None else []))
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

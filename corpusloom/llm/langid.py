@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import fresh, table
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 14
 #: The classifiers learn from about so many documents of each language at most (a bounded sample, chosen by hash).
 SAMPLE_PER_LANGUAGE = 800
+#: Only so many languages are learned, those with most rows (by name where they have as many).
+LANGUAGES = 200
 #: Texts are turned into features in pieces of so many code points, so that a very long one needs little memory.
 PIECE = 1 << 18
 #: Families of languages by ISO 639-1 code; a language that is not here is a family of its own.
@@ -176,29 +178,34 @@ def _unpacked(data: bytes) -> Vector:
 
 
 def train(labelled: DataFrame, key: Column, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learns from about per_language rows of each language, chosen by the hash of key.
+    """Learns from about per_language rows of each language, chosen by the hash of key, and the LANGUAGES most frequent languages.
 
-    Rows with a null lang or text or without a letter are left out. Features are made by the executors; the
-    driver gets at most twice the asked number of vectors, each of at most DIMENSIONS entries.
+    Rows with a null lang or text or without a letter are left out. Features are made by the executors, of whole texts however
+    long; the driver gets at most twice the asked number of vectors, first ones in the order of their hash, each of at most
+    DIMENSIONS entries. Rows that repeat are learned as often as they are chosen; no rows give a model without languages.
     """
     rows = labelled.select(key.cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return fit([])
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n) * 2**31)) for k, n in counts.items()])
-    chosen = rows.where(F.pmod(F.xxhash64("key"), F.lit(2**31)) < share)
+    hashed = F.pmod(F.xxhash64("key"), F.lit(2**31))
+    chosen = rows.withColumn("hash", hashed).where(F.col("hash") < share)
 
     @F.pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _packed(features(t)))
 
-    got = chosen.select("key", "lang", vector("text").alias("v")).limit(2 * per_language * len(counts)).collect()
+    got = chosen.select("hash", "key", "lang", vector("text").alias("v")).orderBy("hash", "key", "lang", "v").limit(2 * per_language * len(counts)).collect()
     got.sort(key=lambda r: (r["lang"], r["key"] or "", bytes(r["v"])))
     return fit([(_unpacked(bytes(r["v"])), r["lang"]) for r in got if len(r["v"])])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and a score from 0 to 1; UNDETERMINED and 0 for null texts and those without a letter."""
+    """docs with the predicted language and a score from 0 to 1; UNDETERMINED and 0 for null texts and those without a letter.
+
+    A very long text is read piece by piece. Rows that repeat are told alike; no rows, no rows; other columns stay, whatever their names.
+    """
     weights, empty = model.stacked(), not model.families
     held = docs.sparkSession.sparkContext.broadcast((model, weights))
 
@@ -215,7 +222,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
                 out.append((UNDETERMINED, 0.0) if not total or empty else model.decide(sums / total))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
-    return docs.withColumn("_found", predict(F.col(text))).withColumns({lang: F.col("_found.lang"), score: F.col("_found.score")}).drop("_found")
+    found, = fresh(docs, "_found")
+    return docs.withColumn(found, predict(F.col(text))).withColumns({lang: F.col(f"{found}.lang"), score: F.col(f"{found}.score")}).drop(found)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

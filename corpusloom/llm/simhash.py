@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from corpusloom.llm.common import fresh, partitions, positioned, table, written
+from corpusloom.llm.common import forget, fresh, partitions, positioned, table, written
 from corpusloom.llm.graph import connected_components
 
 BITS = 64
@@ -413,7 +413,9 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         each = sides.join(placed, ["s", "block"]).withColumnRenamed("block", "side")
         pairs = pairs.unionByName(each.groupBy("s", "i", "j").applyInArrow(_block_pairs(similarity), "a long, b long, times long, needed long"))
     counted = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("needed").alias("needed"))
-    return written(counted.where("times >= needed").select("a", "b"), "pairs")
+    out = written(counted.where("times >= needed").select("a", "b"), "pairs")
+    forget(met)
+    return out
 
 
 def _block_links(similarity: float):
@@ -472,7 +474,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
     wanted = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
     own = texts.join(wanted, (texts["own"] == held["node"]) & texts["doc_id"].eqNullSafe(held["least"]))
     sets = written(own.select("block", "node", "t").mapInArrow(_shingled, "block long, node long, shingles array<long>"), "shingles")
-    return written(sides.join(sets, "block").groupBy("i", "j").applyInArrow(_block_links(similarity), "a long, b long"), "links")
+    out = written(sides.join(sets, "block").groupBy("i", "j").applyInArrow(_block_links(similarity), "a long, b long"), "links")
+    forget(groups, held, sides, sets)
+    return out
 
 
 def _fingerprints(similarity: float, common: np.ndarray):

@@ -1,7 +1,8 @@
 """WARC archives as a chunked record table.
 
-Payloads go to and from archives as rows of record and chunk number, each with the digest and the
-length of the payload up to and with that chunk; neither side holds a whole record.
+Payloads go to and from archives as rows of record and chunk number. Writer and reader hold one chunk of a
+record and keep a running digest over its chunks: the writer's must come to what the record's head declares,
+the reader gives its digest and length up to and with each chunk in that chunk's row.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from corpusloom.llm.common import partitions, shared_dir, table, written
 from corpusloom.llm.files import new_file, opened
 
 CHUNK = 1 << 16
+#: Digests that several pages share are broadcast up to so many; beyond that pages are shuffled by their digest.
+BROADCAST_ROWS = 1_000_000
 #: A task starts a new archive beyond so many bytes.
 ARCHIVE_BYTES = 1 << 30
 _BLOCK = 1 << 18
@@ -34,15 +37,17 @@ def assigned(pages: DataFrame, page_id: str = "page_id", payload: str = "html",
     Rows with equal payloads of at least `least` bytes refer to the least page_id among them; refers_to is null
     for the responses. A null payload is empty. Rows with the same page_id and payload (repeats) are all
     responses if that id is the least; a row with a null page_id refers to the least that is not null, and if there is none
-    all are responses.
+    all are responses. A payload may be as long as a row of the table allows. No rows, no records; columns other than the
+    three named are not read.
     """
     p = pages.select(F.col(page_id).alias("record_id"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("uri"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("payload"))
     p = p.withColumns({"sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
-    # Only a payload's least id and count are aggregated, combined before the shuffle; written down, they are
-    # joined by an exchange of their own, so that adaptive execution can split a payload that many rows share.
+    # Only a payload's least id and count are aggregated, combined before the shuffle, and those that several rows share
+    # are sent to the rows, so that payloads stay where they are. Too many of them are joined by an exchange of their own,
+    # so that adaptive execution can split a payload that many rows share.
     groups = p.where(F.col("n_bytes") >= least).groupBy("sha1", "n_bytes").agg(F.min("record_id").alias("first"), F.count("*").alias("n"))
     shared = written(groups.where("n > 1 and first is not null").select("sha1", "n_bytes", "first"), "payloads")
-    joined = p.join(shared, ["sha1", "n_bytes"], "left")
+    joined = p.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, ["sha1", "n_bytes"], "left")
     return joined.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("record_id")), F.col("first"))).drop("first")
 
 
@@ -74,7 +79,7 @@ def _head(row: dict) -> bytes:
 
 def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, uri, packer, size, records, done = None, "", None, 0, 0, []
+        out, uri, packer, sha, size, records, done = None, "", None, None, 0, 0, []
 
         def closed() -> None:
             nonlocal out, size, records
@@ -94,10 +99,14 @@ def _writer(folder: str):
                     if out is None:
                         system, path, uri = new_file(folder, ".warc.gz")
                         out = system.open_output_stream(path)
-                    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+                    packer, sha = zlib.compressobj(3, zlib.DEFLATED, 31), hashlib.sha1()
                     put(packer.compress(_head({k: batch[k][i].as_py() for k in ("record_id", "uri", "sha1", "n_bytes", "refers_to")})))
-                put(packer.compress(batch["chunk"][i].as_buffer()))
+                chunk = batch["chunk"][i].as_buffer()
+                sha.update(chunk)
+                put(packer.compress(chunk))
                 if no == of - 1:
+                    if batch["refers_to"][i].as_py() is None and sha.hexdigest() != batch["sha1"][i].as_py():
+                        raise ValueError("a record's chunks differ from its digest")
                     put(packer.compress(b"\r\n\r\n") + packer.flush())
                     records += 1
                     if size >= ARCHIVE_BYTES:

@@ -291,7 +291,22 @@ def test_spotsigs(spark, docs, held):
         k = len(t) // 2
         want.append((d, len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
     assert keyed(r[:3] for r in got) == keyed(want)
-    assert all(0 <= x <= 1 for r in got for x in r[5:]) and not rows(spotsigs.edited_fingerprints(empty(docs)))
+    sets = {t: spot_reference(t) or {t} for _, t in order}
+    jac = lambda a, b: len(a & b) / len(a | b)
+    near = []
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        near.append((d, round(jac(sets[t], spot_reference(e) or {e}), 9), round(jac(sets[t], sets[n]), 9)))
+    assert keyed((r[0], round(r[5], 9), round(r[6], 9)) for r in got) == keyed(near)
+    root = {d: d for d, _ in order if d is not None}
+    texts = [(d, t) for d, t in order if d is not None]
+    for _ in root:
+        for i, (d, t) in enumerate(texts):
+            for c, u in texts[:i]:
+                if jac(sets[t], sets[u]) >= 0.8:
+                    root[c] = root[d] = min(root[c], root[d])
+    assert all(r[7] == root[r[0]] for r in got if r[0] is not None)
+    assert all(0 <= x <= 1 for r in got for x in r[5:7]) and not rows(spotsigs.edited_fingerprints(empty(docs)))
     by_text = {}
     for r in got:
         by_text.setdefault(dict(held)[r[0]] or "", set()).add(r[3])
@@ -452,7 +467,7 @@ def test_nearest(spark):
     x[100:160] = x[50]
     bad = [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] + [1.0] * 15), (1150, [1.0, None] + [1.0] * 14), (1200, []), (None, [1.0] * 16)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + bad, "vec_id long, embedding array<float>")
-    got = rows(ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank"))
+    got = sorted(rows(ann.nearest(df, F.col("vec_id") % 50 == 0)))
     d = x.astype(float)
     want = []
     for q in range(0, 600, 50):
@@ -466,11 +481,26 @@ def test_nearest(spark):
 
 
 def test_nearest_in_many_tiles(spark, monkeypatch):
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(ann, "CANDIDATE_BLOCK", 70)
+    monkeypatch.setattr(ann, "BLOCK", 5)
+    monkeypatch.setattr(ann, "SLAB", 3)
     test_nearest(spark)
 
 
+def test_nearest_of_long_and_of_huge_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2500)) * np.where(np.arange(60) % 3 == 0, 1e200, 1e-200)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, n string")
+    got = rows(ann.nearest(df, F.col("vec_id") % 20 == 0, 3))
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    for q in (0, 20, 40):
+        s = unit @ unit[q]
+        s[q] = -2
+        best = np.argsort(-s)[:3]
+        assert [(r[1], r[2]) for r in sorted(got) if r[0] == q] == list(enumerate(best.tolist(), 1))
+        assert np.allclose([r[3] for r in sorted(got) if r[0] == q], s[best], atol=1e-12)
+
+
 def simhash_reference(text, size=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     sh = [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] or ([" ".join(w)] if w else [])
@@ -545,6 +575,7 @@ def test_language_id(spark):
     assert all(got[i][2] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= got[i][1] <= 1 for i in got)
     tested = [(i, k) for i, t, k in given if i < 900 and got[i][2]]
     assert sum(got[i][0] == k for i, k in tested) >= 0.97 * len(tested)
+    assert {r["_found"] for r in langid.identify(df, model).collect()} == {"x"}
     assert [got[i][0] for i in (900, 901, 902, 903)] == ["und", "und", "und", "en"]
     none = langid.train(df.limit(0), F.col("doc_id"))
     assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"} and langid.identify(df.limit(0), model).count() == 0
