@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from corpusloom.llm.common import forget, fresh, partitions, positioned, table, written
+from corpusloom.llm.common import forget, fresh, partitions, positioned, small_batches, table, written
 from corpusloom.llm.graph import connected_components
 
 BITS = 64
@@ -501,19 +501,8 @@ def _node(key: Column) -> Column:
     return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
-def deduplicate(docs: DataFrame, radius: int = WORD_RADIUS, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near duplicates: of each group the row with the least doc_id stays, with all its columns.
-
-    Links are equal texts, and texts whose 5-word shingles have a Jaccard index of at least `similarity` (above 0). All
-    such links count. First texts are compared whose SimHash over different words is within `radius` bits, by covering
-    masks: that joins most groups. Then all other pairs that can be similar are compared: those from different groups
-    that share a shingle of their prefixes. So radius decides the work and not the result. Groups are what links join.
-
-    A null text is empty, and two texts without words are equal; a very long text counts as a whole. A null doc_id never
-    comes before one that is not null; of rows that repeat in doc_id and text one stays. No rows, no rows.
-    """
-    key, = fresh(docs, "_key")
-    held = F.coalesce(F.col(text), F.lit(""))
+def _superfluous(docs: DataFrame, radius: int, similarity: float, doc_id: str, held: Column) -> tuple[DataFrame, DataFrame]:
+    """(id, key) of the rows that go, and of those that repeat in both; id is doc_id as text and key the MD5 of the text."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.md5(held).alias("key"), held.alias("t"))
     rows = texts.select("doc_id", "key")
     schema = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *_parse_datatype_string("key string, fp long, n_shingles int, prefix array<long>").fields])
@@ -541,8 +530,25 @@ def deduplicate(docs: DataFrame, radius: int = WORD_RADIUS, similarity: float =
     gone = rows.select("doc_id", "key").join(kept.where("not kept or n > 1"), "key").where(~F.col("kept") | ~F.col("doc_id").eqNullSafe(F.col("least")))
     gone = written(gone.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "key").distinct(), "gone")
     repeats = written(rows.groupBy("doc_id", "key").count().where("count > 1").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "key"), "repeats")
+    return gone, repeats
+
+
+def deduplicate(docs: DataFrame, radius: int = WORD_RADIUS, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near duplicates: of each group the row with the least doc_id stays, with all its columns.
+
+    Links are equal texts, and texts whose 5-word shingles have a Jaccard index of at least `similarity` (above 0). All
+    such links count. First texts are compared whose SimHash over different words is within `radius` bits, by covering
+    masks: that joins most groups. Then all other pairs that can be similar are compared: those from different groups
+    that share a shingle of their prefixes. So radius decides the work and not the result. Groups are what links join.
+
+    A null text is empty, and two texts without words are equal; a very long text counts as a whole. A null doc_id never
+    comes before one that is not null; of rows that repeat in doc_id and text one stays. No rows, no rows.
+    """
+    key, ident = fresh(docs, "_key", "_id")
+    held = F.coalesce(F.col(text), F.lit(""))
+    with small_batches(docs.sparkSession):
+        gone, repeats = _superfluous(docs, radius, similarity, doc_id, held)
     listed = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
-    ident, = fresh(docs, "_id")
     marked = docs.withColumns({ident: F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), key: F.md5(held)})
     named = lambda t: t.select(F.col("id").alias(ident), F.col("key").alias(key))
     out = marked.join(listed(named(gone)), [ident, key], "left_anti")

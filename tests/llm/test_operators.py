@@ -62,9 +62,17 @@ def test_positions_are_gapless(docs):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
-    got = dict(rows(connected_components(spark.createDataFrame(edges, "a long, b long"))))
-    assert len({got[i] for i in range(41)}) == 1 and len({got[k] for k in range(100, 160)}) == 1 and len(set(got.values())) == 3
-    assert not rows(connected_components(spark.createDataFrame([], "a long, b long")))
+    rng = random.Random(5)
+    edges += [(1000 + rng.randrange(90), 1000 + rng.randrange(90)) for _ in range(60)]
+    want = {}
+    for a, b in edges:
+        if a != b:
+            whole = want.get(a, {a}) | want.get(b, {b})
+            want |= dict.fromkeys(whole, whole)
+    for native in (False, True):
+        got = dict(rows(connected_components(spark.createDataFrame([*edges, (None, 5)], "a long, b long"), native=native)))
+        assert got.keys() == want.keys() and all((got[x] == got[y]) == (y in want[x]) for x in want for y in want) and all(got[x] in want[x] for x in want)
+        assert not rows(connected_components(spark.createDataFrame([], "a long, b long"), native=native))
 
 
 def test_token_counts(docs, held):
