@@ -14,11 +14,11 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh, table
+from corpusloom.llm.common import fresh, released, table
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 14
@@ -192,9 +192,9 @@ def train(labelled: DataFrame, key: Column, text: str = "text", lang: str = "lan
     hashed = F.pmod(F.xxhash64("key"), F.lit(2**31))
     chosen = rows.withColumn("hash", hashed).where(F.col("hash") < share)
 
-    @F.pandas_udf("binary")
-    def vector(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _packed(features(t)))
+    @F.arrow_udf("binary")
+    def vector(texts: pa.Array) -> pa.Array:
+        return pa.array([_packed(features(t.as_py())) for t in texts], pa.binary())
 
     got = chosen.select("hash", "key", "lang", vector("text").alias("v")).orderBy("hash", "key", "lang", "v").limit(2 * per_language * len(counts)).collect()
     got.sort(key=lambda r: (r["lang"], r["key"] or "", bytes(r["v"])))
@@ -209,18 +209,23 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
     weights, empty = model.stacked(), not model.families
     held = docs.sparkSession.sparkContext.broadcast((model, weights))
 
-    @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, weights = held.value
         for texts in batches:
             out = []
-            for t in texts:
+            for value in texts:
+                t = value.as_py()
                 sums, total = np.zeros(weights.shape[1]), 0
                 for g in grams(t):
                     sums += np.bincount(g, minlength=DIMENSIONS) @ weights if len(g) > 4 * DIMENSIONS else weights.take(g, axis=0).sum(0, dtype=np.float64)
                     total += len(g)
                 out.append((UNDETERMINED, 0.0) if not total or empty else model.decide(sums / total))
-            yield pd.DataFrame(out, columns=["lang", "score"])
+            lang, score = zip(*out) if out else ((), ())
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+
+    @F.arrow_udf("lang string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(told)(batches)
 
     found, = fresh(docs, "_found")
     return docs.withColumn(found, predict(F.col(text))).withColumns({lang: F.col(f"{found}.lang"), score: F.col(f"{found}.score")}).drop(found)

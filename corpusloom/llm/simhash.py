@@ -13,14 +13,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from corpusloom.llm.common import forget, fresh, partitions, positioned, small_batches, table, written
+from corpusloom.llm.common import forget, fresh, partitions, positioned, released, small_batches, table, written
 from corpusloom.llm.graph import connected_components
 
 BITS = 64
@@ -86,9 +85,9 @@ def simhash_of_words(text: str | None, seed: int = 42) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", size: int | None = 4) -> DataFrame:
     """docs and the SimHash of each whole text as a signed long, of shingles or (no size) of words; null and wordless texts have 0."""
 
-    @F.pandas_udf("long")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(t, size) if size else simhash_of_words(t) for t in texts], np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def fingerprint(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([simhash(t.as_py(), size) if size else simhash_of_words(t.as_py()) for t in texts], np.uint64).view(np.int64))
 
     return docs.withColumn(out, fingerprint(F.col(text)))
 
@@ -186,7 +185,7 @@ def _midpoint_links(hot: DataFrame, masks: list[int], radius: int) -> DataFrame:
     """
     spark, most, least = hot.sparkSession, (radius + 1) // 2, radius // 2
     flips = [(t, n, _signed(sum(1 << i for i in c))) for t, m in enumerate(masks) for n in range(most + 1) for c in combinations([i for i in range(BITS) if not m >> i & 1], n)]
-    flips = spark.createDataFrame(pd.DataFrame(flips, columns=["t", "n", "flip"]), "t short, n short, flip long")
+    flips = spark.createDataFrame(pa.table(dict(zip(("t", "n", "flip"), map(pa.array, zip(*flips))))), "t short, n short, flip long")
     met = hot.join(F.broadcast(flips), "t").groupBy("t", F.col("f").bitwiseXOR(F.col("flip")).alias("mid"))
     met = met.agg(F.sort_array(F.collect_set(F.struct("n", "f"))).alias("m")).where(F.size("m") > 1)
     link = met.where(F.col("m")[0]["n"] <= least).select(F.col("m")[0]["f"].alias("a"), F.explode(F.slice("m", 2, 1 << 30)).alias("x"))
@@ -217,7 +216,7 @@ def links_within(fps: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
             rows = keyed.join(keys, ["t", "key"], "left_anti").select("t", "f")
     # The key is not shuffled: both sides work it out from f.
     rows = rows.repartition(partitions(spark), "t", key).sortWithinPartitions("t", key)
-    found = rows.mapInArrow(_scan(radius, masks), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = rows.mapInArrow(released(_scan(radius, masks)), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found if extra is None else found.unionByName(extra)
 
 
@@ -272,7 +271,7 @@ def _prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
 def _common_shingles(held: DataFrame) -> np.ndarray:
     """Shingles that several texts of a sample by hash have, the most frequent COMMON of them at most."""
     some = held.where(F.pmod(F.xxhash64("key"), F.lit(COMMON_SAMPLE)) == 0).dropDuplicates(["key"])
-    each = some.select("t").mapInArrow(_shingled, "shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON_TEXTS)
+    each = some.select("t").mapInArrow(released(_shingled), "shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON_TEXTS)
     rows = each.orderBy(F.desc("count"), "s").limit(COMMON).select("s").toPandas()["s"].to_numpy(np.int64)
     return np.unique(rows.view(np.uint64)).view(np.int64)
 
@@ -401,7 +400,7 @@ def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     """
     rows = nodes.select("node", F.col("n_shingles").cast("long").alias("n"), "label", F.posexplode("prefix").alias("pos", "s")).select("s", "node", "n", F.col("pos").cast("long"), "label")
     rows = rows.repartition(partitions(nodes.sparkSession), "s").sortWithinPartitions("s")
-    met = written(rows.mapInArrow(_scan_prefixes(similarity), "s long, node long, n long, pos long, label long"), "met")
+    met = written(rows.mapInArrow(released(_scan_prefixes(similarity)), "s long, node long, n long, pos long, label long"), "met")
     pairs, large = met.where("s is null").select(F.col("node").alias("a"), F.col("n").alias("b"), F.col("pos").alias("times"), F.col("label").alias("needed")), met.where("s is not null")
     if not large.isEmpty():
         placed = positioned(large, [F.col("s"), F.col("n"), F.col("node")], "at").withColumn("block", F.floor(F.col("at") / LARGE))
@@ -473,7 +472,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
     sides = written(met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "sides")
     wanted = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
     own = texts.join(wanted, (texts["own"] == held["node"]) & texts["doc_id"].eqNullSafe(held["least"]))
-    sets = written(own.select("block", "node", "t").mapInArrow(_shingled, "block long, node long, shingles array<long>"), "shingles")
+    sets = written(own.select("block", "node", "t").mapInArrow(released(_shingled), "block long, node long, shingles array<long>"), "shingles")
     out = written(sides.join(sets, "block").groupBy("i", "j").applyInArrow(_block_links(similarity), "a long, b long"), "links")
     forget(groups, held, sides, sets)
     return out
@@ -506,7 +505,7 @@ def _superfluous(docs: DataFrame, radius: int, similarity: float, doc_id: str, h
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.md5(held).alias("key"), held.alias("t"))
     rows = texts.select("doc_id", "key")
     schema = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *_parse_datatype_string("key string, fp long, n_shingles int, prefix array<long>").fields])
-    told = texts.mapInArrow(_fingerprints(similarity, _common_shingles(texts)), schema)
+    told = texts.mapInArrow(released(_fingerprints(similarity, _common_shingles(texts))), schema)
     nodes = told.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fp", "n_shingles", "prefix")])
     nodes = written(nodes.withColumn("node", _node(F.col("key"))), "nodes")
     own = texts.select("doc_id", _node(F.col("key")).alias("own"), "t")
