@@ -1,10 +1,12 @@
-"""python -m corpusloom list | run QUERY FOLDER OUT: registered queries over a folder of tables, written as Parquet."""
+"""python -m corpusloom list | run QUERY FOLDER OUT | stage NAME CONFIG: registered queries over a folder of tables, and stages from files to files."""
 
 from __future__ import annotations
 
 import argparse
 
 from corpusloom.plans.catalogue import ORACLES, QUERIES
+from corpusloom.plans.stages import STAGES
+from corpusloom.sources.records import load_config
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -15,6 +17,9 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("query", choices=sorted(QUERIES))
     run.add_argument("folder")
     run.add_argument("out")
+    step = verbs.add_parser("stage")
+    step.add_argument("name", choices=sorted(STAGES))
+    step.add_argument("config")
     a = parser.parse_args(argv)
     if a.verb == "list":
         print("\n".join(f"{n}{'' if n in ORACLES else ' (no SQL)'}" for n in QUERIES))
@@ -22,6 +27,9 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("corpusloom").getOrCreate()
+    if a.verb == "stage":
+        STAGES[a.name](spark, load_config(a.config))
+        return
     QUERIES[a.query](spark, a.folder).write.mode("overwrite").parquet(a.out)
 
 

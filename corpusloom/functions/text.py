@@ -20,6 +20,11 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
+def strip(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(_text(c), f"^{SPACE}|{SPACE}$", "")
+
+
 def normalize_space(c: Column) -> Column:
     return F.btrim(F.regexp_replace(_text(c), SPACE, " "))
 
@@ -203,3 +208,15 @@ def parse_status(c: Column) -> Column:
     whole = F.btrim(strip_reasoning(c))
     payload = json_payload(c)
     return F.when(payload.isNull(), F.lit("fallback")).when(payload == whole, F.lit("strict")).otherwise(F.lit("sliced"))
+
+
+def json_object(c: Column) -> Column:
+    """A lenient reading of a JSON object: the whole, else from the first brace to the last, else {}."""
+    return F.coalesce(json_payload(c), F.lit("{}"))
+
+
+def listed_queries(c: Column, most: int = 3) -> Column:
+    """The list named queries of a model's answer; of an answer without an object the strings that it quotes, `most` of them."""
+    quoted = F.regexp_extract_all(strip_reasoning(c), F.lit(r'"([^"]+)"'), F.lit(1))
+    listed = F.from_json(F.get_json_object(json_payload(c), "$.queries"), "array<string>")
+    return F.slice(F.when(json_payload(c).isNull(), quoted).otherwise(F.coalesce(listed, F.array().cast("array<string>"))), 1, most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -11,10 +11,11 @@ BUCKETS = ((0, "0"), (30, "1-30"), (100, "31-100"), (300, "101-300"), (1000, "30
 LAST_BUCKET = "10001+"
 
 
-def build_documents(raw: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """raw with title, normalised text, lengths and flags."""
+def build_documents(raw: DataFrame, text: str = "text", source: str = "source", title: str | None = None) -> DataFrame:
+    """raw with title (else of its first line), normalised text, lengths and flags."""
     norm = T.normalize_text(F.col(text))
-    d = raw.withColumns({"title": T.normalize_title(F.left(F.split_part(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(1)), F.lit(60))), "normalized_text": norm})
+    named = F.col(title) if title else F.left(F.split_part(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(1)), F.lit(60))
+    d = raw.withColumns({"title": T.normalize_title(named), "normalized_text": norm})
     d = d.withColumns({"text_length": F.char_length("normalized_text"), "char_count_no_space": F.char_length(F.regexp_replace("normalized_text", " ", ""))})
     flags = F.array_compact(F.array(F.when(F.col("text_length") == 0, "empty_body"), F.when(F.col("text_length").between(1, 29), "short_body")))
     return d.withColumns({"publish_source": F.col(source), "quality_flags": flags, "structure_hints": T.structure_hints(F.col("normalized_text"))})
@@ -52,26 +53,56 @@ def distribution(docs: DataFrame, column: Column, most: int | None = None) -> Da
     return counts.orderBy(F.desc("n"), "key").limit(most) if most else counts
 
 
+def _fingerprinted(docs: DataFrame, field: Column, doc_id: str) -> DataFrame:
+    return docs.where(T.present(field)).select(T.content_hash(F.btrim(field)).alias("fingerprint"), F.col(doc_id).alias("doc_id"))
+
+
 def exact_duplicates(docs: DataFrame, field: Column, kind: str, doc_id: str = "doc_id") -> DataFrame:
     """(kind, fingerprint, n, doc_ids) of values that several documents share; blank ones do not count.
 
-    A group's ids are gathered for the report only; its number comes from a partial aggregation.
+    For a report that lists a group's ids in a cell; `duplicate_members` has them as rows, whatever the size of a group.
     """
-    rows = docs.where(T.present(field)).select(T.content_hash(F.btrim(field)).alias("fingerprint"), F.col(doc_id).alias("doc_id"))
-    shared = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
-    ids = rows.join(shared, "fingerprint").groupBy("fingerprint", "n").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return ids.select(F.lit(kind).alias("kind"), "fingerprint", "n", F.array_join(F.col("ids").cast("array<string>"), "|").alias("doc_ids"))
+    ids = _fingerprinted(docs, field, doc_id).groupBy("fingerprint").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where(F.size("ids") > 1)
+    return ids.select(F.lit(kind).alias("kind"), "fingerprint", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), "|").alias("doc_ids"))
+
+
+def duplicate_members(docs: DataFrame, field: Column, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, first_doc_id, n) of every document whose value others share: a row each, so that no group is gathered.
+
+    Numbers and least ids are aggregated, combined before the shuffle; a large group is split by adaptive execution in the join.
+    """
+    rows = _fingerprinted(docs, field, doc_id)
+    shared = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1")
+    return rows.join(shared, "fingerprint").select("doc_id", "first_doc_id", "n")
+
+
+#: Bit planes that count to 255, more than the sampled trigrams of a text.
+_PLANES = 8
 
 
 def simhash_halves(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp_hi, fp_lo): 64-bit SimHash of sampled trigrams' MD5, as two non-negative halves."""
-    grams = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(T.sampled_ngrams(F.col(text))).alias("g")).select("doc_id", F.md5("g").alias("h"))
-    half = lambda at: F.coalesce(F.conv(F.substring("h", at, 8), 16, 10).cast("long"), F.lit(0).cast("long"))
-    grams = grams.select("doc_id", F.col("h").isNotNull().cast("int").alias("one"), half(1).alias("hi"), half(9).alias("lo"))
-    sums = [F.sum(F.shiftright(c, b).bitwiseAND(F.lit(1))).alias(f"{c}{b}") for c in ("hi", "lo") for b in range(32)]
-    bits = grams.groupBy("doc_id").agg(F.sum("one").alias("n"), *sums)
-    word = lambda c: sum((F.when(F.col(f"{c}{b}") * 2 > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b in range(32)), F.lit(0).cast("long"))
-    return bits.select("doc_id", word("hi").alias("fp_hi"), word("lo").alias("fp_lo"))
+    """(doc_id, fp_hi, fp_lo): 64-bit SimHash of sampled trigrams' MD5, as two non-negative halves.
+
+    All 64 bits are counted at once, within the row: plane k holds bit k of each of the 64 counts.
+    """
+    hashes = F.transform(T.sampled_ngrams(F.col(text)), lambda g: F.conv(F.left(F.md5(g), F.lit(16)), 16, -10).cast("long"))
+
+    def add(acc: Column, h: Column) -> Column:
+        carry, planes = h, []
+        for k in range(_PLANES):
+            planes.append(acc[f"p{k}"].bitwiseXOR(carry).alias(f"p{k}"))
+            carry = acc[f"p{k}"].bitwiseAND(carry)
+        return F.struct(*planes)
+
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"p{k}") for k in range(_PLANES)])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), T.let(hashes, lambda h: F.struct(F.size(h).alias("n"), F.aggregate(h, zero, add).alias("p"))).alias("c"))
+    # A bit is set if its count exceeds n // 2: counts and that number are compared from the highest plane down.
+    over, same = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    for k in reversed(range(_PLANES)):
+        plane, half = F.col(f"c.p.p{k}"), F.negate(F.shiftright("c.n", k + 1).bitwiseAND(F.lit(1)).cast("long"))
+        over = over.bitwiseOR(same.bitwiseAND(plane).bitwiseAND(F.bitwise_not(half)))
+        same = same.bitwiseAND(F.bitwise_not(plane.bitwiseXOR(half)))
+    return rows.select("doc_id", over.alias("fp")).select("doc_id", F.shiftrightunsigned("fp", 32).alias("fp_hi"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("fp_lo"))
 
 
 def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
@@ -82,17 +113,35 @@ def near_duplicate_pairs(fps: DataFrame, threshold: int = 3, prefix_bits: int =
     """(a, b, distance) of fingerprints within the threshold in the same prefix bucket, by their documents.
 
     Documents with equal fingerprints are compared once: pairs are between the least documents of different
-    fingerprints, and each other document of a fingerprint with its least.
+    fingerprints, and each other document of a fingerprint with its least. Of the bits after the prefix there are
+    threshold + 1 bands; two fingerprints meet in the first band in which they agree, as those within the threshold
+    must in one, so a bucket is never compared all with all.
     """
-    least = fps.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("doc_id")).withColumn("bucket", F.shiftright("fp_hi", 32 - prefix_bits))
-    x, y = least.alias("x"), least.alias("y")
-    apart = hamming(F.col("x.fp_hi"), F.col("x.fp_lo"), F.col("y.fp_hi"), F.col("y.fp_lo"))
-    close = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (apart <= threshold)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), apart.cast("long").alias("distance"))
+    rest, bands = 64 - prefix_bits, threshold + 1
+    cuts = [rest * k // bands for k in range(bands + 1)]
+    part = lambda c, k: F.shiftrightunsigned(c, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+    least = fps.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("doc_id"))
+    rows = least.select("doc_id", F.shiftleft("fp_hi", 32).bitwiseOR(F.col("fp_lo")).alias("fp"))
+    rows = rows.select("doc_id", "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), part(F.col("fp"), k).alias("value"), F.shiftrightunsigned("fp", rest).alias("bucket")) for k in range(bands)])).alias("at"))
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    first = F.coalesce(*[F.when(part(apart, k) == 0, F.lit(k)) for k in range(bands)])
+    close = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    apart = F.bit_count(apart)
+    close = close.where((first == F.col("x.at.band")) & (apart <= threshold))
+    close = close.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), apart.cast("long").alias("distance"))
     same = fps.join(least.select("fp_hi", "fp_lo", F.col("doc_id").alias("a")), ["fp_hi", "fp_lo"]).where("doc_id != a").select("a", F.col("doc_id").alias("b"), F.lit(0).cast("long").alias("distance"))
     return close.unionByName(same)
 
 
-def anomalies(docs: DataFrame, short: int = 30, repeated: float = 0.5, low: float = 0.85) -> DataFrame:
+def near_duplicate_groups(pairs: DataFrame) -> DataFrame:
+    """(n, doc_ids): each later document with the earlier ones that it is near, those alike once."""
+    ids = pairs.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("earlier"))
+    listed = F.array_sort(F.array_union("earlier", F.array("b")))
+    return ids.select(F.size(listed).alias("n"), F.array_join(listed.cast("array<string>"), "|").alias("doc_ids")).distinct()
+
+
+def anomalies(docs: DataFrame, short: int = 30, repeated: float = 0.5, low: float = 0.85, text: str = "text") -> DataFrame:
     """(doc_id, anomaly, severity), a row for each rule that holds; an empty body is only that. Repetition is measured on the raw lines."""
     rule = lambda when, name, severity: F.when(when, F.struct(F.lit(name).alias("anomaly"), F.lit(severity).alias("severity")))
     n, t = F.col("text_length"), F.col("normalized_text")
@@ -104,5 +153,52 @@ def anomalies(docs: DataFrame, short: int = 30, repeated: float = 0.5, low: floa
             rule((T.low_information_ratio(t) > low) & (n >= short), "low_information_density", "low"),
         )
     )
-    lines = docs.withColumn("repeated_ratio", T.repeated_line_ratio(F.col("text")))
+    lines = docs.withColumn("repeated_ratio", T.repeated_line_ratio(F.col(text)))
     return lines.select("doc_id", F.explode(F.array_compact(rules)).alias("r")).select("doc_id", "r.anomaly", "r.severity")
+
+
+def audit_stage(raw: DataFrame, limit: int | None = None, order: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", title: str | None = None) -> dict[str, DataFrame]:
+    """Everything an audit reports, as tables: documents, missing fields, lengths, distributions, anomalies, duplicates and their detail rows.
+
+    limit stops the scan after so many records in the given order.
+    """
+    docs = build_documents(raw.orderBy(*order).limit(limit) if limit else raw, text, source, title)
+    found = anomalies(docs, text=text)
+    titles, bodies = exact_duplicates(docs, F.col("title"), "exact_title_duplicate"), exact_duplicates(docs, F.col("normalized_text"), "exact_body_duplicate")
+    near = near_duplicate_groups(near_duplicate_pairs(simhash_halves(docs, text)))
+    return {
+        "documents": docs,
+        "missing": missing_fields(docs, ["title", text, source]),
+        "profile": length_profile(docs),
+        "histogram": length_histogram(docs),
+        "sources": distribution(docs, F.col(source), 20),
+        "anomalies": found,
+        "anomaly_counts": found.groupBy("anomaly").agg(F.count("*").alias("n")),
+        "detail": detail_rows(titles.unionByName(bodies), near, found),
+    }
+
+
+def detail_rows(duplicates: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
+    """(record_type, key, doc_ids, severity, note): duplicates, near duplicates, then anomalies, for one file."""
+    none = F.lit(None).cast("string")
+    size = lambda n: F.concat(F.lit("group of "), F.col(n).cast("string"))
+    same = duplicates.select(F.col("kind").alias("record_type"), F.col("fingerprint").alias("key"), "doc_ids", none.alias("severity"), size("n").alias("note"))
+    like = near.select(F.lit("near_duplicate").alias("record_type"), F.md5("doc_ids").alias("key"), "doc_ids", none.alias("severity"), size("n").alias("note"))
+    odd = found.select(F.lit("anomaly").alias("record_type"), F.col("anomaly").alias("key"), F.col("doc_id").cast("string").alias("doc_ids"), "severity", none.alias("note"))
+    return same.unionByName(like).unionByName(odd)
+
+
+def review_rows(docs: DataFrame, detail: DataFrame, n: int, preview: int = 300) -> DataFrame:
+    """(sample_type, doc_id, title, source, text_length, flags, preview): n documents at random, n with anomalies and n duplicates.
+
+    At random is by the order of the id's MD5; detail names the others, each document once, in the order of their first row.
+    """
+    ids = detail.select("record_type", "key", F.posexplode(F.split("doc_ids", r"\|")).alias("pos", "id")).withColumn("doc_id", F.col("id").try_cast(docs.schema["doc_id"].dataType))
+    kind = F.when(F.contains("record_type", F.lit("duplicate")), F.lit("duplicate")).otherwise(F.lit("anomaly"))
+    firsts = ids.withColumn("sample_type", kind).groupBy("sample_type", "doc_id").agg(F.min(F.struct("record_type", "key", "pos")).alias("at"))
+    order = Window.partitionBy("sample_type").orderBy("at", "doc_id")
+    picked = firsts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("sample_type", "doc_id")
+    chance = docs.select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(n).select(F.lit("random").alias("sample_type"), "doc_id")
+    text = F.coalesce(*[F.col(c) for c in ("cleaned_text", "normalized_text") if c in docs.columns])
+    rows = docs.select("doc_id", "title", F.col("publish_source").alias("source"), "text_length", F.array_join("quality_flags", "|").alias("flags"), F.left(text, F.lit(preview)).alias("preview"))
+    return chance.unionByName(picked).join(rows, "doc_id").select("sample_type", "doc_id", "title", "source", "text_length", "flags", "preview")

@@ -30,16 +30,42 @@ def candidates(units: DataFrame, preset: Preset = LATIN, least: int = 12) -> Dat
     return s.withColumn("c", F.explode(F.array_compact(rules))).select("doc_id", "part", "pos", "c.question_type", "c.question", F.col("sentence").alias("gold_answer"))
 
 
-def filter_reason(question: Column, evidence: Column, shortest: int, longest: int, overlap: float) -> Column:
-    """Why a candidate goes, or null: too_short, too_long, placeholder, missing_evidence, weak_question_evidence_overlap."""
+def actor_candidates(units: DataFrame, preset: Preset = LATIN, least: int = 12) -> DataFrame:
+    """Candidates of type responsibility, as `candidates` has them: sentences with a marker of duty and one of an actor."""
+    s = units.select("doc_id", "part", F.posexplode(T.bare_sentences(F.col("text"), preset.delimiters)).alias("pos", "sentence")).where(F.char_length("sentence") >= least)
+    has = lambda marks: F.reduce(F.array(*[F.contains("sentence", F.lit(m)) for m in marks]), F.lit(False), lambda a, x: a | x)
+    label = F.concat(F.lit("part "), F.col("part").cast("string"))
+    seed = F.concat(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")), F.lit(":responsibility"))
+    question = T.pick_template([F.concat(F.lit("Who is responsible under "), label, F.lit("?")), F.concat(F.lit("Whom does "), label, F.lit(" name as responsible?"))], seed)
+    return s.where(has(preset.responsibility) & has(preset.actor)).select("doc_id", "part", "pos", F.lit("responsibility").alias("question_type"), question.alias("question"), F.col("sentence").alias("gold_answer"))
+
+
+def comparison_candidates(units: DataFrame, preset: Preset = LATIN) -> DataFrame:
+    """Candidates of type comparison with their pair: two known terms that a unit names, or two that it sets side by side."""
+    known = [F.when(F.contains("text", F.lit(a)) & F.contains("text", F.lit(b)), F.array(F.lit(a), F.lit(b))) for a, b in preset.pairs]
+    side = [T.clean_term(F.regexp_extract("text", preset.pair, k)) for k in (1, 2)]
+    found = F.array_compact(F.array(*known, F.when(F.col("text").rlike(preset.pair), F.array(*side))))
+    rows = units.select("doc_id", "part", "text", F.posexplode(found).alias("pos", "pair"))
+    a, b = F.col("pair")[0], F.col("pair")[1]
+    seed = F.concat(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")), F.lit(":comparison"))
+    question = T.pick_template([F.concat(F.lit("How do "), a, F.lit(" and "), b, F.lit(" differ?")), F.concat(F.lit("What sets "), a, F.lit(" apart from "), b, F.lit("?"))], seed)
+    return rows.select("doc_id", "part", "pos", F.lit("comparison").alias("question_type"), question.alias("question"), F.col("text").alias("gold_answer"), "pair")
+
+
+def filter_reason(question: Column, evidence: Column, shortest: int, longest: int, overlap: float, kind: Column | None = None, pair: Column | None = None, preset: Preset = LATIN) -> Column:
+    """Why a candidate goes, or null: too_short, too_long, placeholder, missing_evidence, malformed_comparison, malformed_unanswerable, weak_question_evidence_overlap.
+
+    With its kind a comparison must have a pair of two, and an unanswerable question no answer; that is all it needs.
+    """
     n = F.char_length(question)
-    return (
-        F.when(n < shortest, "too_short")
-        .when(n > longest, "too_long")
-        .when(question.rlike(r"\?\?|__|TODO"), "placeholder")
-        .when(~T.present(evidence), "missing_evidence")
-        .when(T.overlap_ratio(T.gram_set(question, 2), T.gram_set(evidence, 2)) < overlap, "weak_question_evidence_overlap")
-    )
+    kind = F.lit("") if kind is None else kind
+    marks = F.reduce(F.array(*[F.contains(question, F.lit(m)) for m in preset.placeholders]), F.lit(False), lambda a, x: a | x)
+    out = F.when(n < shortest, "too_short").when(n > longest, "too_long").when(marks, "placeholder")
+    out = out.when((kind != "unanswerable") & ~T.present(evidence), "missing_evidence")
+    if pair is not None:
+        out = out.when((kind == "comparison") & (F.coalesce(F.size(pair), F.lit(0)) != 2), "malformed_comparison")
+    out = out.when((kind == "unanswerable") & T.present(evidence), "malformed_unanswerable")
+    return out.when((kind != "unanswerable") & (T.overlap_ratio(T.gram_set(question, 2), T.gram_set(evidence, 2)) < overlap), "weak_question_evidence_overlap")
 
 
 def lexical_dedup(found: DataFrame) -> DataFrame:
@@ -78,29 +104,89 @@ def fill_quotas(found: DataFrame, per_doc: int, per_type: int) -> DataFrame:
     return rows.withColumn("_t", F.row_number().over(Window.partitionBy("question_type").orderBy("_h", "doc_id"))).where(F.col("_t") <= per_type).drop("_h", "_d", "_t")
 
 
-def final_selection(found: DataFrame, quota: int, per_doc: int = 2) -> DataFrame:
-    """Up to quota of each type; documents may give per_doc over all types first, and what lacks is filled without that cap.
+def final_selection(found: DataFrame, quota: int, per_doc: int = 2, per_part: int = 1) -> DataFrame:
+    """Up to quota of each type; documents may give per_doc and units per_part over all types first, and what lacks is filled without caps.
 
-    The caps run across types, so the few candidates that quotas leave are taken in one ordered pass.
+    Each type is taken in the order of what its documents and units have given so far. The caps run across types, so the
+    few candidates that quotas leave are taken in one ordered pass.
     """
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["question_type", "doc_id", "part", "pos"]).reset_index(drop=True)
-        used: dict[int, int] = {}
+        docs: dict[int, int] = {}
+        parts: dict[tuple[int, int], int] = {}
         taken = []
         for kind in TYPES:
             own = rows.index[rows["question_type"] == kind].tolist()
-            first = []
+            of = {i: (rows.at[i, "doc_id"], (rows.at[i, "doc_id"], rows.at[i, "part"])) for i in own}
+            own.sort(key=lambda i: (docs.get(of[i][0], 0), parts.get(of[i][1], 0), i))
+            first: list[int] = []
             for i in own:
-                if len(first) < quota and used.get(rows.at[i, "doc_id"], 0) < per_doc:
+                d, p = of[i]
+                if len(first) < quota and docs.get(d, 0) < per_doc and parts.get(p, 0) < per_part:
                     first.append(i)
-                    used[rows.at[i, "doc_id"]] = used.get(rows.at[i, "doc_id"], 0) + 1
-            taken += first + [i for i in own if i not in first][: quota - len(first)]
+                    docs[d], parts[p] = docs.get(d, 0) + 1, parts.get(p, 0) + 1
+            rest = [i for i in own if i not in set(first)][: quota - len(first)]
+            for i in rest:
+                d, p = of[i]
+                docs[d], parts[p] = docs.get(d, 0) + 1, parts.get(p, 0) + 1
+            taken += first + rest
         yield rows.loc[taken]
 
     return fill_quotas(found, quota, quota * 3).coalesce(1).mapInPandas(choose, found.schema)
 
 
+def to_records(found: DataFrame, units: DataFrame) -> DataFrame:
+    """(query_id, question, question_type, answerable, gold_answer, gold_evidence, metadata): candidates with the text of their unit as evidence."""
+    ids = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("part").cast("string"))
+    held = found.join(units.select("doc_id", "part", F.col("text").alias("_evidence")), ["doc_id", "part"], "left")
+    order = Window.partitionBy("question_type").orderBy("doc_id", "part", "pos")
+    number = F.lpad(F.row_number().over(order).cast("string"), 4, "0")
+    answerable = F.col("question_type") != "unanswerable"
+    evidence = F.struct(ids.alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("_evidence").alias("evidence_text"))
+    none = F.array().cast("array<struct<chunk_id:string,doc_id:string,evidence_text:string>>")
+    return held.select(
+        F.concat_ws("_", "question_type", number).alias("query_id"),
+        "question",
+        "question_type",
+        answerable.alias("answerable"),
+        "gold_answer",
+        F.when(answerable, F.array(evidence)).otherwise(none).alias("gold_evidence"),
+        F.create_map(F.lit("source_doc_id"), F.col("doc_id").cast("string"), F.lit("source_chunk_id"), ids).alias("metadata"),
+    )
+
+
+def distribution_by_stage(stages: dict[str, DataFrame]) -> DataFrame:
+    """(question_type, one column per stage) of the numbers of candidates; every type has a row."""
+    types = next(iter(stages.values())).sparkSession.createDataFrame([(t,) for t in TYPES], "question_type string")
+    for name, found in stages.items():
+        counts = found.groupBy("question_type").agg(F.count("*").alias(name))
+        types = types.join(F.broadcast(counts), "question_type", "left").fillna(0, [name])
+    return types
+
+
+def unanswerable_candidates(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """Candidates of type unanswerable from `experiments.unanswerable_pairs`: a unit is asked for a term that it does not hold; no answer."""
+    from corpusloom.operators import experiments
+
+    pairs = experiments.unanswerable_pairs(units, terms)
+    question = F.concat(F.lit("What does part "), F.col("part").cast("string"), F.lit(" say of "), F.col("term"), F.lit("?"))
+    return pairs.select("doc_id", "part", F.lit(0).alias("pos"), F.lit("unanswerable").alias("question_type"), question.alias("question"), F.lit("").alias("gold_answer"))
+
+
+def benchmark_stage(units: DataFrame, quota: int, least: int = 0, per_doc: int = 6, per_type: int = 200, shortest: int = 12, longest: int = 120, overlap: float = 0.12, preset: Preset = LATIN) -> tuple[DataFrame, DataFrame]:
+    """(records, distribution): candidates of all types, filled to quotas, filtered, deduplicated and selected; fewer than `least` is an error."""
+    raw = candidates(units, preset).unionByName(actor_candidates(units, preset)).unionByName(comparison_candidates(units, preset).drop("pair"))
+    terms = candidates(units, preset).where("question_type = 'definition'").select("doc_id", T.clean_term(F.regexp_extract("gold_answer", preset.definition, 1)).alias("term")).where(F.char_length("term") >= 2)
+    raw = fill_quotas(raw.unionByName(unanswerable_candidates(units, terms)), per_doc, per_type)
+    kept = raw.where(filter_reason(F.col("question"), F.col("gold_answer"), shortest, longest, overlap, F.col("question_type")).isNull())
+    deduped = semantic_dedup(kept)
+    final = final_selection(deduped, quota)
+    if least and final.count() < least:
+        raise ValueError(f"fewer than {least} candidates are left")
+    return to_records(final, units), distribution_by_stage({"raw": raw, "deduped": deduped, "final": final})
+
+
 def adjacent_pairs(units: DataFrame) -> DataFrame:
     """(doc_id, part, next_part): neighbouring units of a document that differ."""
     order = Window.partitionBy("doc_id").orderBy("part")

@@ -15,6 +15,11 @@ from corpusloom.functions.presets import LATIN, Preset
 SCHEMA = "doc_id long, chunk_index int, text string, start_char int, end_char int, section_path array<string>"
 
 
+def _schema(docs: DataFrame) -> str:
+    """SCHEMA with the documents' own kind of id."""
+    return SCHEMA.replace("long", docs.schema["doc_id"].dataType.simpleString(), 1)
+
+
 def fixed_windows(docs: DataFrame, size: int = 500, overlap: int = 100, text: str = "normalized_text") -> DataFrame:
     """(doc_id, chunk_index, text, start_char, end_char) of windows that advance by size - overlap; the last one ends the text."""
     if overlap >= size:
@@ -72,7 +77,7 @@ def sentence_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, text:
                 rows += [(doc, k, t[a:b].strip(), a, b, []) for k, (a, b) in enumerate(spans)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "start_char", "end_char", "section_path"])
 
-    return docs.select("doc_id", text).mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", text).mapInPandas(run, _schema(docs))
 
 
 def _level(label: str, levels: tuple[str, ...]) -> int:
@@ -92,8 +97,33 @@ def segments(text: str, heading: re.Pattern, levels: tuple[str, ...]) -> list[tu
     return [s for s in out if text[s[2] : s[3]].strip()]
 
 
-def structure(text: str, most: int, least: int, heading: re.Pattern, levels: tuple[str, ...], sentence: re.Pattern) -> list[tuple[str, int, int, list[str]]]:
-    """(text, start, end, path): segments gathered up to `most`, parted at new sections, cut if too long, short ones merged back."""
+def _grouped(units: list[str], most: int) -> list[str]:
+    """Units that follow one another, together up to `most`."""
+    out: list[str] = []
+    for unit in units:
+        if out and len(out[-1]) + len(unit) <= most:
+            out[-1] += unit
+        else:
+            out.append(unit)
+    return out
+
+
+def split_long(text: str, most: int, sentence: re.Pattern, secondary: re.Pattern) -> list[str]:
+    """Parts of a text longer than `most`: whole sentences if there are several, else parts at secondary boundaries, else cuts."""
+    sentences = [m.group() for m in sentence.finditer(text) if m.group().strip()]
+    parts = _grouped(sentences, most) if len(sentences) > 1 else []
+    if len(parts) < 2:
+        parts = _grouped([x for x in secondary.split(text) if x.strip()], most)
+    return parts if len(parts) > 1 else [text[at : at + most] for at in range(0, len(text), most)]
+
+
+def structure(text: str, most: int, least: int, heading: re.Pattern, levels: tuple[str, ...], sentence: re.Pattern, secondary: re.Pattern | None = None, overlap: int = 0) -> list[tuple[str, int, int, list[str]]]:
+    """(text, start, end, path): segments gathered up to `most`, parted at new sections, cut if too long, short ones merged back.
+
+    What is cut is cut at sentences, else at secondary boundaries, else anywhere. Each later part of a cut begins with
+    the last `overlap` sentences of the part before it, which its start does not count.
+    """
+    secondary = secondary or sentence
     groups: list[list] = []
     for s in segments(text, heading, levels):
         last = groups[-1] if groups else None
@@ -106,8 +136,21 @@ def structure(text: str, most: int, least: int, heading: re.Pattern, levels: tup
     pieces = []
     for g in groups:
         start, end, path = g[0][2], g[-1][3], g[-1][4]
-        spans = [(start, end)] if end - start <= most else [(start + a, start + b) for a, b in pack_sentences(text[start:end], most, 0, sentence)]
-        pieces += [[text[a:b].strip(), a, b, path] for a, b in spans]
+        own = text[start:end].strip()
+        if len(own) <= most:
+            pieces.append([own, start, end, path])
+            continue
+        at, prefix = text.index(own, start), ""
+        for part in split_long(own, most, sentence, secondary):
+            bare = part.strip()
+            if not bare:
+                continue
+            begin = text.find(bare, at)
+            begin = at if begin < 0 else begin
+            at = begin + len(bare)
+            pieces.append([f"{prefix}{bare}", begin, at, path])
+            said = [m.group().strip() for m in sentence.finditer(bare) if m.group().strip()]
+            prefix = "".join(said[-overlap:]) if overlap else ""
     out: list[list] = []
     for p in pieces:
         if out and len(p[0]) < least:
@@ -117,19 +160,19 @@ def structure(text: str, most: int, least: int, heading: re.Pattern, levels: tup
     return [tuple(p) for p in out if p[0]]
 
 
-def structure_chunks(docs: DataFrame, most: int = 500, least: int = 50, text: str = "text", preset: Preset = LATIN) -> DataFrame:
-    """Structure-aware chunks in SCHEMA."""
+def structure_chunks(docs: DataFrame, most: int = 500, least: int = 50, text: str = "text", preset: Preset = LATIN, overlap: int = 0) -> DataFrame:
+    """Structure-aware chunks in SCHEMA; `overlap` sentences of a cut part begin the next."""
     heading, cls = re.compile(preset.heading), re.escape(preset.delimiters)
-    sentence, levels = re.compile(f"[^{cls}]+[{cls}]?"), preset.levels
+    sentence, levels, secondary = re.compile(f"[^{cls}]+[{cls}]?"), preset.levels, re.compile(preset.secondary)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc, t in zip(frame.iloc[:, 0], frame.iloc[:, 1]):
-                rows += [(doc, k, *c) for k, c in enumerate(structure(t or "", most, least, heading, levels, sentence))]
+                rows += [(doc, k, *c) for k, c in enumerate(structure(t or "", most, least, heading, levels, sentence, secondary, overlap))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "start_char", "end_char", "section_path"])
 
-    return docs.select("doc_id", text).mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", text).mapInPandas(run, _schema(docs))
 
 
 def merge_short(chunks: DataFrame, least: int) -> DataFrame:
@@ -141,6 +184,39 @@ def merge_short(chunks: DataFrame, least: int) -> DataFrame:
     return merged.select("doc_id", (F.col("_island") - 1).cast("int").alias("chunk_index"), "n_merged", "start_char", "end_char")
 
 
+def chunk_stage(docs: DataFrame, method: str = "both", size: int = 500, overlap: int = 100, least: int = 50, preset: Preset = LATIN, sentences: int = 0) -> DataFrame:
+    """Chunks by method fixed, structure or both, in SCHEMA with chunk_id and chunk_method; docs (doc_id, text, normalized_text)."""
+    if method not in ("fixed", "structure", "both"):
+        raise ValueError(f"unknown method {method!r}; there are both, fixed and structure")
+    made = {}
+    if method != "structure":
+        made["fixed"] = sentence_chunks(docs, size, overlap, delimiters=preset.delimiters)
+    if method != "fixed":
+        made["structure"] = structure_chunks(docs, size, least, preset=preset, overlap=sentences)
+    out = None
+    for name, chunks in made.items():
+        rows = chunks.withColumns({"chunk_method": F.lit(name), "chunk_id": F.concat_ws("_", F.col("doc_id").cast("string"), F.lit(name), F.col("chunk_index").cast("string"))})
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def preferred(chunks: DataFrame, method: str) -> DataFrame:
+    """The chunks of a method, or all if there is none of it (or the method is `both`)."""
+    if method == "both" or chunks.where(F.col("chunk_method") == method).isEmpty():
+        return chunks
+    return chunks.where(F.col("chunk_method") == method)
+
+
+def articles(docs: DataFrame, article: str, least: int = 40, text: str = "text") -> DataFrame:
+    """(doc_id, part, label, text): texts parted at article headings, or whole without one; those that begin alike count once."""
+    t = T.normalize_space(F.col(text))
+    found = T.split_articles(t, article)
+    rows = docs.withColumn("_t", t).where(F.char_length("_t") >= least).select("doc_id", F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array("_t"))).alias("part", "text"))
+    rows = rows.withColumns({"text": T.normalize_space(F.col("text")), "label": F.nullif(F.regexp_extract("text", f"^{article}", 1), F.lit(""))}).where(F.char_length("text") >= least)
+    first = Window.partitionBy("doc_id", F.substring("text", 1, 120)).orderBy("part")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc_id", "part", "label", "text")
+
+
 def article_units(docs: DataFrame, least: int = 40, most: int = 2000, delimiter: str = "\n", text: str = "text") -> DataFrame:
     """(doc_id, part, text): a document's articles (here its lines) of fitting length; those that begin alike count once."""
     parts = docs.select("doc_id", F.posexplode(F.split(F.coalesce(text, F.lit("")), delimiter)).alias("part", "text"))

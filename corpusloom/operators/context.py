@@ -67,6 +67,12 @@ def guardrail_reasons(answer: Column, abstained: Column, top_score: Column, supp
     )
 
 
+def source_ref(metadata: Column) -> Column:
+    """The source file, article label and page of a context, those that it has, joined by | between spaces; null without any."""
+    parts = [F.nullif(F.btrim(F.coalesce(F.try_element_at(metadata, F.lit(k)), F.lit(""))), F.lit("")) for k in ("source_file", "article_label", "page")]
+    return F.nullif(F.concat_ws(" | ", *parts), F.lit(""))
+
+
 def citations(contexts: DataFrame, span: int = 120) -> DataFrame:
     """(query_id, label, doc_id, span_text) of each context."""
     return contexts.select("query_id", F.col("rank").cast("string").alias("label"), "doc_id", F.btrim(F.substring(F.col("text"), 1, span)).alias("span_text"))
@@ -77,3 +83,20 @@ def context_block(contexts: DataFrame) -> DataFrame:
     one = F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")\n"), F.col("text")).alias("t"))
     lists = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
     return lists.select("query_id", F.array_join(F.col("c.t"), "\n\n").alias("block"))
+
+
+def process_contexts(hits: DataFrame, most: int = 5, per_source: int = 2, dedupe: bool = True, compress: tuple[int, int] | None = None) -> DataFrame:
+    """The context stage: hits deduplicated, selected and compressed to (sentences a hit, sentences a query), in that order.
+
+    (query_id, rank, doc_id, text, original_count, processed_count, compressed).
+    """
+    counts = hits.groupBy("query_id").agg(F.count("*").alias("original_count"))
+    kept = hits
+    if dedupe:
+        first = dedupe_contexts(hits)
+        kept = hits.drop("rank").join(first, ["query_id", "doc_id"])
+    kept = select_contexts(kept, most, per_source)
+    if compress:
+        kept = compress_contexts(kept, *compress)
+    out = kept.select("query_id", "rank", "doc_id", "text").join(counts, "query_id")
+    return out.withColumns({"processed_count": F.count("*").over(Window.partitionBy("query_id")), "compressed": F.lit(compress is not None)})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -47,6 +47,14 @@ def token_f1(answer: Column, reference: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(2 * both / (F.size(a) + F.size(r)))
 
 
+def token_precision_recall(answer: Column, reference: Column) -> tuple[Column, Column]:
+    """The share of the answer's different tokens that the reference has, and the other way round; of no tokens 0."""
+    a, r = F.array_distinct(T.tokens(answer)), F.array_distinct(T.tokens(reference))
+    both = F.size(F.array_intersect(a, r))
+    over = lambda n: F.when(F.size(n) == 0, F.lit(0.0)).otherwise(both / F.size(n))
+    return over(a), over(r)
+
+
 def generation_metrics(answers: DataFrame, gold: DataFrame) -> DataFrame:
     """answers (query_id, answer, abstained, used) against gold (query_id, reference, supporting, answerable, question_type)."""
     j = answers.join(gold, "query_id")
@@ -96,7 +104,3 @@ def ablation(metrics: DataFrame, names: list[str], variants: list[str]) -> DataF
     wide = metrics.groupBy("variant").agg(*[F.avg(m).alias(m) for m in names])
     long = wide.select("variant", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])).alias("x"))
     return long.groupBy("x.metric").pivot("variant", variants).agg(F.first("x.value")).withColumnRenamed("x.metric", "metric")
-
-
-def running_rank(by: list[str], order: list) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -68,30 +68,81 @@ def auto_eval(answers: DataFrame, testset: DataFrame, hits: DataFrame, ks: tuple
         F.collect_list("text").alias("contexts"),
         *[F.max(((F.col("doc_id") == F.col("gold")) & (F.col("rank") <= k)).cast("double")).alias(f"recall_{k}") for k in ks],
     )
-    rows = testset.join(answers.select("query_id", "answer"), "query_id").join(held, "query_id", "left")
+    given = [c for c in ("answer", "citation_support_rate") if c in answers.columns]
+    rows = testset.join(answers.select("query_id", *given), "query_id").join(held, "query_id", "left")
     q, a, t = F.col("question"), F.col("answer"), F.col("truth")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select(
         "query_id",
         context.support_ratio(a, F.coalesce("contexts", F.array().cast("array<string>"))).alias("faithfulness"),
         T.overlap_ratio(T.tokens(q), T.tokens(a)).alias("answer_relevancy"),
+        T.overlap_ratio(T.tokens(q), T.tokens(a)).alias("answer_relevance"),
+        (F.col("citation_support_rate") if "citation_support_rate" in rows.columns else F.lit(0.0)).alias("citation_support_rate"),
         zero(F.col("context_precision")).alias("context_precision"),
         T.overlap_ratio(T.tokens(t), T.tokens(a)).alias("answer_correctness"),
         *[zero(F.col(f"recall_{k}")).alias(f"recall_{k}") for k in ks],
     )
 
 
+#: Terms that a unit is tried with before the rest are.
+TRIED = 8
+
+
 def unanswerable_pairs(units: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, part, term): for each unit the first defined term (doc_id, term) of another document that it does not hold.
+    """(doc_id, part, term): for each unit a defined term (doc_id, term) of another document that it does not hold; every term is open to it.
 
-    A unit meets the terms of its own bucket of the terms' hash only, one term of every bucket at most, so the
-    result is one row per unit and no pair of all with all is made.
+    Different terms stand in a ring in the order of their hash, and a unit takes the first of them that fits from its own
+    hash on. Nearly every unit is served by the first TRIED terms, which it meets by number; only units that hold all of
+    these, or share their document, go on to the rest, so that no product of all with all is made.
+    """
+    order = Window.partitionBy("b").orderBy("h", "term")
+    once = terms.groupBy("term").agg(F.collect_set("doc_id").alias("docs")).withColumn("h", F.xxhash64("term"))
+    parts = 256
+    ring = once.withColumn("b", F.pmod("h", F.lit(parts))).withColumn("i", F.row_number().over(order) - 1)
+    sizes = ring.groupBy("b").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("b")) - F.col("n"))
+    ring = ring.join(F.broadcast(starts), "b").select((F.col("start") + F.col("i")).alias("at"), "term", "docs")
+    total = starts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    placed = units.crossJoin(F.broadcast(total)).where("total > 0")
+    first = Window.partitionBy("doc_id", "part").orderBy("turn")
+
+    def fitting(rows: DataFrame, turns: Column) -> DataFrame:
+        tried = rows.withColumn("turn", F.explode(turns)).withColumn("at", F.pmod(F.pmod(F.xxhash64("doc_id", "part"), F.col("total")) + F.col("turn"), F.col("total")))
+        met = tried.join(ring, "at").where(~F.array_contains("docs", F.col("doc_id")) & ~F.contains("text", "term"))
+        return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc_id", "part", "term")
+
+    some = fitting(placed, F.sequence(F.lit(0), F.least(F.col("total"), F.lit(TRIED)) - 1))
+    late = placed.where(F.col("total") > TRIED).join(some.select("doc_id", "part"), ["doc_id", "part"], "left_anti")
+    return some.unionByName(fitting(late, F.sequence(F.lit(TRIED), F.col("total") - 1)))
+
+
+def run_stages(variants: Mapping[str, Mapping[str, Callable[[dict], DataFrame]]]) -> tuple[dict[str, dict[str, DataFrame]], list[dict]]:
+    """(results, failures): each variant's stages in order, each given the results of those before it.
+
+    A stage's plan is run where it fails or not by counting; a variant that fails names the stage and keeps what came before.
     """
-    buckets = 64
-    numbered = terms.select(F.col("doc_id").alias("from_doc"), "term", F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("b"))
-    pick = Window.partitionBy("b").orderBy("term", "from_doc")
-    few = numbered.withColumn("_n", F.row_number().over(pick)).where("_n <= 2").drop("_n")
-    at = units.withColumn("b", F.pmod(F.xxhash64("doc_id", "part"), F.lit(buckets)))
-    met = at.join(F.broadcast(few), "b").where((F.col("doc_id") != F.col("from_doc")) & ~F.contains("text", "term"))
-    first = Window.partitionBy("doc_id", "part").orderBy("term", "from_doc")
-    return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc_id", "part", "term")
+    results, failures = {}, []
+    for name, stages in variants.items():
+        done: dict[str, DataFrame] = {}
+        for stage, make in stages.items():
+            try:
+                done[stage] = make(done)
+                done[stage].count()
+            except Exception as e:  # a variant's own failure belongs in the report
+                done.pop(stage, None)
+                failures.append({"variant": name, "stage": stage, "error": f"{type(e).__name__}: {str(e)[:300]}"})
+                break
+        results[name] = done
+    return results, failures
+
+
+def auto_eval_variants(variants: Mapping[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]], testset: DataFrame) -> DataFrame:
+    """(variant, mean metrics): each variant's answers and hits for the test set, scored by `auto_eval`; all in one plan."""
+    out = None
+    for name, run in variants.items():
+        answers, hits = run(testset)
+        scored = auto_eval(answers, testset, hits)
+        names = [c for c in scored.columns if c != "query_id"]
+        row = scored.agg(*[F.avg(c).alias(c) for c in names]).select(F.lit(name).alias("variant"), *names)
+        out = row if out is None else out.unionByName(row)
+    return out

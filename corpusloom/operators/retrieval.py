@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,41 +30,52 @@ def postings(texts: DataFrame, key: str, terms: Column) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, okapi: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 of queries (query_id, query_text) over docs (doc_id, text).
 
-    Only postings of query terms are joined; document lengths and frequencies are over all documents.
+    Words are filtered by the asked ones where documents are split, so only postings of query terms are shuffled;
+    document lengths and frequencies are over all documents. Okapi's mean idf needs the frequencies of all terms.
     """
-    lengths = docs.select("doc_id", F.size(T.tokens(F.col("text"))).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    split = docs.select("doc_id", T.tokens(F.col("text")).alias("t"))
+    stats = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     asked = postings(queries.withColumnRenamed("query_text", "text"), "query_id", T.tokens(F.col("text"))).withColumnRenamed("tf", "qtf")
-    index = postings(docs, "doc_id", T.tokens(F.col("text")))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
     terms = asked.select("term").distinct()
+    words = split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    index = words.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     if okapi:
+        df = postings(docs, "doc_id", F.array_distinct(T.tokens(F.col("text")))).groupBy("term").agg(F.count("*").alias("df"))
         raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         idfs = df.crossJoin(F.broadcast(stats)).withColumn("raw", raw)
         mean = idfs.agg(F.avg("raw").alias("mean_idf"))
         idfs = idfs.join(terms, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean_idf") * 0.25).otherwise(F.col("raw")).alias("idf"))
     else:
-        known = df.join(terms, "term", "left_semi").crossJoin(F.broadcast(stats))
+        known = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
         idfs = known.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    matched = index.join(asked.join(idfs, "term"), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    matched = index.join(asked.join(idfs, "term"), "term").crossJoin(F.broadcast(stats))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     hits = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
     return ranked(hits, k)
 
 
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, k: int, n: int = 3) -> DataFrame:
-    """(query_id, doc_id, score, rank): cosine of character n-gram TF-IDF; grams that no document has count in a query's norm."""
-    index = postings(docs, "doc_id", T.char_ngrams(F.col("text"), n))
-    asked = postings(queries.withColumnRenamed("query_text", "text"), "query_id", T.char_ngrams(F.col("text"), n)).withColumnRenamed("tf", "qtf")
+    """(query_id, doc_id, score, rank): cosine of character n-gram TF-IDF; grams that no document has count in a query's norm.
+
+    Documents are dealt by id once; their grams are then counted, weighed and summed where they are. Only document
+    frequencies are shuffled, combined before, and of a document's weights only those of asked grams leave its row.
+    """
+    grams = T.char_ngrams(F.col("text"), n)
+    dealt = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(grams).alias("term"))
+    index = dealt.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    asked = postings(queries.withColumnRenamed("query_text", "text"), "query_id", grams).withColumnRenamed("tf", "qtf")
     total = docs.agg(F.count("*").alias("n"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(grams)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    weighed = index.join(df, "term").crossJoin(F.broadcast(total)).select("doc_id", "term", (F.col("tf") * idf).alias("w"))
-    norms = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     q = asked.join(df, "term", "left").crossJoin(F.broadcast(total)).select("query_id", "term", (F.col("qtf") * idf).alias("qw"))
     qnorm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weighed.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    hits = dots.join(norms, "doc_id").join(qnorm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    wanted = asked.select("term").distinct().withColumn("asked", F.lit(True))
+    weighed = index.join(df.join(wanted, "term", "left"), "term").crossJoin(F.broadcast(total)).select("doc_id", "term", "asked", (F.col("tf") * idf).alias("w"))
+    own = F.collect_list(F.when(F.col("asked"), F.struct("term", "w")))
+    rows = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), own.alias("own"))
+    dots = rows.select("doc_id", "norm", F.explode("own").alias("g")).select("doc_id", "norm", "g.term", "g.w").join(q, "term")
+    dots = dots.groupBy("query_id", "doc_id", "norm").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    hits = dots.join(qnorm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
     return ranked(hits.where("score > 0"), k)
 
 
@@ -71,12 +86,18 @@ def minmax(score: str, *by: str) -> Column:
     return F.when(high == low, F.lit(1.0)).otherwise((F.col(score) - low) / (high - low))
 
 
+def corpus_prior(corpus: Column, chunk_id: Column) -> Column:
+    """0.08 for structure, 0.02 for fixed chunks; without a named corpus the chunk's id tells."""
+    named = F.coalesce(corpus, F.when(F.contains(chunk_id, F.lit("structure")), F.lit("structure")).when(F.contains(chunk_id, F.lit("fixed")), F.lit("fixed")))
+    return F.when(named == "structure", 0.08).when(named == "fixed", 0.02).otherwise(0.0)
+
+
 def merge_corpora(hits: DataFrame, k: int) -> DataFrame:
     """hits (query_id, corpus, variant, doc_id, rank, score) of several corpora and query variants, one ranking for each query.
 
     0.65 of the score's place in its list, 0.30 / (60 + rank), and priors of the corpus and the variant; the best per document.
     """
-    corpus = F.when(F.col("corpus") == "structure", 0.08).when(F.col("corpus") == "fixed", 0.02).otherwise(0.0)
+    corpus = corpus_prior(F.col("corpus"), F.col("doc_id").cast("string"))
     variant = F.when(F.col("variant") == "original", 0.08).when(F.col("variant") == "multi_query", 0.05).when(F.col("variant") == "hyde", 0.03).otherwise(0.0)
     merged = 0.65 * minmax("score", "query_id", "corpus", "variant") + 0.30 / (RRF + F.col("rank")) + corpus + variant
     best = hits.withColumn("merged", merged).groupBy("query_id", "doc_id").agg(F.max("merged").alias("score"))
@@ -109,15 +130,99 @@ def rerank(hits: DataFrame, k: int, title: float = 0.4, body: float = 0.4, secti
     return ranked(hits.withColumn("score", score).drop("rank"), k)
 
 
+def dedupe_hits(hits: DataFrame, key: Column) -> DataFrame:
+    """Of a query's hits with equal keys the one of lowest rank (then highest score), ranked anew in that order."""
+    order = ["rank", F.desc("score"), "doc_id"]
+    first = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", key).orderBy(*order))).where("_n = 1").drop("_n")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("int"))
+
+
+Reranker = Callable[[DataFrame, int], DataFrame]
+
+
+def build_reranker(name: str = "none", **options) -> Reranker:
+    """A reranker of hits (query_id, query_text, doc_id, score, title, text[, section]) by name: none, heuristic, or cross with make=."""
+    if name == "none":
+        return lambda hits, k: ranked(hits.drop("rank"), k)
+    if name == "heuristic":
+        return lambda hits, k: rerank(hits, k, **options).withColumn("retrieval_method", F.concat("retrieval_method", F.lit("+heuristic_rerank")) if "retrieval_method" in hits.columns else F.lit("heuristic_rerank"))
+    if name == "cross":
+        from corpusloom.operators import models
+
+        return lambda hits, k: ranked(models.cross_scores(hits, options["make"]).drop("rank"), k)
+    raise ValueError(f"unknown reranker {name!r}; there are cross, heuristic and none")
+
+
+def retrieve_corpora(corpora: Mapping[str, DataFrame], variants: DataFrame, k: int, method: str = "bm25", retrieve_k: int = 20) -> DataFrame:
+    """One ranking a query from several corpora (doc_id, text) and query variants (query_id, variant_no, source, text).
+
+    Every variant is asked of every corpus, all at once; `merge_corpora` makes one list of them. BM25 leaves out hyde variants
+    where there are others.
+    """
+    asked = variants.where("source != 'hyde'") if method == "bm25" else variants
+    asked = asked.select(F.struct("query_id", "variant_no").alias("query_id"), F.col("text").alias("query_text"))
+    search = {"bm25": bm25, "dense": tfidf_cosine}[method]
+    lists = None
+    for name, docs in corpora.items():
+        hits = search(docs, asked, retrieve_k).select("query_id.query_id", "query_id.variant_no", "doc_id", "rank", "score").withColumn("corpus", F.lit(name))
+        lists = hits if lists is None else lists.unionByName(hits)
+    named = lists.join(variants.select("query_id", "variant_no", F.col("source").alias("variant")), ["query_id", "variant_no"])
+    return merge_corpora(named, k)
+
+
+def retrieve(corpora: Mapping[str, DataFrame], variants: DataFrame, mode: str, k: int, retrieve_k: int = 20, reranker: Reranker | None = None, fusion: str = "rrf") -> DataFrame:
+    """The retrieval driver: bm25, dense or hybrid over corpora (doc_id, title, text), an optional reranker, then the first k.
+
+    (query_id, query_text, doc_id, title, text, score, rank, retrieval_method) for all queries at once.
+    """
+    if mode not in ("bm25", "dense", "hybrid"):
+        raise ValueError(f"unknown mode {mode!r}; there are bm25, dense and hybrid")
+    bodies = {name: d.select("doc_id", "text") for name, d in corpora.items()}
+    depth = retrieve_k if mode == "hybrid" or reranker else k
+    of = lambda method: retrieve_corpora(bodies, variants, depth, method, retrieve_k)
+    if mode == "hybrid":
+        hits = (rrf if fusion == "rrf" else fuse_scores)(of("bm25"), of("dense"), depth)
+    else:
+        hits = of(mode)
+    held = None
+    for d in corpora.values():
+        rows = d.select("doc_id", "title", "text")
+        held = rows if held is None else held.unionByName(rows).dropDuplicates(["doc_id"])
+    original = variants.where("variant_no = 0").select("query_id", F.col("text").alias("query_text"))
+    full = hits.join(held, "doc_id").join(original, "query_id").withColumn("retrieval_method", F.lit(mode))
+    return (reranker or build_reranker())(full, k)
+
+
+#: Queries in a tile, and vectors in one.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 32_768
+
+
 def inner_product_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): exact inner products of query vectors (query_id, q) with all vectors (doc_id, v).
 
-    The queries are broadcast while they are few (checked); more are paired by a plain join.
+    Tiles of a block of queries and one of vectors give each query's best k (and ties of them); only these are ranked.
     """
-    few = queries.count() <= 10_000
-    pairs = vectors.crossJoin(F.broadcast(queries) if few else queries)
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return ranked(pairs.select("query_id", "doc_id", dot.alias("score")), k)
+    n_q, n_v = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select(F.col("doc_id").alias("id"), F.col("v").cast("array<double>").alias("x"), part("doc_id", n_v).alias("vb"), every(n_q).alias("qb"))
+    q = queries.select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("x"), part("query_id", n_q).alias("qb"), every(n_v).alias("vb"))
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, other = b["id"].to_numpy(), a["id"].to_numpy()
+        found: list[tuple[np.ndarray, ...]] = []
+        if len(ids) and len(other):
+            x, y = (np.array(t["x"].to_pylist(), np.float64) for t in (a, b))
+            for at in range(0, len(ids), 256):
+                s = y[at : at + 256] @ x.T
+                least = np.partition(s, max(s.shape[1] - k, 0), 1)[:, max(s.shape[1] - k, 0)]
+                i, j = np.nonzero(s >= least[:, None] - 2e-9)
+                found.append((ids[at + i], other[j], s[i, j]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "doc_id", "score"), map(pa.array, columns))))
+
+    tiles = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(tile, "query_id long, doc_id long, score double")
+    return ranked(tiles, k)
 
 
 def query_variants(queries: DataFrame, generated: DataFrame | None = None) -> DataFrame:

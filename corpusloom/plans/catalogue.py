@@ -44,9 +44,21 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relevant(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, doc_id) of the documents that hold a benchmark passage verbatim; passages are broadcast while they are few."""
+    """(query_id, doc_id) of the documents that hold a benchmark passage verbatim.
+
+    A document that does holds the passage's inner words whole: the longest of them is what the two are joined on, and only
+    such pairs are compared. Passages of fewer than three words have none; they meet every document.
+    """
+    gap = r"[ \n\t]+"
     q, d = questions(spark, sf).select("query_id", "raw"), table(spark, sf, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(q) if q.count() <= 10_000 else q, F.contains("text", "raw")).select("query_id", "doc_id")
+    parts = F.split("raw", gap)
+    inner = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w")))
+    q = q.withColumn("word", F.array_max(inner)["w"])
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), gap))).alias("word"))
+    pairs = words.join(q.where("word is not null"), "word").select("query_id", "doc_id", "raw")
+    met = d.join(pairs, "doc_id").where(F.contains("text", "raw")).select("query_id", "doc_id")
+    short = d.join(q.where("word is null"), F.contains("text", "raw")).select("query_id", "doc_id")
+    return met.unionByName(short)
 
 
 def bm25_hits(spark: SparkSession, sf: str, k: int = TOP) -> DataFrame:
@@ -377,7 +389,13 @@ def context_select(spark, sf):
     return rounded(contexts(spark, sf))
 
 
-@registered()
+@registered(
+    f"WITH RECURSIVE {_FULL}, k(query_id, i, kept) AS (SELECT DISTINCT query_id, 0::BIGINT, CAST([] AS STRUCT(doc_id BIGINT, source VARCHAR, p VARCHAR)[]) FROM f "
+    "UNION ALL SELECT k.query_id, k.i + 1, CASE WHEN len(list_filter(k.kept, lambda x: x.source = f.source AND (starts_with(x.p, left(f.body, 120)) OR starts_with(left(f.body, 120), x.p)))) > 0 THEN k.kept "
+    "ELSE list_append(k.kept, {'doc_id': f.doc_id, 'source': f.source, 'p': left(f.body, 120)}) END FROM k JOIN f ON f.query_id = k.query_id AND f.rank = k.i + 1), "
+    "l AS (SELECT query_id, kept FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1) "
+    "SELECT query_id, generate_subscripts(kept, 1)::INT AS rank, unnest(list_transform(kept, lambda x: x.doc_id)) AS doc_id FROM l"
+)
 def context_dedupe(spark, sf):
     return context.dedupe_contexts(full_hits(spark, sf))
 
@@ -603,7 +621,7 @@ def candidate_dedup_lexical(spark, sf):
 
 @registered()
 def candidate_dedup_semantic(spark, sf):
-    return benchmark.semantic_dedup(benchmark.fill_quotas(found(spark, sf), 2, 200))
+    return benchmark.semantic_dedup(benchmark.fill_quotas(found(spark, sf), 6, 210))
 
 
 @registered()
@@ -644,3 +662,9 @@ def experiment_matrix(spark, sf):
 def citations(spark, sf):
     d = bodies(spark, sf)
     return context.citations(bm25_hits(spark, sf, 3).join(d, "doc_id"))
+
+
+from corpusloom.plans import more as _more  # noqa: E402
+
+QUERIES.update(_more.QUERIES)
+ORACLES.update(_more.ORACLES)

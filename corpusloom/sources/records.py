@@ -13,35 +13,56 @@ CHUNK = "chunk_id string, doc_id string, chunk_index int, chunk_method string, t
 QUERY = "query_id string, query_text string, metadata struct<question_type: string, answerable: boolean>"
 HIT = "struct<rank: int, chunk_id: string, doc_id: string, score: double, retrieval_method: string, chunk_text: string, title: string>"
 RESULT = f"query_id string, query_text string, hits array<{HIT}>"
-ANSWER = "query_id string, query_text string, answer string, abstained boolean, used_context_ids array<string>, generation_method string"
+CITATION = "struct<label: string, chunk_id: string, doc_id: string, title: string, span_text: string, rank: int, source_ref: string>"
+ANSWER = f"query_id string, query_text string, answer string, citations array<{CITATION}>, used_context_ids array<string>, generation_method string, abstained boolean, metadata map<string, string>"
+CANDIDATE = "query_id string, question string, question_type string, answerable boolean, gold_answer string, gold_evidence_chunk_ids array<string>, source_doc_id string, source_chunk_id string"
+TESTSET = "query_id string, query string, ground_truth_answer string, ground_truth_chunk_id string, ground_truth_doc_id string, evidence_text string"
+RETRIEVAL_GOLD = "query_id string, relevant_chunk_ids array<string>"
+GENERATION_GOLD = "query_id string, reference_answer string, supporting_chunk_ids array<string>, question_type string, answerable boolean"
 BENCHMARK = "query_id string, question string, question_type string, answerable boolean, gold_answer string, gold_evidence array<struct<chunk_id: string, doc_id: string, evidence_text: string>>"
 ALIASES = {"title": "title", "sub_title": "subTitle", "data_time": "dataTime", "publish_source": "publishSource", "intro_title": "introTitle"}
 
 
 def _records(text: DataFrame) -> DataFrame:
-    """(source_file, record_index, record variant) of whole files (source_file, value): JSON Lines, an array, or an object with a data array.
+    """(source_file, record_index, record variant) of whole files (source_file, value): an array, an object with a data array, or JSON Lines.
 
-    What does not parse as one document is read as JSON Lines; a record's index counts blank lines too. A line
-    that is no object is an error.
+    What does not parse as one document is read as JSON Lines.
     """
     whole = text.withColumn("v", F.try_parse_json("value"))
     kind = F.schema_of_variant("v")
     items = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(kind.startswith("OBJECT"), F.try_variant_get("v", "$.data", "array<variant>"))
     parsed = whole.withColumn("items", items)
     listed = parsed.where("items is not null").select("source_file", F.posexplode("items").alias("record_index", "record"))
-    lines = parsed.where("items is null").select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("record_index", "line")).where(F.btrim("line") != "")
+    lines = parsed.where("items is null").select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("record_index", "line"))
+    return listed.unionByName(_parsed(lines))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Records of lines (source_file, record_index, line) but blank ones; a line that is no object is an error."""
     record = F.parse_json("line")
     bad = F.when(~F.schema_of_variant(record).startswith("OBJECT"), F.raise_error(F.concat(F.lit("not an object in "), "source_file")))
-    return listed.unionByName(lines.select("source_file", "record_index", F.coalesce(bad.cast("variant"), record).alias("record")))
+    return lines.where(F.btrim("line") != "").select("source_file", F.col("record_index").cast("int").alias("record_index"), F.coalesce(bad.cast("variant"), record).alias("record"))
+
+
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(source_file, record_index, line) of .jsonl files, blank lines counted; a file of any size is read in splits.
+
+    A line's index is its place in its split and the number of lines in the file's splits before that one.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select("path", "block", "first", before.alias("before"))
+    return lines.join(F.broadcast(heads), ["path", "block"]).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), (F.col("before") + F.col("at") - F.col("first")).alias("record_index"), "line")
 
 
 def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
     """Raw records of .json and .jsonl files (or folders of them), with aliased fields as text and the whole record in `extra`."""
     if any(Path(p).suffix not in ("", ".json", ".jsonl") for p in paths):
         raise ValueError("only .json and .jsonl files can be read")
-    text = spark.read.text(list(paths), wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
+    text = spark.read.option("pathGlobFilter", "*.json").text(list(paths), wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
     get = lambda k: F.try_variant_get("record", f"$.{k}", "string")
-    rows = _records(text)
+    rows = _records(text).unionByName(_parsed(read_lines(spark, *paths)))
     body = F.coalesce(F.nullif(get("contentText"), F.lit("")), get("content"))
     return rows.select(F.concat_ws(":", "source_file", F.col("record_index").cast("string")).alias("doc_id"), "source_file", "record_index", *[get(j).alias(c) for c, j in ALIASES.items()], body.alias("content_text"), F.to_json("record").alias("extra"))
 
@@ -56,12 +77,29 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_in_turn(path: str, *tables: DataFrame) -> None:
+    """The first table replaces what is there, the others are added to it."""
+    for k, df in enumerate(tables):
+        write_table(df, path, "append" if k else "overwrite")
+
+
+def result_of(results: DataFrame, query_id: str) -> DataFrame:
+    """The result of one query, a row or none."""
+    return results.where(F.col("query_id") == query_id).limit(1)
+
+
 def required(df: DataFrame, *names: str) -> DataFrame:
     """df, failing when it is read on a row that lacks one of the fields."""
     check = lambda n: F.when(F.col(n).isNull(), F.raise_error(F.lit(f"missing field {n}"))).otherwise(F.col(n))
     return df.withColumns({n: check(n) for n in names})
 
 
+def read_gold(spark: SparkSession, kind: str, *paths: str) -> DataFrame:
+    """Plain gold, retrieval or generation; what lacks counts as an answerable question of type other."""
+    g = read_table(spark, {"retrieval": RETRIEVAL_GOLD, "generation": GENERATION_GOLD}[kind], *paths)
+    return g if kind == "retrieval" else g.withColumns({"question_type": F.coalesce("question_type", F.lit("other")), "answerable": F.coalesce("answerable", F.lit(True))})
+
+
 def read_benchmark(spark: SparkSession, *paths: str) -> DataFrame:
     return required(read_table(spark, BENCHMARK, *paths), "query_id", "question", "question_type", "answerable", "gold_answer")
 
@@ -90,6 +128,26 @@ def details(duplicates: DataFrame, anomalies: DataFrame) -> DataFrame:
     return d.unionByName(a)
 
 
+def error_rows(errors: DataFrame) -> DataFrame:
+    """Errors (query_id, labels[, notes]) for a CSV: labels joined by |, notes by a | between spaces."""
+    notes = F.array_join("notes", " | ") if "notes" in errors.columns else F.lit("")
+    return errors.select("query_id", F.array_join("labels", "|").alias("labels"), notes.alias("notes"))
+
+
+def write_debug(payload: dict, path: str) -> None:
+    """One run's payload as indented JSON."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(payload, ensure_ascii=False, indent=2, default=str) + "\n")
+
+
+def read_report(spark: SparkSession, *paths: str) -> DataFrame:
+    """(source_file, section, key, value) of the `- key: value` lines of Markdown reports, in the section above each."""
+    text = spark.read.text(list(paths), wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.posexplode(F.split("value", "\n## ")).alias("_n", "part"))
+    lines = text.where("_n > 0").select("source_file", F.btrim(F.split_part("part", F.lit("\n"), F.lit(1))).alias("section"), F.explode(F.split("part", "\n")).alias("line"))
+    found = lambda k: F.regexp_extract("line", r"^- `?([^`:]+)`?: (.*)$", k)
+    return lines.where(F.col("line").rlike(r"^- `?[^`:]+`?: ")).select("source_file", "section", found(1).alias("key"), F.btrim(found(2)).alias("value"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
