@@ -9,13 +9,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import positioned, table, written
+from corpusloom.llm.common import positioned, small_batches, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 4096
@@ -38,7 +37,8 @@ class _Words:
     the special token, as in the library's own call.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,12 +63,12 @@ class _Words:
         parts = text.replace("\n", " ").split(" ")
         new = set(parts).difference(self.known)
         if new:
-            if len(self.known) + 2 * len(new) > REMEMBERED:
+            if len(self.known) + 2 * len(new) > self.remembered:
                 self.known = dict(self.first)
                 new = set(parts)
             self._learn(new)
         out = b"".join(map(self.known.__getitem__, parts))
-        if len(new) > REMEMBERED // 4:
+        if len(new) > self.remembered // 4:
             self.known = dict(self.first)
         return out
 
@@ -102,11 +102,11 @@ class _Words:
 
 
 @lru_cache(1)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _words(path: str, remembered: int) -> _Words:
+    return _Words(path, remembered)
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER, length: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER, length: int = SEQUENCE, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then END, cut only beyond `length`.
 
     A null text is empty and has one piece of one id. Repeated rows give repeated pieces; no rows, no pieces. A very long
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     end = END.to_bytes(4, "little")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows = _words(path), []
+        words, rows = _words(path, remembered), []
 
         def out() -> pa.RecordBatch:
             return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
@@ -205,19 +205,25 @@ def pack(parts: DataFrame, size: int = SEQUENCE) -> DataFrame:
         raise ValueError(f"pieces must have 1 to {size} tokens")
     runs = parts.sparkSession.sparkContext.broadcast(plan(histogram, size))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(pos: pd.Series) -> pd.DataFrame:
-        p = pos.to_numpy()
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(pos: pa.Array) -> pa.Array:
+        p = pos.to_numpy(zero_copy_only=False)
         start, length, each, sequence, offset = runs.value[np.searchsorted(runs.value[:, 0], p, "right") - 1].T
-        return pd.DataFrame({"sequence_id": sequence + (p - start) // each, "offset": offset + (p - start) % each * length})
+        return pa.StructArray.from_arrays([pa.array(sequence + (p - start) // each), pa.array(offset + (p - start) % each * length)], ["sequence_id", "offset"])
 
     placed = positioned(parts, [F.col("length"), F.col("doc_id"), F.col("piece")], "_pos")
     return placed.withColumn("_to", place("_pos")).withColumns({"sequence_id": F.col("_to.sequence_id"), "offset": F.col("_to.offset")}).drop("_pos", "_to")
 
 
-def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Every piece of every document with its place; an empty table of documents gives an empty result."""
-    return pack(written(pieces(docs, doc_id, text, keep_ids=keep_ids), "pieces"))
+def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """Every piece of every document with its place; an empty table of documents gives an empty result.
+
+    Null and very long texts, repeated rows and other columns are as in `pieces`; pieces of equal length stand in the order of
+    doc_id and piece. remembered bounds the words whose ids a worker keeps: it decides time and memory alone.
+    """
+    with small_batches(docs.sparkSession):
+        made = written(pieces(docs, doc_id, text, keep_ids=keep_ids, remembered=remembered), "pieces")
+    return pack(made)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
