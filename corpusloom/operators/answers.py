@@ -126,7 +126,15 @@ def normalise_payload(payload: Column, contexts: Column, require_ids: bool = Tru
         status = F.when(late & (status == "valid"), F.lit("forced_abstain_no_context_ids")).otherwise(status)
         return F.struct(s["answer"].alias("answer"), (s["abstained"] | forced | late).alias("abstained"), used.alias("used_context_ids"), s["invalid"].alias("invalid_context_ids"), status.alias("schema_status"))
 
-    return T.let(F.struct(answer.alias("answer"), payload["abstained"].alias("abstained"), valid.alias("valid"), invalid.alias("invalid"), _by_labels(answer, contexts).alias("labels"), _by_overlap(answer, contexts).alias("shared")), decide)
+    fields = F.struct(answer.alias("answer"), payload["abstained"].alias("abstained"), valid.alias("valid"), invalid.alias("invalid"), _by_labels(answer, contexts).alias("labels"))
+
+    def shared(s: Column) -> Column:
+        # Only where nothing else tells are texts searched.
+        needed = F.lit(require_ids) & (F.size(s["valid"]) == 0) & ~s["abstained"] & (F.size(s["labels"]) == 0)
+        found = F.when(needed, _by_overlap(s["answer"], contexts)).otherwise(_ids())
+        return F.struct(*[s[k].alias(k) for k in ("answer", "abstained", "valid", "invalid", "labels")], found.alias("shared"))
+
+    return T.let(fields, lambda s: T.let(shared(s), decide))
 
 
 def build_citations(used: Column, contexts: Column, span: int = 120) -> Column:
