@@ -292,7 +292,8 @@ def spot_reference(text):
 
 
 def test_spotsigs(spark, docs, held):
-    got = rows(spotsigs.edited_fingerprints(docs))
+    got = rows(spotsigs.edited_fingerprints(docs, groups=True))
+    assert keyed(r[:7] for r in got) == keyed(rows(spotsigs.edited_fingerprints(docs)))
     order = sorted(((d, t or "") for d, t in held), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     want = []
     for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
