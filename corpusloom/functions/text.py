@@ -140,7 +140,8 @@ def longest_overlap(a: Column, b: Column, least: int = 3, most: int = 24) -> Col
         starts = F.sequence(F.lit(1), F.greatest(F.char_length(a) - size + 1, F.lit(1)))
         return F.get(F.filter(F.transform(starts, lambda i: F.substring(a, i, size)), lambda s: (F.char_length(s) == size) & F.contains(b, s)), 0)
 
-    return F.coalesce(F.get(F.filter(F.transform(F.sequence(F.lit(most), F.lit(least)), of), lambda s: s.isNotNull()), 0), F.lit(""))
+    # Shorter runs are looked for only where no longer one was found.
+    return F.aggregate(F.sequence(F.lit(most), F.lit(least)), F.lit(""), lambda found, n: F.when(found != "", found).otherwise(F.coalesce(of(n), F.lit(""))))
 
 
 def clean_term(c: Column) -> Column:

@@ -23,8 +23,8 @@ SENTENCE_SUPPORT, CITATION_SUPPORT = 0.4, 0.6
 #: An answer is consistent if this share of its sentences is supported.
 CONSISTENT = 0.5
 
-CONTEXT = "struct<chunk_id:string,doc_id:string,title:string,text:string,rank:int,score:double>"
-CITATION = "struct<label:string,chunk_id:string,doc_id:string,title:string,span_text:string,rank:int>"
+CONTEXT = "struct<chunk_id:string,doc_id:string,title:string,text:string,rank:int,score:double,source_ref:string>"
+CITATION = "struct<label:string,chunk_id:string,doc_id:string,title:string,span_text:string,rank:int,source_ref:string>"
 
 
 def _ids(values: Column | None = None) -> Column:
@@ -140,7 +140,7 @@ def normalise_payload(payload: Column, contexts: Column, require_ids: bool = Tru
 def build_citations(used: Column, contexts: Column, span: int = 120) -> Column:
     """Citations of the used contexts, in the order of the contexts."""
     chosen = F.filter(contexts, lambda c: F.array_contains(used, c["chunk_id"]))
-    return F.transform(chosen, lambda c: F.struct(c["rank"].cast("string").alias("label"), c["chunk_id"].alias("chunk_id"), c["doc_id"].alias("doc_id"), c["title"].alias("title"), F.btrim(F.left(c["text"], F.lit(span))).alias("span_text"), c["rank"].alias("rank")))
+    return F.transform(chosen, lambda c: F.struct(c["rank"].cast("string").alias("label"), c["chunk_id"].alias("chunk_id"), c["doc_id"].alias("doc_id"), c["title"].alias("title"), F.btrim(F.left(c["text"], F.lit(span))).alias("span_text"), c["rank"].alias("rank"), c["source_ref"].alias("source_ref")))
 
 
 def alignment(used: Column, citations: Column, contexts: Column) -> Column:
@@ -208,11 +208,13 @@ def guarded(rows: DataFrame, least_top: float, least_support: float, brackets: b
 
 
 def gathered(hits: DataFrame) -> DataFrame:
-    """(query_id, contexts) from hits (query_id, doc_id, title, text, rank, score[, chunk_id]) of few rows a query."""
+    """(query_id, contexts) from hits (query_id, doc_id, title, text, rank, score[, chunk_id, metadata or source_file]) of few rows a query."""
+    named = {"metadata": lambda: context.source_ref(F.col("metadata")), "source_file": lambda: F.nullif(F.btrim("source_file"), F.lit(""))}
+    source = next((make() for name, make in named.items() if name in hits.columns), F.lit(None).cast("string"))
     chunk = F.col("chunk_id") if "chunk_id" in hits.columns else F.col("doc_id")
-    one = F.struct(F.col("rank").cast("int").alias("rank"), chunk.cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "title", "text", F.col("score").cast("double").alias("score"))
+    one = F.struct(F.col("rank").cast("int").alias("rank"), chunk.cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "title", "text", F.col("score").cast("double").alias("score"), source.alias("source_ref"))
     lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
-    return lists.select("query_id", F.transform("c", lambda c: F.struct(*[c[k].alias(k) for k in ("chunk_id", "doc_id", "title", "text", "rank", "score")])).alias("contexts"))
+    return lists.select("query_id", F.transform("c", lambda c: F.struct(*[c[k].alias(k) for k in ("chunk_id", "doc_id", "title", "text", "rank", "score", "source_ref")])).alias("contexts"))
 
 
 def extractive(rows: DataFrame, most_contexts: int = 3, most_sentences: int = 4, least_score: float = 0.0, delimiters: str = LATIN.delimiters) -> DataFrame:
@@ -257,8 +259,14 @@ def stage_counts(answers: DataFrame) -> DataFrame:
     return answers.groupBy("generation_method").agg(F.count("*").alias("n"), F.count_if("abstained").alias("n_abstained"), F.count_if(F.col("alignment.alignment_all_valid")).alias("n_aligned"), F.count_if(F.col("guardrail_status") == "blocked").alias("n_blocked"))
 
 
+#: The stages of a generation run by what an error says, the first that fits.
+FAILURES = (("input_lookup", ("no retrieval result",)), ("timeout", ("timeout", "timed out")), ("output_parsing", ("jsondecode", "parse")), ("schema_validation", ("used_context_ids", "schema")), ("citation_postprocess", ("citation",)), ("model_loading_or_inference", ("cuda", "mps", "model")))
+
+
 def failure_stage(error: Column) -> Column:
-    """Which stage an error text of a generation run names."""
+    """Which stage an error text (with the name of its kind) of a generation run names; `none` without one, and `generation` where nothing tells."""
     said = F.lower(F.coalesce(error, F.lit("")))
-    has = lambda *marks: F.reduce(F.array(*[F.contains(said, F.lit(m)) for m in marks]), F.lit(False), lambda a, x: a | x)
-    return F.when(said == "", F.lit("none")).when(has("retrieval", "query_id"), F.lit("load_input")).when(has("json", "payload", "parse"), F.lit("parse_response")).when(has("http", "url", "timeout", "connection", "model"), F.lit("llm_call")).otherwise(F.lit("unknown"))
+    out = F.when(said == "", F.lit("none"))
+    for stage, marks in FAILURES:
+        out = out.when(F.reduce(F.array(*[F.contains(said, F.lit(m)) for m in marks]), F.lit(False), lambda a, x: a | x), F.lit(stage))
+    return out.otherwise(F.lit("generation"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.presets import LATIN, Preset
+from corpusloom.sources.shared import saved
 
 TYPES = ("definition", "condition", "procedure", "responsibility", "comparison", "unanswerable")
 
@@ -74,26 +75,42 @@ def lexical_dedup(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def semantic_dedup(found: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """Candidates without those whose question is too like an earlier kept one of their type (greedy, in the order of doc_id, part, pos).
+def near_questions(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): keys (question_type, doc_id, part, pos) of rows of one type, a before b, whose questions' sets of 3-grams have a Jaccard index of at least threshold.
 
-    Questions are first made unique, so that what one group holds is the number of different questions.
+    Two such sets share one of their first grams in the order of frequency, so rows meet on these alone, rare ones as far
+    as their number allows; sizes are compared before the sets are.
     """
-    rows = lexical_dedup(found)
+    held = rows.select(F.struct("question_type", "doc_id", "part", "pos").alias("k"), "question_type", T.gram_set(F.lower("question")).alias("grams")).withColumn("n", F.size("grams"))
+    each = held.select("question_type", "k", "n", "grams", F.explode("grams").alias("gram"))
+    often = each.groupBy("question_type", "gram").agg(F.count("*").alias("df"))
+    prefixes = each.join(often, ["question_type", "gram"]).groupBy("question_type", "k", "n", "grams").agg(F.collect_list(F.struct("df", "gram")).alias("_g"))
+    prefixes = prefixes.select("question_type", "k", "n", "grams", F.explode(F.slice(F.sort_array("_g"), F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("g")).select("question_type", "k", "n", "grams", "g.gram")
+    side = lambda c: prefixes.select("question_type", "gram", *[F.col(x).alias(f"{x}_{c}") for x in ("k", "n", "grams")])
+    met = side("a").join(side("b"), ["question_type", "gram"]).where((F.col("k_a") < F.col("k_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9))
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    return met.where(shared >= threshold * (F.col("n_a") + F.col("n_b") - shared) - 1e-9).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
+
 
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[str]] = []
-        keep = []
-        for q in frame.sort_values(["doc_id", "part", "pos"])["question"]:
-            t = "".join(q.split()).lower()
-            g = {t[i : i + 3] for i in range(max(len(t) - 2, 1))}
-            near = any(len(g & k) >= threshold * len(g | k) for k in kept)
-            keep.append(not near)
-            if not near:
-                kept.append(g)
-        return frame.sort_values(["doc_id", "part", "pos"])[keep]
+def semantic_dedup(found: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """Candidates without those whose question is too like an earlier kept one of their type (greedy, in the order of doc_id, part, pos).
 
-    return rows.groupBy("question_type").applyInPandas(greedy, rows.schema)
+    Questions are made unique first. In each round those go that are like a question no earlier one is like: such a
+    question stays whatever else happens. What then has nothing before it is settled in the next round, until no two alike are left; so
+    the outcome is that of the greedy pass, with no task that holds a whole type. The places of candidates tell them apart.
+    """
+    rows = saved(lexical_dedup(found), "questions")
+    links, gone = saved(near_questions(rows, threshold), "alike"), None
+    while not links.isEmpty():
+        stays = links.select(F.col("a").alias("k")).distinct().join(links.select(F.col("b").alias("k")), "k", "left_anti")
+        goes = saved(links.join(stays.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct(), "gone")
+        gone = goes if gone is None else gone.unionByName(goes)
+        for c in ("a", "b"):
+            links = links.join(goes.withColumnRenamed("k", c), c, "left_anti")
+        links = saved(links, "alike")
+    if gone is None:
+        return rows
+    return rows.withColumn("k", F.struct("question_type", "doc_id", "part", "pos")).join(gone.distinct(), "k", "left_anti").select(*rows.columns)
 
 
 def fill_quotas(found: DataFrame, per_doc: int, per_type: int) -> DataFrame:
@@ -137,13 +154,19 @@ def final_selection(found: DataFrame, quota: int, per_doc: int = 2, per_part: in
 
 
 def to_records(found: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, question, question_type, answerable, gold_answer, gold_evidence, metadata): candidates with the text of their unit as evidence."""
-    ids = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("part").cast("string"))
-    held = found.join(units.select("doc_id", "part", F.col("text").alias("_evidence")), ["doc_id", "part"], "left")
+    """(query_id, question, question_type, answerable, gold_answer, gold_evidence, metadata): candidates with the texts of their units as evidence.
+
+    A candidate with next_part, a comparison of neighbours, has the evidence of both units, in order.
+    """
+    ids = lambda part: F.concat_ws(":", F.col("doc_id").cast("string"), F.col(part).cast("string"))
+    text = lambda part, name: units.select("doc_id", F.col("part").alias(part), F.col("text").alias(name))
+    rows = found if "next_part" in found.columns else found.withColumn("next_part", F.lit(None).cast("int"))
+    held = rows.join(text("part", "_evidence"), ["doc_id", "part"], "left").join(text("next_part", "_next"), ["doc_id", "next_part"], "left")
     order = Window.partitionBy("question_type").orderBy("doc_id", "part", "pos")
     number = F.lpad(F.row_number().over(order).cast("string"), 4, "0")
     answerable = F.col("question_type") != "unanswerable"
-    evidence = F.struct(ids.alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("_evidence").alias("evidence_text"))
+    evidence = lambda part, name: F.struct(ids(part).alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col(name).alias("evidence_text"))
+    both = F.array_compact(F.array(evidence("part", "_evidence"), F.when(F.col("next_part").isNotNull(), evidence("next_part", "_next"))))
     none = F.array().cast("array<struct<chunk_id:string,doc_id:string,evidence_text:string>>")
     return held.select(
         F.concat_ws("_", "question_type", number).alias("query_id"),
@@ -151,11 +174,20 @@ def to_records(found: DataFrame, units: DataFrame) -> DataFrame:
         "question_type",
         answerable.alias("answerable"),
         "gold_answer",
-        F.when(answerable, F.array(evidence)).otherwise(none).alias("gold_evidence"),
-        F.create_map(F.lit("source_doc_id"), F.col("doc_id").cast("string"), F.lit("source_chunk_id"), ids).alias("metadata"),
+        F.when(answerable, both).otherwise(none).alias("gold_evidence"),
+        F.create_map(F.lit("source_doc_id"), F.col("doc_id").cast("string"), F.lit("source_chunk_id"), ids("part")).alias("metadata"),
     )
 
 
+def to_candidates(found: DataFrame) -> DataFrame:
+    """Candidates as `records.CANDIDATE` has them, with the ids of their evidence and none yet of their own."""
+    ids = lambda part: F.concat_ws(":", F.col("doc_id").cast("string"), F.col(part).cast("string"))
+    answerable = F.col("question_type") != "unanswerable"
+    evidence = F.array_compact(F.array(ids("part"), F.when(F.col("next_part").isNotNull(), ids("next_part"))))
+    none = F.array().cast("array<string>")
+    return found.select(F.lit("").alias("query_id"), "question", "question_type", answerable.alias("answerable"), "gold_answer", F.when(answerable, evidence).otherwise(none).alias("gold_evidence_chunk_ids"), F.col("doc_id").cast("string").alias("source_doc_id"), ids("part").alias("source_chunk_id"))
+
+
 def distribution_by_stage(stages: dict[str, DataFrame]) -> DataFrame:
     """(question_type, one column per stage) of the numbers of candidates; every type has a row."""
     types = next(iter(stages.values())).sparkSession.createDataFrame([(t,) for t in TYPES], "question_type string")
@@ -174,17 +206,41 @@ def unanswerable_candidates(units: DataFrame, terms: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "part", F.lit(0).alias("pos"), F.lit("unanswerable").alias("question_type"), question.alias("question"), F.lit("").alias("gold_answer"))
 
 
-def benchmark_stage(units: DataFrame, quota: int, least: int = 0, per_doc: int = 6, per_type: int = 200, shortest: int = 12, longest: int = 120, overlap: float = 0.12, preset: Preset = LATIN) -> tuple[DataFrame, DataFrame]:
-    """(records, distribution): candidates of all types, filled to quotas, filtered, deduplicated and selected; fewer than `least` is an error."""
-    raw = candidates(units, preset).unionByName(actor_candidates(units, preset)).unionByName(comparison_candidates(units, preset).drop("pair"))
-    terms = candidates(units, preset).where("question_type = 'definition'").select("doc_id", T.clean_term(F.regexp_extract("gold_answer", preset.definition, 1)).alias("term")).where(F.char_length("term") >= 2)
-    raw = fill_quotas(raw.unionByName(unanswerable_candidates(units, terms)), per_doc, per_type)
-    kept = raw.where(filter_reason(F.col("question"), F.col("gold_answer"), shortest, longest, overlap, F.col("question_type")).isNull())
-    deduped = semantic_dedup(kept)
-    final = final_selection(deduped, quota)
-    if least and final.count() < least:
+def all_candidates(units: DataFrame, preset: Preset = LATIN) -> DataFrame:
+    """Answerable candidates of every rule, each with its pair and next_part where it has one."""
+    none = {"pair": F.lit(None).cast("array<string>"), "next_part": F.lit(None).cast("int")}
+    plain = candidates(units, preset).unionByName(actor_candidates(units, preset)).withColumns(none)
+    return plain.unionByName(comparison_candidates(units, preset).withColumn("next_part", none["next_part"])).unionByName(adjacent_comparisons(units))
+
+
+def benchmark_steps(units: DataFrame, quota: int, per_doc: int = 6, per_type: int = 200, shortest: int = 12, longest: int = 120, overlap: float = 0.12, preset: Preset = LATIN) -> dict[str, DataFrame]:
+    """raw candidates of all types, filled to quotas; deduped ones that the filter keeps; the final selection; and the reasons why candidates went."""
+    raw = all_candidates(units, preset)
+    terms = raw.where("question_type = 'definition'").select("doc_id", T.clean_term(F.regexp_extract("gold_answer", preset.definition, 1)).alias("term")).where(F.char_length("term") >= 2)
+    unanswerable = unanswerable_candidates(units, terms).withColumns({"pair": F.lit(None).cast("array<string>"), "next_part": F.lit(None).cast("int")})
+    raw = saved(fill_quotas(raw.unionByName(unanswerable), per_doc, per_type), "raw")
+    judged = raw.withColumn("reason", filter_reason(F.col("question"), F.col("gold_answer"), shortest, longest, overlap, F.col("question_type"), F.col("pair"), preset))
+    kept = judged.where("reason is null").drop("reason")
+    deduped = saved(semantic_dedup(kept), "deduped")
+    return {"raw": raw, "deduped": deduped, "final": saved(final_selection(deduped, quota), "final"), "reasons": filter_counts(judged, kept, deduped)}
+
+
+def benchmark_stage(units: DataFrame, quota: int, least: int = 0, **how) -> tuple[DataFrame, DataFrame]:
+    """(records, distribution): what `benchmark_steps` selects, and the numbers of candidates at each step; fewer than `least` is an error."""
+    steps = benchmark_steps(units, quota, **how)
+    if least and steps["final"].count() < least:
         raise ValueError(f"fewer than {least} candidates are left")
-    return to_records(final, units), distribution_by_stage({"raw": raw, "deduped": deduped, "final": final})
+    return to_records(steps["final"], units), distribution_by_stage({k: steps[k] for k in ("raw", "deduped", "final")})
+
+
+def filter_counts(judged: DataFrame, kept: DataFrame, deduped: DataFrame) -> DataFrame:
+    """(question_type, reason, n): what the filter and the two deduplications take of the judged candidates, and as `kept` what they leave."""
+    count = lambda df, name: df.groupBy("question_type").agg(F.count("*").alias("n")).withColumn("reason", F.lit(name))
+    filtered = judged.where("reason is not null").groupBy("question_type", "reason").agg(F.count("*").alias("n"))
+    once, left = count(lexical_dedup(kept), "once"), count(deduped, "kept")
+    lexical = count(kept, "a").select("question_type", F.col("n").alias("all")).join(once, "question_type").select("question_type", (F.col("all") - F.col("n")).alias("n"), F.lit("lexical_duplicate").alias("reason"))
+    semantic = once.select("question_type", F.col("n").alias("all")).join(left, "question_type").select("question_type", (F.col("all") - F.col("n")).alias("n"), F.lit("semantic_duplicate").alias("reason"))
+    return filtered.unionByName(lexical).unionByName(semantic).unionByName(left).where("n > 0").select("question_type", "reason", "n")
 
 
 def adjacent_pairs(units: DataFrame) -> DataFrame:
@@ -192,3 +248,14 @@ def adjacent_pairs(units: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("part")
     rows = units.withColumns({"next_part": F.lead("part").over(order), "next_text": F.lead("text").over(order)})
     return rows.where(F.col("next_part").isNotNull() & (F.col("text") != F.col("next_text"))).select("doc_id", "part", "next_part")
+
+
+def adjacent_comparisons(units: DataFrame) -> DataFrame:
+    """Candidates of type comparison from neighbouring units of a document whose labels differ (label, else the part's number): pair has the two labels, next_part the second unit, and the answer is both texts."""
+    labelled = units if "label" in units.columns else units.withColumn("label", F.concat(F.lit("part "), F.col("part").cast("string")))
+    order = Window.partitionBy("doc_id").orderBy("part")
+    rows = labelled.where(T.present(F.col("label"))).withColumns({f"next_{c}": F.lead(c).over(order) for c in ("part", "label", "text")})
+    rows = rows.where(F.col("next_part").isNotNull() & (F.col("label") != F.col("next_label")))
+    seed = F.concat(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("part").cast("string"), F.col("next_part").cast("string")), F.lit(":neighbours"))
+    question = T.pick_template([F.concat(F.lit("How do "), F.col("label"), F.lit(" and "), F.col("next_label"), F.lit(" differ?")), F.concat(F.lit("What do "), F.col("label"), F.lit(" and "), F.col("next_label"), F.lit(" each say?"))], seed)
+    return rows.select("doc_id", "part", F.lit(-1).alias("pos"), F.lit("comparison").alias("question_type"), question.alias("question"), T.normalize_space(F.concat_ws(" ", "text", "next_text")).alias("gold_answer"), F.array("label", "next_label").alias("pair"), "next_part")

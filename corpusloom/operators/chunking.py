@@ -177,11 +177,26 @@ def structure_chunks(docs: DataFrame, most: int = 500, least: int = 50, text: st
 
 def merge_short(chunks: DataFrame, least: int) -> DataFrame:
     """(doc_id, chunk_index, n_merged, start_char, end_char): chunks shorter than `least` join the one before them, and numbers are given anew."""
+    return merge_short_chunks(chunks, least).select("doc_id", "chunk_index", "n_merged", "start_char", "end_char")
+
+
+def merge_short_chunks(chunks: DataFrame, least: int) -> DataFrame:
+    """chunks with those shorter than `least` joined to the one before them, numbered anew, and n_merged.
+
+    Texts follow one another; section_path has the labels of all paths but empty ones, each where it first came; structure_labels all
+    labels once, sorted. Either may be missing. Other columns are those of the first chunk.
+    """
     order = Window.partitionBy("doc_id").orderBy("chunk_index")
     opens = (F.char_length("text") >= least) | (F.row_number().over(order) == 1)
     islands = chunks.withColumn("_opens", opens.cast("int")).withColumn("_island", F.sum("_opens").over(order))
-    merged = islands.groupBy("doc_id", "_island").agg(F.count("*").alias("n_merged"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
-    return merged.select("doc_id", (F.col("_island") - 1).cast("int").alias("chunk_index"), "n_merged", "start_char", "end_char")
+    lists = [c for c in ("section_path", "structure_labels") if c in chunks.columns]
+    own = [c for c in chunks.columns if c not in ("doc_id", "chunk_index", "text", "start_char", "end_char", *lists)]
+    # One ordered list of a piece's chunks; a piece has one long chunk and the short ones after it.
+    parts = F.sort_array(F.collect_list(F.struct("chunk_index", "text", "end_char", *lists)))
+    merged = islands.groupBy("doc_id", "_island").agg(F.count("*").alias("n_merged"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), parts.alias("_p"), *[F.min_by(c, "chunk_index").alias(c) for c in own])
+    labels = lambda c: F.array_distinct(F.filter(F.flatten(F.transform(F.col(f"_p.{c}"), lambda x: F.coalesce(x, F.array().cast("array<string>")))), lambda x: x.isNotNull() & (x != "")))
+    made = {"section_path": lambda: labels("section_path"), "structure_labels": lambda: F.sort_array(labels("structure_labels"))}
+    return merged.select("doc_id", (F.col("_island") - 1).cast("int").alias("chunk_index"), "n_merged", F.array_join("_p.text", "").alias("text"), "start_char", "end_char", *[made[c]().alias(c) for c in lists], *own)
 
 
 def chunk_stage(docs: DataFrame, method: str = "both", size: int = 500, overlap: int = 100, least: int = 50, preset: Preset = LATIN, sentences: int = 0) -> DataFrame:

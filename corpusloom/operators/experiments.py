@@ -7,11 +7,12 @@ import zipfile
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import context, evaluation
+from corpusloom.sources.shared import saved
 
 Retriever = Callable[[], DataFrame]
 
@@ -56,64 +57,77 @@ def auto_testset(chunks: DataFrame, make: Callable, n: int) -> DataFrame:
     return rows.where(T.present(F.col("question")) & T.present(F.col("answer")))
 
 
+#: What auto evaluation gives for each query.
+AUTO = ("faithfulness", "answer_relevancy", "answer_relevance", "context_precision", "citation_support_rate", "answer_correctness")
+
+
 def auto_eval(answers: DataFrame, testset: DataFrame, hits: DataFrame, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
-    """A row per query of testset (query_id, question, truth, doc_id): relevancy, context precision, correctness, faithfulness, recalls.
+    """A row per query of testset (query_id, question, truth, doc_id[, evidence]) with AUTO and recalls; answers (query_id, answer[, used]), hits (query_id, doc_id, rank, text).
 
-    hits (query_id, doc_id, rank, text); context precision is the share of contexts that overlap the truth.
+    Faithful is the share of the answer's different tokens that the evidence has, or without evidence of its sentences that the
+    hits support. Relevancy and correctness are the shares of the question's and the truth's tokens that the answer has;
+    context precision is the mean precision at the places of the gold document, citation support the share of used contexts that are it.
     """
-    truth = testset.select("query_id", "truth", F.col("doc_id").alias("gold"))
-    like = T.overlap_ratio(T.tokens(F.col("truth")), T.tokens(F.col("text"))) >= 0.5
-    held = hits.join(truth, "query_id").groupBy("query_id").agg(
-        F.avg(like.cast("double")).alias("context_precision"),
-        F.collect_list("text").alias("contexts"),
-        *[F.max(((F.col("doc_id") == F.col("gold")) & (F.col("rank") <= k)).cast("double")).alias(f"recall_{k}") for k in ks],
-    )
-    given = [c for c in ("answer", "citation_support_rate") if c in answers.columns]
-    rows = testset.join(answers.select("query_id", *given), "query_id").join(held, "query_id", "left")
-    q, a, t = F.col("question"), F.col("answer"), F.col("truth")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    share = lambda of, by: F.when(F.size(of) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(of, by)) / F.size(of))
+    words = lambda c: F.array_distinct(T.tokens(F.col(c)))
+    gold = testset.select("query_id", F.col("doc_id").alias("gold"))
+    at = F.array_sort(F.collect_list(F.when(F.col("doc_id") == F.col("gold"), F.col("rank"))))
+    held = hits.join(gold, "query_id").groupBy("query_id").agg(at.alias("at"), F.collect_list("text").alias("contexts"))
+    used = F.col("used") if "used" in answers.columns else F.array().cast(f"array<{testset.schema['doc_id'].dataType.simpleString()}>")
+    rows = testset.join(answers.select("query_id", "answer", used.alias("used")), "query_id").join(held, "query_id", "left")
+    found = F.coalesce("at", F.array().cast("array<int>"))
+    precise = F.aggregate(F.transform(found, lambda r, i: (i + 1) / r), F.lit(0.0), lambda a, x: a + x)
+    faithful = share(words("answer"), words("evidence")) if "evidence" in testset.columns else context.support_ratio(F.col("answer"), F.coalesce("contexts", F.array().cast("array<string>")))
+    relevant = share(words("question"), words("answer"))
     return rows.select(
         "query_id",
-        context.support_ratio(a, F.coalesce("contexts", F.array().cast("array<string>"))).alias("faithfulness"),
-        T.overlap_ratio(T.tokens(q), T.tokens(a)).alias("answer_relevancy"),
-        T.overlap_ratio(T.tokens(q), T.tokens(a)).alias("answer_relevance"),
-        (F.col("citation_support_rate") if "citation_support_rate" in rows.columns else F.lit(0.0)).alias("citation_support_rate"),
-        zero(F.col("context_precision")).alias("context_precision"),
-        T.overlap_ratio(T.tokens(t), T.tokens(a)).alias("answer_correctness"),
-        *[zero(F.col(f"recall_{k}")).alias(f"recall_{k}") for k in ks],
+        faithful.alias("faithfulness"),
+        relevant.alias("answer_relevancy"),
+        relevant.alias("answer_relevance"),
+        F.when(F.size(found) == 0, F.lit(0.0)).otherwise(precise / F.size(found)).alias("context_precision"),
+        F.when(F.coalesce(F.size("used"), F.lit(0)) <= 0, F.lit(0.0)).otherwise(F.size(F.filter("used", lambda u: u == F.col("doc_id"))) / F.size("used")).alias("citation_support_rate"),
+        share(words("truth"), words("answer")).alias("answer_correctness"),
+        *[F.coalesce(F.array_min(found) <= k, F.lit(False)).cast("double").alias(f"recall_{k}") for k in ks],
     )
 
 
-#: Terms that a unit is tried with before the rest are.
+#: Terms that a unit is tried with first; units that none of these fits are tried with twice as many more, and so on.
 TRIED = 8
 
 
 def unanswerable_pairs(units: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, part, term): for each unit a defined term (doc_id, term) of another document that it does not hold; every term is open to it.
+    """(doc_id, part, term): for each unit a defined term (doc_id, term) of another document that it does not hold; of units of one document with the same term the first.
 
     Different terms stand in a ring in the order of their hash, and a unit takes the first of them that fits from its own
-    hash on. Nearly every unit is served by the first TRIED terms, which it meets by number; only units that hold all of
-    these, or share their document, go on to the rest, so that no product of all with all is made.
+    hash on. It meets them by number, TRIED at first and twice as many in each further round; only units that
+    hold all they were tried with, or share their document, go on. So a unit meets few more terms than it holds itself,
+    and there is no product of all with all, nor a list of all terms.
     """
-    order = Window.partitionBy("b").orderBy("h", "term")
-    once = terms.groupBy("term").agg(F.collect_set("doc_id").alias("docs")).withColumn("h", F.xxhash64("term"))
+    number = lambda *c: F.conv(F.substring(F.md5(F.concat_ws(":", *c)), 1, 15), 16, 10).cast("long")
     parts = 256
-    ring = once.withColumn("b", F.pmod("h", F.lit(parts))).withColumn("i", F.row_number().over(order) - 1)
+    once = terms.groupBy("term").agg(F.collect_set("doc_id").alias("docs")).withColumn("h", number("term"))
+    ring = once.withColumn("b", F.pmod("h", F.lit(parts))).withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy("h", "term")) - 1)
     sizes = ring.groupBy("b").agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("b")) - F.col("n"))
-    ring = ring.join(F.broadcast(starts), "b").select((F.col("start") + F.col("i")).alias("at"), "term", "docs")
-    total = starts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    placed = units.crossJoin(F.broadcast(total)).where("total > 0")
+    # At most `parts` rows.
+    ring = saved(ring.join(F.broadcast(starts), "b").select((F.col("start") + F.col("i")).alias("at"), "term", "docs"), "ring")
+    total = ring.count()
+    rest = units.select("doc_id", "part", "text", (F.pmod(number(F.col("doc_id").cast("string"), F.col("part").cast("string")), F.lit(total)) if total else F.lit(0)).alias("own"))
     first = Window.partitionBy("doc_id", "part").orderBy("turn")
-
-    def fitting(rows: DataFrame, turns: Column) -> DataFrame:
-        tried = rows.withColumn("turn", F.explode(turns)).withColumn("at", F.pmod(F.pmod(F.xxhash64("doc_id", "part"), F.col("total")) + F.col("turn"), F.col("total")))
+    out, turn, more = None, 0, TRIED
+    while turn < total:
+        turns = F.sequence(F.lit(turn), F.lit(min(turn + more, total) - 1))
+        tried = rest.withColumn("turn", F.explode(turns)).withColumn("at", F.pmod(F.col("own") + F.col("turn"), F.lit(total)))
         met = tried.join(ring, "at").where(~F.array_contains("docs", F.col("doc_id")) & ~F.contains("text", "term"))
-        return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc_id", "part", "term")
-
-    some = fitting(placed, F.sequence(F.lit(0), F.least(F.col("total"), F.lit(TRIED)) - 1))
-    late = placed.where(F.col("total") > TRIED).join(some.select("doc_id", "part"), ["doc_id", "part"], "left_anti")
-    return some.unionByName(fitting(late, F.sequence(F.lit(TRIED), F.col("total") - 1)))
+        found = saved(met.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc_id", "part", "term"), "found")
+        out = found if out is None else out.unionByName(found)
+        turn, more = turn + more, more * 2
+        rest = saved(rest.join(found, ["doc_id", "part"], "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+    if out is None:
+        return units.select("doc_id", "part", F.lit(None).cast("string").alias("term")).limit(0)
+    return out.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "term").orderBy("part"))).where("_n = 1").drop("_n")
 
 
 def run_stages(variants: Mapping[str, Mapping[str, Callable[[dict], DataFrame]]]) -> tuple[dict[str, dict[str, DataFrame]], list[dict]]:
@@ -137,12 +151,12 @@ def run_stages(variants: Mapping[str, Mapping[str, Callable[[dict], DataFrame]]]
 
 
 def auto_eval_variants(variants: Mapping[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]], testset: DataFrame) -> DataFrame:
-    """(variant, mean metrics): each variant's answers and hits for the test set, scored by `auto_eval`; all in one plan."""
+    """(variant, n, mean metrics): each variant's answers and hits for the test set, scored by `auto_eval`; all in one plan."""
     out = None
     for name, run in variants.items():
         answers, hits = run(testset)
         scored = auto_eval(answers, testset, hits)
         names = [c for c in scored.columns if c != "query_id"]
-        row = scored.agg(*[F.avg(c).alias(c) for c in names]).select(F.lit(name).alias("variant"), *names)
+        row = scored.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).select(F.lit(name).alias("variant"), "n", *names)
         out = row if out is None else out.unionByName(row)
     return out

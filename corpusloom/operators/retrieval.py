@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.shared import saved
 
 K1, B = 1.5, 0.75
 RRF = 60.0
 
 
-def ranked(hits: DataFrame, k: int | None, score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """hits with rank from 1 by descending score in each query; ties (to nine digits) go to the smaller doc_id."""
-    order = Window.partitionBy(*(by or ["query_id"])).orderBy(F.round(score, 9).desc(), "doc_id")
+def ranked(hits: DataFrame, k: int | None, score: str = "score", by: list[str] | None = None, ties: str = "doc_id") -> DataFrame:
+    """hits with rank from 1 by descending score in each query; ties (to nine digits) go to the smaller doc_id, or what else `ties` names."""
+    order = Window.partitionBy(*(by or ["query_id"])).orderBy(F.round(score, 9).desc(), ties)
     out = hits.withColumn("rank", F.row_number().over(order).cast("int"))
     return out.where(F.col("rank") <= k) if k else out
 
@@ -28,17 +29,20 @@ def postings(texts: DataFrame, key: str, terms: Column) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, okapi: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): BM25 of queries (query_id, query_text) over docs (doc_id, text).
+    """(query_id, doc_id, score, rank): BM25 of queries (query_id, query_text) over docs (doc_id, text[, corpus_pos]).
+
+    Ties go to the smaller doc_id, or where docs have a corpus_pos (`shared.numbered`) to the earlier in the corpus.
 
     Words are filtered by the asked ones where documents are split, so only postings of query terms are shuffled;
     document lengths and frequencies are over all documents. Okapi's mean idf needs the frequencies of all terms.
     """
-    split = docs.select("doc_id", T.tokens(F.col("text")).alias("t"))
+    own = ["doc_id", "corpus_pos"] if "corpus_pos" in docs.columns else ["doc_id"]
+    split = docs.select(*own, T.tokens(F.col("text")).alias("t"))
     stats = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     asked = postings(queries.withColumnRenamed("query_text", "text"), "query_id", T.tokens(F.col("text"))).withColumnRenamed("tf", "qtf")
     terms = asked.select("term").distinct()
-    words = split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    index = words.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    words = split.select(*own, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    index = words.join(terms, "term", "left_semi").groupBy(*own, "dl", "term").agg(F.count("*").alias("tf"))
     if okapi:
         df = postings(docs, "doc_id", F.array_distinct(T.tokens(F.col("text")))).groupBy("term").agg(F.count("*").alias("df"))
         raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -50,8 +54,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, okapi: bool = False) -> Da
         idfs = known.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     matched = index.join(asked.join(idfs, "term"), "term").crossJoin(F.broadcast(stats))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    hits = matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
-    return ranked(hits, k)
+    hits = matched.groupBy("query_id", *own).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+    # All scores are above 0, so what is cut off here is what a cut over all documents would leave out.
+    return ranked(hits, k, ties=own[-1]).drop("corpus_pos")
 
 
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, k: int, n: int = 3) -> DataFrame:
@@ -122,6 +127,24 @@ def fuse_scores(a: DataFrame, b: DataFrame, k: int, alpha: float = 0.5) -> DataF
     return ranked(both.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score")), k)
 
 
+def fuse(a: DataFrame, b: DataFrame, k: int, fusion: str = "rrf", alpha: float = 0.5) -> DataFrame:
+    """Both lists (query_id, query_text, doc_id, title, ..., rank, score) as one: reciprocal ranks or scaled scores, and a bonus for titles like the query.
+
+    Of a document in both lists b's columns are kept; ties keep the order of a, then that of what only b has.
+    """
+    payload = [c for c in a.columns if c not in ("query_id", "doc_id", "rank", "score", "retrieval_method")]
+
+    def side(df: DataFrame, order: int, weight: float) -> DataFrame:
+        s = 1 / (RRF + F.col("rank")) if fusion == "rrf" else weight * minmax("score", "query_id")
+        return df.select("query_id", "doc_id", F.struct(F.lit(order).alias("of"), F.col("rank").alias("at")).alias("place"), s.alias("s"), F.struct(*payload).alias("p"))
+
+    both = side(a, 0, alpha).unionByName(side(b, 1, 1 - alpha))
+    one = both.groupBy("query_id", "doc_id").agg(F.sum("s").alias("s"), F.min("place").alias("place"), F.max_by("p", "place.of").alias("p"))
+    rows = one.select("query_id", "doc_id", "place", "p.*", "s").withColumn("score", F.col("s") + title_bonus(F.col("query_text"), F.col("title")))
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "place", "doc_id")
+    return rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "doc_id", *payload, "score", "rank")
+
+
 def rerank(hits: DataFrame, k: int, title: float = 0.4, body: float = 0.4, section: float = 0.2) -> DataFrame:
     """hits (query_id, query_text, doc_id, score, title, text[, section]) by their score and overlaps with the query."""
     q = T.tokens(F.col("query_text"))
@@ -140,28 +163,36 @@ def dedupe_hits(hits: DataFrame, key: Column) -> DataFrame:
 Reranker = Callable[[DataFrame, int], DataFrame]
 
 
+def suffixed(hits: DataFrame, suffix: str) -> DataFrame:
+    """hits whose method says what came after it."""
+    return hits.withColumn("retrieval_method", F.concat("retrieval_method", F.lit(suffix)) if "retrieval_method" in hits.columns else F.lit(suffix[1:]))
+
+
 def build_reranker(name: str = "none", **options) -> Reranker:
     """A reranker of hits (query_id, query_text, doc_id, score, title, text[, section]) by name: none, heuristic, or cross with make=."""
     if name == "none":
         return lambda hits, k: ranked(hits.drop("rank"), k)
     if name == "heuristic":
-        return lambda hits, k: rerank(hits, k, **options).withColumn("retrieval_method", F.concat("retrieval_method", F.lit("+heuristic_rerank")) if "retrieval_method" in hits.columns else F.lit("heuristic_rerank"))
+        return lambda hits, k: suffixed(rerank(hits, k, **options), "+heuristic_rerank")
     if name == "cross":
         from corpusloom.operators import models
 
-        return lambda hits, k: ranked(models.cross_scores(hits, options["make"]).drop("rank"), k)
+        return lambda hits, k: suffixed(ranked(models.cross_scores(hits, options["make"]).drop("rank"), k), "+cross_rerank")
     raise ValueError(f"unknown reranker {name!r}; there are cross, heuristic and none")
 
 
-def retrieve_corpora(corpora: Mapping[str, DataFrame], variants: DataFrame, k: int, method: str = "bm25", retrieve_k: int = 20) -> DataFrame:
+def retrieve_corpora(corpora: Mapping[str, DataFrame], variants: DataFrame, k: int, method: str = "bm25", retrieve_k: int = 20, encoded: DataFrame | None = None) -> DataFrame:
     """One ranking a query from several corpora (doc_id, text) and query variants (query_id, variant_no, source, text).
 
     Every variant is asked of every corpus, all at once; `merge_corpora` makes one list of them. BM25 leaves out hyde variants
-    where there are others.
+    where there are others. By method vector corpora are vectors (doc_id, v), and encoded has those of the variants (query_id, variant_no, q).
     """
     asked = variants.where("source != 'hyde'") if method == "bm25" else variants
-    asked = asked.select(F.struct("query_id", "variant_no").alias("query_id"), F.col("text").alias("query_text"))
-    search = {"bm25": bm25, "dense": tfidf_cosine}[method]
+    key = F.struct("query_id", "variant_no").alias("query_id")
+    # Arrow tells fields that are never null from others, so here both may be.
+    may = [F.when(F.col(c).isNotNull(), F.col(c)).alias(c) for c in ("query_id", "variant_no")]
+    asked = encoded.select(F.struct(*may).alias("query_id"), "q") if method == "vector" else asked.select(key, F.col("text").alias("query_text"))
+    search = {"bm25": bm25, "dense": tfidf_cosine, "vector": inner_product_topk}[method]
     lists = None
     for name, docs in corpora.items():
         hits = search(docs, asked, retrieve_k).select("query_id.query_id", "query_id.variant_no", "doc_id", "rank", "score").withColumn("corpus", F.lit(name))
@@ -170,26 +201,33 @@ def retrieve_corpora(corpora: Mapping[str, DataFrame], variants: DataFrame, k: i
     return merge_corpora(named, k)
 
 
-def retrieve(corpora: Mapping[str, DataFrame], variants: DataFrame, mode: str, k: int, retrieve_k: int = 20, reranker: Reranker | None = None, fusion: str = "rrf") -> DataFrame:
-    """The retrieval driver: bm25, dense or hybrid over corpora (doc_id, title, text), an optional reranker, then the first k.
+def retrieve(corpora: Mapping[str, DataFrame], variants: DataFrame, mode: str, k: int, retrieve_k: int = 20, reranker: Reranker | None = None, fusion: str = "rrf", vectors: Mapping[str, DataFrame] | None = None, encoded: DataFrame | None = None) -> DataFrame:
+    """The retrieval driver: bm25, dense, vector or hybrid over corpora (doc_id, title, text), an optional reranker, then the first k.
 
-    (query_id, query_text, doc_id, title, text, score, rank, retrieval_method) for all queries at once.
+    Vectors (doc_id, v) by corpus, as `records.read_vectors` reads them of a written index, and encoded variants (query_id, variant_no, q)
+    are what mode vector searches, and hybrid in place of TF-IDF where they are given. (query_id, query_text, doc_id, title, text, score,
+    rank, retrieval_method) for all queries at once.
     """
-    if mode not in ("bm25", "dense", "hybrid"):
-        raise ValueError(f"unknown mode {mode!r}; there are bm25, dense and hybrid")
+    if mode not in ("bm25", "dense", "hybrid", "vector"):
+        raise ValueError(f"unknown mode {mode!r}; there are bm25, dense, hybrid and vector")
+    if mode == "vector" and (vectors is None or encoded is None):
+        raise ValueError("mode vector needs vectors and encoded variants")
     bodies = {name: d.select("doc_id", "text") for name, d in corpora.items()}
     depth = retrieve_k if mode == "hybrid" or reranker else k
-    of = lambda method: retrieve_corpora(bodies, variants, depth, method, retrieve_k)
-    if mode == "hybrid":
-        hits = (rrf if fusion == "rrf" else fuse_scores)(of("bm25"), of("dense"), depth)
-    else:
-        hits = of(mode)
     held = None
     for d in corpora.values():
         rows = d.select("doc_id", "title", "text")
         held = rows if held is None else held.unionByName(rows).dropDuplicates(["doc_id"])
     original = variants.where("variant_no = 0").select("query_id", F.col("text").alias("query_text"))
-    full = hits.join(held, "doc_id").join(original, "query_id").withColumn("retrieval_method", F.lit(mode))
+
+    def of(method: str) -> DataFrame:
+        hits = retrieve_corpora(vectors if method == "vector" else bodies, variants, depth, method, retrieve_k, encoded)
+        return hits.join(held, "doc_id").join(original, "query_id")
+
+    if mode == "hybrid":
+        full = fuse(of("bm25"), of("dense" if vectors is None else "vector"), depth, fusion).withColumn("retrieval_method", F.lit(f"hybrid_{fusion}"))
+    else:
+        full = of(mode).withColumn("retrieval_method", F.lit(mode))
     return (reranker or build_reranker())(full, k)
 
 
@@ -197,39 +235,63 @@ def retrieve(corpora: Mapping[str, DataFrame], variants: DataFrame, mode: str, k
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 32_768
 
 
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    held = lists.combine_chunks()
+    return held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+
+
 def inner_product_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): exact inner products of query vectors (query_id, q) with all vectors (doc_id, v).
+    """(query_id, doc_id, score, rank): exact inner products of query vectors (query_id, q) with all vectors (doc_id, v) of one length; ids may be of any kind.
 
-    Tiles of a block of queries and one of vectors give each query's best k (and ties of them); only these are ranked.
+    A tile is a block of queries and one of vectors. The first block of vectors gives each query a floor, its k-th best there;
+    from the others comes only what is as good as that and among a tile's best k (with ties), so what is ranked hardly grows with the number of blocks.
     """
-    n_q, n_v = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    sizes = queries.select(F.lit(0).alias("o")).unionByName(vectors.select(F.lit(1).alias("o"))).groupBy("o").count().collect()
+    sizes = {r["o"]: r["count"] for r in sizes}
+    n_q, n_v = max(1, -(-sizes.get(0, 0) // QUERY_BLOCK)), max(1, -(-sizes.get(1, 0) // VECTOR_BLOCK))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    v = vectors.select(F.col("doc_id").alias("id"), F.col("v").cast("array<double>").alias("x"), part("doc_id", n_v).alias("vb"), every(n_q).alias("qb"))
-    q = queries.select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("x"), part("query_id", n_q).alias("qb"), every(n_v).alias("vb"))
+    every = lambda lo, n: F.explode(F.sequence(F.lit(lo), F.lit(n - 1)))
+    v = vectors.where("v is not null").select(F.col("doc_id").alias("id"), F.col("v").cast("array<double>").alias("x"), part("doc_id", n_v).alias("vb"))
+    q = queries.where("q is not null").select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("x"), part("query_id", n_q).alias("qb"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "doc_id"))]
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, other = b["id"].to_numpy(), a["id"].to_numpy()
-        found: list[tuple[np.ndarray, ...]] = []
-        if len(ids) and len(other):
-            x, y = (np.array(t["x"].to_pylist(), np.float64) for t in (a, b))
-            for at in range(0, len(ids), 256):
-                s = y[at : at + 256] @ x.T
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(a) and len(b):
+            x, y, floor = _matrix(b["x"]), _matrix(a["x"]), b["floor"].to_numpy()
+            for at in range(0, len(x), 256):
+                s = x[at : at + 256] @ y.T
                 least = np.partition(s, max(s.shape[1] - k, 0), 1)[:, max(s.shape[1] - k, 0)]
-                i, j = np.nonzero(s >= least[:, None] - 2e-9)
-                found.append((ids[at + i], other[j], s[i, j]))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "doc_id", "score"), map(pa.array, columns))))
+                i, j = np.nonzero(s >= np.maximum(least, floor[at : at + 256])[:, None] - 2e-9)
+                found.append((at + i, j, s[i, j]))
+        i, j, s = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"query_id": b["id"].combine_chunks().take(pa.array(i)), "doc_id": a["id"].combine_chunks().take(pa.array(j)), "score": pa.array(s)})
+
+    def tiles(lo: int, hi: int, asked: DataFrame) -> DataFrame:
+        own = v.where(F.col("vb").between(lo, hi - 1)).withColumn("qb", every(0, n_q))
+        return own.groupBy("vb", "qb").cogroup(asked.withColumn("vb", every(lo, hi)).groupBy("vb", "qb")).applyInArrow(tile, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
 
-    tiles = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(tile, "query_id long, doc_id long, score double")
-    return ranked(tiles, k)
+    lowest = F.lit(float("-inf"))
+    first = tiles(0, 1, q.withColumn("floor", lowest))
+    if n_v == 1:
+        return ranked(first, k)
+    first = saved(first, "tiles")
+    floors = ranked(first, k).groupBy("query_id").agg(F.max("rank").alias("n"), F.min("score").alias("low")).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("low").alias("floor"))
+    rest = tiles(1, n_v, q.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", lowest)))
+    return ranked(first.unionByName(rest), k)
 
 
-def query_variants(queries: DataFrame, generated: DataFrame | None = None) -> DataFrame:
-    """(query_id, variant_no, source, text): the original query and generated ones (query_id, source, text), those alike but for white space once."""
+def query_variants(queries: DataFrame, generated: DataFrame | None = None, original: bool = True) -> DataFrame:
+    """(query_id, variant_no, source, text): the original query and generated ones (query_id, source, text), those alike but for white space once.
+
+    With original=False a query is itself asked only if nothing was generated for it.
+    """
     rows = queries.select("query_id", F.lit(0).alias("o"), F.lit("original").alias("source"), F.col("query_text").alias("text"))
     if generated is not None:
         rows = rows.unionByName(generated.select("query_id", F.when(F.col("source") == "hyde", 2).otherwise(1).alias("o"), "source", "text"))
+        if not original:
+            rows = rows.where("source != 'original'").unionByName(rows.where("source = 'original'").join(generated.select("query_id").distinct(), "query_id", "left_anti"))
     same = F.regexp_replace("text", T.SPACE, "")
     first = Window.partitionBy("query_id", same).orderBy("o", "text")
     kept = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")

@@ -621,7 +621,7 @@ def candidate_dedup_lexical(spark, sf):
 
 @registered()
 def candidate_dedup_semantic(spark, sf):
-    return benchmark.semantic_dedup(benchmark.fill_quotas(found(spark, sf), 6, 210))
+    return benchmark.semantic_dedup(found(spark, sf))
 
 
 @registered()
@@ -664,7 +664,9 @@ def citations(spark, sf):
     return context.citations(bm25_hits(spark, sf, 3).join(d, "doc_id"))
 
 
+from corpusloom.plans import further as _further  # noqa: E402
 from corpusloom.plans import more as _more  # noqa: E402
 
-QUERIES.update(_more.QUERIES)
-ORACLES.update(_more.ORACLES)
+for _module in (_more, _further):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)

@@ -74,8 +74,7 @@ def _merged(name: str, hits: str, prior: str) -> str:
     return f"{name}0 AS (SELECT query_id, doc_id, 65e-2 * {S.minmax('score', 'PARTITION BY query_id')} + 3e-1 / (6e1 + rank) + {prior} + 8e-2 AS score FROM {hits}), {name} AS (SELECT *, {S.RANK} AS rank FROM {name}0)"
 
 
-_DRIVER = f"""{C._BOTH}, {_merged('mb', 'bm', '8e-2')}, {_merged('mt', 'te', '8e-2')},
-fu AS (SELECT query_id, doc_id, sum(1e0 / (6e1 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM mb UNION ALL SELECT query_id, doc_id, rank FROM mt) GROUP BY ALL), fr AS (SELECT *, {S.RANK} AS rank FROM fu QUALIFY rank <= {C.TOP}),
+_DRIVER = f"""{C._BOTH}, {_merged('mb', 'bm', '8e-2')}, {_merged('mt', 'te', '8e-2')}, {S.fused('fr', 'mb', 'mt', C.TOP)},
 dx AS (SELECT query_id, doc_id, score + 4e-1 * {S.overlap(S.tokens('query_text'), S.tokens('title'))} + 4e-1 * {S.overlap(S.tokens('query_text'), S.tokens('left(body, 500)'))} AS score FROM fr JOIN q USING (query_id) JOIN d USING (doc_id)), dr AS (SELECT *, {S.RANK} AS rank FROM dx QUALIFY rank <= 5)"""
 
 
@@ -84,7 +83,7 @@ def piped(spark, sf):
     return retrieval.retrieve({"structure": docs}, _variants(spark, sf), "hybrid", 5, C.TOP, retrieval.build_reranker("heuristic"))
 
 
-@registered(f"WITH {_DRIVER} SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score, 'hybrid+heuristic_rerank' AS retrieval_method FROM dr")
+@registered(f"WITH {_DRIVER} SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) AS score, 'hybrid_rrf+heuristic_rerank' AS retrieval_method FROM dr")
 def retrieval_pipeline(spark, sf):
     return piped(spark, sf).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "retrieval_method")
 
@@ -178,7 +177,7 @@ def alignment_report(spark, sf):
 
     w = Window.partitionBy("query_id").orderBy("rank")
     c = C.contexts(spark, sf).withColumns({"next_id": F.lead("doc_id").over(w).cast("string"), "next_text": F.lead("text").over(w)})
-    one = F.struct(F.col("next_id").alias("chunk_id"), F.col("next_id").alias("doc_id"), F.lit("").alias("title"), F.col("next_text").alias("text"), F.lit(1).alias("rank"), F.lit(1.0).alias("score"))
+    one = F.struct(F.col("next_id").alias("chunk_id"), F.col("next_id").alias("doc_id"), F.lit("").alias("title"), F.col("next_text").alias("text"), F.lit(1).alias("rank"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("source_ref"))
     held = F.when(F.col("next_id").isNotNull(), F.array(one)).otherwise(F.array().cast(f"array<{answers.CONTEXT}>"))
     cited = F.array(F.struct(F.lit("1").alias("label"), F.coalesce("next_id", F.lit("none")).alias("chunk_id"), F.lit("").alias("doc_id"), F.lit("").alias("title"), F.btrim(F.left("text", F.lit(120))).alias("span_text"), F.lit(1).alias("rank")))
     used = F.array(F.coalesce("next_id", F.lit("none")), F.lit("no such id"))

@@ -70,3 +70,11 @@ gqw AS (SELECT query_id, term, qtf * (ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))
 gqn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM gqw GROUP BY query_id),
 gs AS (SELECT query_id, doc_id, sum(w * qw) / (any_value(norm) * any_value(qnorm)) AS score FROM gw JOIN gqw USING (term) JOIN gnorm USING (doc_id) JOIN gqn USING (query_id) GROUP BY ALL),
 te AS (SELECT *, {RANK} AS rank FROM gs WHERE score > 0 QUALIFY rank <= {k})"""
+
+
+def fused(name: str, a: str, b: str, k: int, rrf: bool = True) -> str:
+    """Two lists as one with the bonus for titles; ties keep the order of a, then of what only b has. Needs d and q."""
+    s = "1e0 / (6e1 + rank)" if rrf else f"5e-1 * {minmax('score', 'PARTITION BY query_id')}"
+    return f"""{name}0 AS (SELECT query_id, doc_id, sum(s) AS s, min({{'o': o, 'r': rank}}) AS place FROM (SELECT query_id, doc_id, rank, 0 AS o, {s} AS s FROM {a} UNION ALL SELECT query_id, doc_id, rank, 1, {s} FROM {b}) GROUP BY ALL),
+{name}1 AS (SELECT query_id, doc_id, place, s + 15e-2 * {overlap(tokens('query_text'), tokens('title'))} AS score FROM {name}0 JOIN q USING (query_id) JOIN d USING (doc_id)),
+{name} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place, doc_id) AS rank FROM {name}1 QUALIFY rank <= {k})"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.presets import LATIN, ZH
-from corpusloom.operators import answers, audit, benchmark, chunking, cleaning, context, evaluation, models, retrieval
+from corpusloom.operators import answers, audit, benchmark, chunking, cleaning, context, evaluation, experiments, models, retrieval
 from corpusloom.sources import records as R
 
 Stage = Callable[[SparkSession, dict], None]
@@ -95,11 +95,16 @@ def _corpora(spark: SparkSession, path) -> dict[str, DataFrame]:
 
 
 @stage("retrieve")
-def retrieve_files(spark: SparkSession, c: dict) -> None:
-    """chunks_jsonl, queries_jsonl, output_jsonl[, mode, k, retrieve_k, reranker, fusion, report]."""
+def retrieve_files(spark: SparkSession, c: dict, make: Callable | None = None) -> None:
+    """chunks_jsonl, queries_jsonl, output_jsonl[, mode, k, retrieve_k, reranker, fusion, index, dimensions, report]; mode vector (and hybrid, if named) reads the index that build-dense-index has written."""
     queries = R.read_table(spark, R.QUERY, *_paths(c["queries_jsonl"])).select("query_id", "query_text")
     corpora = _corpora(spark, c["chunks_jsonl"])
-    hits = retrieval.retrieve(corpora, retrieval.query_variants(queries), c.get("mode", "hybrid"), c.get("k", 5), c.get("retrieve_k", 20), retrieval.build_reranker(c.get("reranker", "none")), c.get("fusion", "rrf"))
+    variants, vectors, encoded = retrieval.query_variants(queries), None, None
+    if "index" in c:
+        encode = make or (lambda: models.hashing_encoder(c.get("dimensions", 64)))
+        vectors = {n: R.read_vectors(spark, c["index"], n).select(F.col("chunk_id").alias("doc_id"), F.col("embedding").alias("v")) for n in corpora}
+        encoded = models.embed(variants, encode).select("query_id", "variant_no", F.col("embedding").alias("q"))
+    hits = retrieval.retrieve(corpora, variants, c.get("mode", "hybrid"), c.get("k", 5), c.get("retrieve_k", 20), retrieval.build_reranker(c.get("reranker", "none")), c.get("fusion", "rrf"), vectors, encoded)
     owner = R.read_table(spark, R.CHUNK, *_paths(c["chunks_jsonl"])).select("chunk_id", "doc_id")
     hits = hits.select("query_id", "rank", F.col("doc_id").alias("chunk_id"), "score", "retrieval_method", F.col("text").alias("chunk_text"), "title").join(owner, "chunk_id")
     hits = hits.select("query_id", "rank", "chunk_id", "doc_id", "score", "retrieval_method", "chunk_text", "title")
@@ -157,7 +162,7 @@ def debug_files(spark: SparkSession, c: dict, make: Callable | None = None) -> N
         row = answers.generation_stage(hits, result, generator).first()
         payload = {"query_id": c["query_id"], "failure_stage": "none", "answer": row.asDict(recursive=True)}
     except Exception as e:  # the failure is what the run is to show
-        said = spark.createDataFrame([(str(e)[:2000],)], "e string").select(answers.failure_stage(F.col("e"))).first()[0]
+        said = spark.createDataFrame([(f"{type(e).__name__}: {str(e)[:2000]}",)], "e string").select(answers.failure_stage(F.col("e"))).first()[0]
         payload = {"query_id": c["query_id"], "failure_stage": said, "error": str(e)[:2000]}
     R.write_debug(payload, c["output_json"])
 
@@ -185,9 +190,9 @@ def eval_retrieval_files(spark: SparkSession, c: dict) -> None:
     _report(c.get("report"), "Retrieval metrics", {"summary": _summary(m)})
 
 
-def _generation_metrics(spark: SparkSession, c: dict) -> DataFrame:
-    said = R.read_table(spark, R.ANSWER, *_paths(c["answers_jsonl"])).withColumnRenamed("used_context_ids", "used")
-    gold = _gold(spark, c, "generation").select("query_id", F.col("reference_answer").alias("reference"), F.coalesce("supporting_chunk_ids", F.array().cast("array<string>")).alias("supporting"), "answerable", "question_type")
+def _generation_metrics(answers_of: DataFrame, gold_of: DataFrame) -> DataFrame:
+    said = answers_of.withColumnRenamed("used_context_ids", "used")
+    gold = gold_of.select("query_id", F.col("reference_answer").alias("reference"), F.coalesce("supporting_chunk_ids", F.array().cast("array<string>")).alias("supporting"), "answerable", "question_type")
     m = evaluation.generation_metrics(said, gold)
     p, r = evaluation.token_precision_recall(F.col("answer"), F.col("reference"))
     held = said.join(gold, "query_id").select("query_id", p.alias("token_precision"), r.alias("token_recall"), F.coalesce(F.try_element_at("metadata", F.lit("citation_support_ratio")).cast("double"), F.lit(0.0)).alias("faithfulness"))
@@ -197,7 +202,7 @@ def _generation_metrics(spark: SparkSession, c: dict) -> DataFrame:
 @stage("eval-generation")
 def eval_generation_files(spark: SparkSession, c: dict) -> None:
     """answers_jsonl, gold_jsonl or benchmark_jsonl, output_csv[, report]."""
-    m = _generation_metrics(spark, c)
+    m = _generation_metrics(R.read_table(spark, R.ANSWER, *_paths(c["answers_jsonl"])), _gold(spark, c, "generation"))
     R.write_csv(R.metric_columns(m), c["output_csv"])
     names = [n for n, t in m.dtypes if t == "double"]
     _report(c.get("report"), "Generation metrics", {"summary": _summary(m), "by type": evaluation.means(m, names, "question_type")})
@@ -205,27 +210,35 @@ def eval_generation_files(spark: SparkSession, c: dict) -> None:
 
 @stage("analyze-errors")
 def error_files(spark: SparkSession, c: dict) -> None:
-    """results_jsonl, answers_jsonl, benchmark_jsonl, output_csv[, report]: labelled errors; of repeated answers the last id counts once."""
-    gold = R.gold_of(R.read_benchmark(spark, *_paths(c["benchmark_jsonl"]))).dropDuplicates(["query_id"])
+    """results_jsonl, answers_jsonl, benchmark_jsonl, output_csv[, report]: labelled errors in the order of the benchmark; of what repeats a query the last in the files counts."""
+    gold = R.last_of(R.gold_of(R.read_benchmark(spark, *_paths(c["benchmark_jsonl"]))), "query_id")
     rel = gold.select("query_id", F.explode("relevant_chunk_ids").alias("chunk_id")).withColumn("rel", F.lit(True))
-    hits = _flat(spark, c["results_jsonl"]).join(rel, ["query_id", "chunk_id"], "left")
+    results = R.last_of(R.read_in_order(spark, R.RESULT, *_paths(c["results_jsonl"])), "query_id")
+    hits = R.flat_hits(results).where("rank is not null").join(rel, ["query_id", "chunk_id"], "left")
     held = hits.groupBy("query_id").agg(F.bool_or(F.col("rel").isNotNull()).alias("hit_any"), F.bool_or(F.col("rel").isNotNull() & (F.col("rank") <= 1)).alias("hit_top"))
-    m = _generation_metrics(spark, c).select("query_id", F.col("answer_correctness").alias("correctness"), F.col("faithfulness").alias("support"), F.col("abstained").cast("boolean").alias("abstained")).dropDuplicates(["query_id"])
-    rows = gold.select("query_id", "answerable").join(m, "query_id").join(held, "query_id", "left")
+    said = R.last_of(R.read_in_order(spark, R.ANSWER, *_paths(c["answers_jsonl"])), "query_id")
+    m = _generation_metrics(said, gold.withColumnRenamed("relevant_chunk_ids", "supporting_chunk_ids")).select("query_id", F.col("answer_correctness").alias("correctness"), F.col("faithfulness").alias("support"), F.col("abstained").cast("boolean").alias("abstained"))
+    rows = gold.select("query_id", "answerable", "position").join(m, "query_id").join(results.select("query_id"), "query_id").join(held, "query_id", "left")
     errors = evaluation.error_labels(rows.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("hit_any", "hit_top")}))
-    R.write_csv(R.error_rows(errors), c["output_csv"])
+    R.write_csv(R.error_rows(errors.join(gold.select("query_id", "position"), "query_id").orderBy("position")), c["output_csv"])
     _report(c.get("report"), "Errors", {"Error Counts": cleaning.counts_of(errors, "labels")})
 
 
 @stage("generate-benchmark")
 def benchmark_files(spark: SparkSession, c: dict) -> None:
-    """chunks_jsonl, output_jsonl[, method, quota, least, preset, report]: benchmark records from chunks."""
+    """chunks_jsonl, output_jsonl[, method, quota, least, preset, raw_jsonl, deduped_jsonl, report]: benchmark records from chunks, and the candidates on the way."""
     preset = PRESETS[c.get("preset", "latin")]
     chunks = chunking.preferred(R.read_table(spark, R.CHUNK, *_paths(c["chunks_jsonl"])), c.get("method", "both"))
-    units = chunking.articles(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), preset.article, c.get("least_length", 40)).select("doc_id", "part", "text")
-    found, counts = benchmark.benchmark_stage(units, c.get("quota", 10), c.get("least", 0), preset=preset)
-    R.write_table(found, c["output_jsonl"])
-    _report(c.get("report"), "Benchmark", {"distribution": counts})
+    units = chunking.articles(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), preset.article, c.get("least_length", 40))
+    steps = benchmark.benchmark_steps(units, c.get("quota", 10), preset=preset)
+    if steps["final"].count() < c.get("least", 0):
+        raise ValueError(f"fewer than {c['least']} candidates are left")
+    for name in ("raw", "deduped"):
+        if f"{name}_jsonl" in c:
+            R.write_table(benchmark.to_candidates(steps[name]), c[f"{name}_jsonl"])
+    R.write_table(benchmark.to_records(steps["final"], units), c["output_jsonl"])
+    counts = benchmark.distribution_by_stage({k: steps[k] for k in ("raw", "deduped", "final")})
+    _report(c.get("report"), "Benchmark", {"distribution": counts, "filtered": steps["reasons"]})
 
 
 @stage("validate-benchmark")
@@ -246,6 +259,42 @@ def ablation_files(spark: SparkSession, c: dict) -> None:
     _report(c["report"], "Ablation", {"metrics": evaluation.ablation(out, names, list(c["variants"]))})
 
 
+@stage("auto-testset")
+def testset_files(spark: SparkSession, c: dict, make: Callable | None = None) -> None:
+    """chunks_jsonl, output_jsonl[, n, url, model, report]: a test set of questions about chunks, by a client."""
+    chunks = R.read_table(spark, R.CHUNK, *_paths(c["chunks_jsonl"]))
+    asked = experiments.auto_testset(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), make or models.http_client(c["url"], c["model"], c.get("key", "")), c.get("n", 20))
+    owner = chunks.select(F.col("chunk_id").alias("ground_truth_chunk_id"), F.col("doc_id").alias("ground_truth_doc_id"))
+    rows = asked.select(F.concat(F.lit("auto_"), "doc_id").alias("query_id"), F.col("question").alias("query"), F.col("answer").alias("ground_truth_answer"), F.col("doc_id").alias("ground_truth_chunk_id"), F.col("evidence").alias("evidence_text"))
+    R.write_testset(rows.join(owner, "ground_truth_chunk_id"), c["output_jsonl"])
+    _report(c.get("report"), "Test set", {"questions": R.read_testset(spark, c["output_jsonl"]).agg(F.count("*").alias("n"))})
+
+
+@stage("auto-eval")
+def auto_eval_files(spark: SparkSession, c: dict, make: Callable | None = None) -> None:
+    """testset_jsonl, chunks_jsonl, variants (name: mode, k, reranker, generator, ...), output_csv[, url, model, report]: each variant retrieves, selects contexts, answers and is scored."""
+    testset = R.read_testset(spark, *_paths(c["testset_jsonl"])).select("query_id", F.col("query").alias("question"), F.col("ground_truth_answer").alias("truth"), F.col("ground_truth_chunk_id").alias("doc_id"), F.col("evidence_text").alias("evidence"))
+    corpora = _corpora(spark, c["chunks_jsonl"])
+    owner = R.read_table(spark, R.CHUNK, *_paths(c["chunks_jsonl"])).select(F.col("chunk_id").alias("doc_id"), F.col("doc_id").alias("source"))
+
+    def variant(v: dict) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+        def run(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+            queries = asked.select("query_id", F.col("question").alias("query_text"))
+            hits = retrieval.retrieve(corpora, retrieval.query_variants(queries), v.get("mode", "hybrid"), v.get("k", 5), v.get("retrieve_k", 20), retrieval.build_reranker(v.get("reranker", "none")), v.get("fusion", "rrf"))
+            kept = context.select_contexts(hits.join(owner, "doc_id"), v.get("max_chunks", 5), v.get("max_per_doc", 2))
+            shown = kept.select("query_id", "query_text", "rank", F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "score", "retrieval_method", "text", "title")
+            name = v.get("generator", "extractive")
+            options = {"least_score": v.get("least_score", 0.0)} if name == "extractive" else {"make": make or models.http_client(c["url"], c["model"], c.get("key", ""))}
+            said = answers.generation_stage(shown, queries, answers.build_generator(name, **options), v.get("min_top_score", 0.0))
+            return said.select("query_id", "answer", F.col("used_context_ids").alias("used")), hits
+
+        return run
+
+    table = experiments.auto_eval_variants({name: variant(v) for name, v in c["variants"].items()}, testset)
+    R.write_csv(table, c["output_csv"])
+    _report(c.get("report"), "Auto evaluation", {"variants": spark.read.option("header", True).csv(c["output_csv"])})
+
+
 @stage("run-experiments")
 def experiment_files(spark: SparkSession, c: dict) -> None:
     """folder, variants (name: stage by name with its configuration): each variant's stages in order; a failure names its stage."""

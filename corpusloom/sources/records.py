@@ -44,16 +44,16 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return lines.where(F.btrim("line") != "").select("source_file", F.col("record_index").cast("int").alias("record_index"), F.coalesce(bad.cast("variant"), record).alias("record"))
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(source_file, record_index, line) of .jsonl files, blank lines counted; a file of any size is read in splits.
+def read_lines(spark: SparkSession, *paths: str, suffix: str = ".jsonl") -> DataFrame:
+    """(path, source_file, record_index, line) of .jsonl files (or others), blank lines counted; a file of any size is read in splits.
 
     A line's index is its place in its split and the number of lines in the file's splits before that one.
     """
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.option("pathGlobFilter", f"*{suffix}").text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
     heads = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     heads = heads.select("path", "block", "first", before.alias("before"))
-    return lines.join(F.broadcast(heads), ["path", "block"]).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), (F.col("before") + F.col("at") - F.col("first")).alias("record_index"), "line")
+    return lines.join(heads, ["path", "block"]).select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), (F.col("before") + F.col("at") - F.col("first")).alias("record_index"), "line")
 
 
 def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
@@ -88,9 +88,23 @@ def result_of(results: DataFrame, query_id: str) -> DataFrame:
     return results.where(F.col("query_id") == query_id).limit(1)
 
 
+def read_in_order(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    """A typed JSON Lines table with `position`, the file and the number of the line (from 1) that a row comes from, which order rows whatever the partitioning."""
+    lines = read_lines(spark, *paths, suffix="").where(F.btrim("line") != "")
+    rows = lines.select(F.struct("path", "source_file", (F.col("record_index") + 1).alias("line")).alias("position"), F.from_json("line", schema).alias("r"))
+    return rows.select("r.*", "position")
+
+
+def last_of(rows: DataFrame, *key: str) -> DataFrame:
+    """Of rows with equal keys the one that came last in the files."""
+    own = [c for c in rows.columns if c not in (*key, "position")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*own), "position").alias("_r"), F.max("position").alias("position")).select(*key, "_r.*", "position")
+
+
 def required(df: DataFrame, *names: str) -> DataFrame:
-    """df, failing when it is read on a row that lacks one of the fields."""
-    check = lambda n: F.when(F.col(n).isNull(), F.raise_error(F.lit(f"missing field {n}"))).otherwise(F.col(n))
+    """df, failing when it is read on a row that lacks one of the fields; with a position the error names its file and line."""
+    at = F.concat(F.lit(" in "), F.col("position.source_file"), F.lit(", line "), F.col("position.line").cast("string")) if "position" in df.columns else F.lit("")
+    check = lambda n: F.when(F.col(n).isNull(), F.raise_error(F.concat(F.lit(f"missing field {n}"), at))).otherwise(F.col(n))
     return df.withColumns({n: check(n) for n in names})
 
 
@@ -101,12 +115,14 @@ def read_gold(spark: SparkSession, kind: str, *paths: str) -> DataFrame:
 
 
 def read_benchmark(spark: SparkSession, *paths: str) -> DataFrame:
-    return required(read_table(spark, BENCHMARK, *paths), "query_id", "question", "question_type", "answerable", "gold_answer")
+    """Benchmark records with their position; one that lacks a field is an error that names its file and line."""
+    return required(read_in_order(spark, BENCHMARK, *paths), "query_id", "question", "question_type", "answerable", "gold_answer")
 
 
 def gold_of(benchmark: DataFrame) -> DataFrame:
     """(query_id, relevant_chunk_ids, reference_answer, question_type, answerable) from benchmark records."""
-    return benchmark.select("query_id", F.col("gold_evidence.chunk_id").alias("relevant_chunk_ids"), F.col("gold_answer").alias("reference_answer"), F.coalesce("question_type", F.lit("other")).alias("question_type"), F.coalesce("answerable", F.lit(True)).alias("answerable"))
+    position = ["position"] if "position" in benchmark.columns else []
+    return benchmark.select(*position, "query_id", F.col("gold_evidence.chunk_id").alias("relevant_chunk_ids"), F.col("gold_answer").alias("reference_answer"), F.coalesce("question_type", F.lit("other")).alias("question_type"), F.coalesce("answerable", F.lit(True)).alias("answerable"))
 
 
 def nest_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -157,6 +173,21 @@ def metric_columns(metrics: DataFrame) -> DataFrame:
     return metrics.select("query_id", *sorted(c for c in metrics.columns if c != "query_id"))
 
 
+def write_testset(rows: DataFrame, path: str) -> None:
+    """A test set (TESTSET) as JSON Lines."""
+    write_table(rows.select(*[c.split()[0] for c in TESTSET.split(", ")]), path)
+
+
+def read_testset(spark: SparkSession, *paths: str) -> DataFrame:
+    """A test set; a row without an id, a query or the chunk that it is about is an error."""
+    return required(read_in_order(spark, TESTSET, *paths), "query_id", "query", "ground_truth_chunk_id").drop("position")
+
+
+def read_candidates(spark: SparkSession, *paths: str) -> DataFrame:
+    """Benchmark candidates that a stage has written."""
+    return required(read_in_order(spark, CANDIDATE, *paths), "question", "question_type").drop("position")
+
+
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """A vector index (corpus, pos, chunk_id, embedding), a folder per corpus."""
     vectors.write.mode("overwrite").partitionBy("corpus").parquet(path)
@@ -167,11 +198,6 @@ def read_vectors(spark: SparkSession, path: str, corpus: str | None = None) -> D
     return v.where(F.col("corpus") == corpus) if corpus else v
 
 
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """df with corpus_pos, a place for ties, within each corpus."""
-    return df.withColumn("corpus_pos", F.row_number().over(Window.partitionBy("corpus").orderBy(*order)))
-
-
 def load_config(path: str) -> dict:
     """A configuration file (JSON, or YAML where that library is there); it must be a mapping."""
     text = Path(path).read_text()
