@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from corpusloom.llm.common import forget, fresh, partitions, positioned, released, small_batches, table, written
+from corpusloom.llm import setjoin
+from corpusloom.llm.common import fresh, partitions, released, small_batches, table, written
 from corpusloom.llm.graph import connected_components
+from corpusloom.llm.words import shingles, words_of
 
 BITS = 64
 #: A bucket of up to so many different fingerprints is searched in one task; larger ones go the way of midpoints.
@@ -31,34 +33,20 @@ ALL_LINKS = 8
 COARSE = 4096
 #: Keys of large buckets are broadcast up to so many; beyond that they are joined by a shuffle.
 BROADCAST_KEYS = 50_000
-#: Rows that go, and texts whose shingles are wanted, are broadcast up to so many; beyond that they are joined by a shuffle.
+#: Rows that go are broadcast up to so many; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Near duplicates share 0.8 of their shingles of so many words.
 SHINGLE = 5
 #: Texts whose fingerprints over different words are within so many bits are compared first; most near duplicates are.
 WORD_RADIUS = 4
-#: Buckets of one prefix shingle with more texts than this are compared in blocks of so many, each two in a task of their own.
+#: Buckets of one prefix shingle with more texts than this are compared in parts of so many, each two in a task of their own.
 LARGE = 4096
-#: Texts whose shingle sets are compared come in blocks of so many, or of fewer where sets are larger than SET.
-BLOCK, SET = 128, 512
-#: Shingles that COMMON_TEXTS texts of one in COMMON_SAMPLE have come last in prefixes, COMMON of them at most. This decides the work alone.
-COMMON, COMMON_SAMPLE, COMMON_TEXTS = 200_000, 16, 3
+#: Texts whose shingle sets are compared come in blocks of so many.
+BLOCK = 128
 #: Texts that are fingerprinted at once.
 AT_ONCE = 256
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z in lower case, split at space and U+0009 to U+000D."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingles(words: list[bytes], size: int) -> list[bytes]:
-    """All runs of size words, repeats included; of fewer words the whole run."""
-    if len(words) <= size:
-        return [b" ".join(words)] if words else []
-    return [b" ".join(w) for w in zip(*(words[i:] for i in range(size)))]
-
-
 def _majority(features: Iterator[list[bytes]], seed: int) -> int:
     """Bit i is set if it is set in over half the features' XXH64; no features: 0."""
     counts, total = np.zeros(BITS, np.int64), 0
@@ -237,247 +225,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, doc_id: str
     return fp.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """The different shingles' XXH64 as signed longs, sorted as unsigned ones."""
-    found = []
-    for at in range(0, max(len(words) - SHINGLE + 1, 1), 8192):
-        part = shingles(words[at : at + 8192 + SHINGLE - 1], SHINGLE) if len(words) > SHINGLE else shingles(words, SHINGLE)
-        found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), np.uint64, len(part))))
-    return np.unique(np.concatenate(found)).view(np.int64)
-
-
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows whose last column is a text: the rows with its shingles' hashes in its place, AT_ONCE at a time."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, AT_ONCE):
-            batch = whole.slice(at, AT_ONCE)
-            found = [_shingle_hashes(words_of(t.as_py())) for t in batch.column(batch.num_columns - 1)]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "shingles"])
-
-
-def _prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in an order that all texts share: two sets of that similarity have one of these in common.
-
-    common holds frequent shingles in unsigned order; they come last, which decides the work and not the result.
-    No shingle at all has the prefix [0].
-    """
-    if not len(found):
-        return np.zeros(1, np.int64)
-    x, c = found.view(np.uint64), common.view(np.uint64)
-    often = c[np.minimum(np.searchsorted(c, x), len(c) - 1)] == x if len(c) else np.zeros(len(x), bool)
-    return found[np.argsort(often, kind="stable")][: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1]
-
-
-def _common_shingles(held: DataFrame) -> np.ndarray:
-    """Shingles that several texts of a sample by hash have, the most frequent COMMON of them at most."""
-    some = held.where(F.pmod(F.xxhash64("key"), F.lit(COMMON_SAMPLE)) == 0).dropDuplicates(["key"])
-    each = some.select("t").mapInArrow(released(_shingled), "shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON_TEXTS)
-    rows = each.orderBy(F.desc("count"), "s").limit(COMMON).select("s").toPandas()["s"].to_numpy(np.int64)
-    return np.unique(rows.view(np.uint64)).view(np.int64)
-
-
-def _least(similarity: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """What similar sets of n and m shingles share at least."""
-    return similarity / (1 + similarity) * (n + m) - 1e-6
-
-
-def _may(similarity: float, n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m shingles may be similar that share one at the places p and q in their common order.
-
-    Both must be large enough, and what can come before the shared shingle and after it must be enough.
-    """
-    enough = np.minimum(p, q) + np.minimum(n - p, m - q) >= _least(similarity, n, m)
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (enough | ((n == 0) & (m == 0)))
-
-
-def _may_all(similarity: float, x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Pairs (a, b, n of a, n of b) of different labels from x and y (node, n, pos, label) that may be similar; each once if y goes on from x."""
-    (node, n, p, g), (other, m, q, h) = x, y
-    may = _may(similarity, n[:, None], m[None, :], p[:, None], q[None, :]) & (g[:, None] != h[None, :])
-    if np.shares_memory(node, other):
-        may &= np.arange(len(node))[:, None] < np.arange(len(other))[None, :]
-    i, j = np.nonzero(may)
-    return node[i], other[j], n[i], m[j]
-
-
-def _met(similarity: float, found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(a, b, times, needed) of the pairs found: how often they met, and how many prefix shingles they must share.
-
-    Of its prefix of p shingles a text may lack those that the two do not share, n less what they share at least.
-    """
-    a, b, n, m = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 4))
-    pairs, first, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True, return_counts=True)
-    n, m = n[first], m[first]
-    prefix = lambda k: k - np.ceil(similarity * k - 1e-6) + 1
-    needed = np.ceil(np.minimum(prefix(n) - n, prefix(m) - m) + _least(similarity, n, m) - 1e-6)
-    return pairs[:, 0], pairs[:, 1], times.astype(np.int64), np.maximum(needed, 1).astype(np.int64)
-
-
-_ROW = ("s", "node", "n", "pos", "label")
-
-
-def _scan_prefixes(similarity: float):
-    """Over rows (s, node, n, pos, label) sorted by s: as rows without s the pairs (a, b, times, needed) that may be similar; large buckets' rows as they are."""
-
-    def rows(s: np.ndarray | None, *columns: np.ndarray) -> pa.RecordBatch:
-        given = [pa.nulls(len(columns[0]), pa.int64()) if s is None else pa.array(s, pa.int64())]
-        return pa.record_batch([*given, *(pa.array(c, pa.int64()) for c in columns)], list(_ROW))
-
-    def within(x: list[np.ndarray], cut: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """The pairs of buckets of size rows from cut on: of small ones by size, of the others one by one."""
-        node, n, pos, label = x
-        for m in np.unique(size[size <= 8]).tolist():
-            i, j = np.triu_indices(m, 1)
-            of = cut[size == m]
-            for at in range(0, len(of), 4096):
-                part = of[at : at + 4096, None]
-                a, b = (part + i).ravel(), (part + j).ravel()
-                may = _may(similarity, n[a], n[b], pos[a], pos[b]) & (label[a] != label[b])
-                yield node[a[may]], node[b[may]], n[a[may]], n[b[may]]
-        for at, m in zip(cut[size > 8].tolist(), size[size > 8].tolist()):
-            own = [c[at : at + m] for c in x]
-            for k in range(0, m, 64):
-                yield _may_all(similarity, [c[k : k + 64] for c in own], [c[k:] for c in own])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large, found, n_found = None, None, [], 0
-
-        for batch in _with_end(batches):
-            if batch is not None and batch.num_rows:
-                now = [batch.column(c).to_numpy() for c in range(5)]
-                held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            if held is None or (batch is not None and len(held[0]) < 65_536):
-                continue
-            s, label = held[0], held[4]
-            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            size = np.diff(np.r_[cut, len(s)])
-            # The last bucket may go on in the next batch. Once a bucket is large its rows go out as they come.
-            whole = len(cut) - (batch is not None)
-            big = size > LARGE
-            big[0] |= large is not None and bool(s[0] == large)
-            for k in np.flatnonzero(big).tolist():
-                yield rows(*(c[cut[k] : cut[k] + size[k]] for c in held))
-            mixed = ~big & (np.minimum.reduceat(label, cut) != np.maximum.reduceat(label, cut))
-            mixed[whole:] = False
-            for pairs in within(held[1:], cut[mixed], size[mixed]):
-                found.append(pairs)
-                n_found += len(pairs[0])
-                if n_found >= 200_000:
-                    yield rows(None, *_met(similarity, found))
-                    found, n_found = [], 0
-            large = s[-1] if batch is not None and big[-1] else None
-            held = None if whole == len(cut) or big[-1] else [c[cut[-1] :] for c in held]
-        yield rows(None, *_met(similarity, found))
-
-    return scan
-
-
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    """The batches, and None after the last."""
-    yield from batches
-    yield None
-
-
-def _block_pairs(similarity: float):
-    """Of a large bucket's two blocks (side, node, n, pos, label): the pairs (a, b, times, needed) that may be similar."""
-
-    def run(t: pa.Table) -> pa.Table:
-        first = t.column("side").to_numpy() == t.column("i").to_numpy()
-        x = [t.column(c).to_numpy() for c in _ROW[1:]]
-        one, two = [c[first] for c in x], [c[~first] for c in x]
-        alike = not len(two[0])
-        found = [_may_all(similarity, [c[at : at + 64] for c in one], [c[at:] for c in one] if alike else two) for at in range(0, len(one[0]), 64)]
-        return pa.table(dict(zip(("a", "b", "times", "needed"), map(pa.array, _met(similarity, found)))))
-
-    return run
-
-
-def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, n_shingles, prefix, label) of different labels that share a prefix shingle and may be similar.
-
-    Similar sets share shingles of their prefixes, as many as their sizes demand, so no similar pair is left out. Large
-    buckets are dealt in blocks by number of shingles; blocks too far apart for the similarity do not meet.
-    """
-    rows = nodes.select("node", F.col("n_shingles").cast("long").alias("n"), "label", F.posexplode("prefix").alias("pos", "s")).select("s", "node", "n", F.col("pos").cast("long"), "label")
-    rows = rows.repartition(partitions(nodes.sparkSession), "s").sortWithinPartitions("s")
-    met = written(rows.mapInArrow(released(_scan_prefixes(similarity)), "s long, node long, n long, pos long, label long"), "met")
-    pairs, large = met.where("s is null").select(F.col("node").alias("a"), F.col("n").alias("b"), F.col("pos").alias("times"), F.col("label").alias("needed")), met.where("s is not null")
-    if not large.isEmpty():
-        placed = positioned(large, [F.col("s"), F.col("n"), F.col("node")], "at").withColumn("block", F.floor(F.col("at") / LARGE))
-        placed = written(placed, "large")
-        spans = placed.groupBy("s", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        i, j = spans.select("s", F.col("block").alias("i"), F.col("hi").alias("most")), spans.select("s", F.col("block").alias("j"), F.col("lo").alias("least"))
-        two = i.join(j, "s").where((F.col("i") <= F.col("j")) & (F.col("most") >= F.lit(similarity) * F.col("least") - 1e-6))
-        sides = two.select("s", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        each = sides.join(placed, ["s", "block"]).withColumnRenamed("block", "side")
-        pairs = pairs.unionByName(each.groupBy("s", "i", "j").applyInArrow(_block_pairs(similarity), "a long, b long, times long, needed long"))
-    counted = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("needed").alias("needed"))
-    out = written(counted.where("times >= needed").select("a", "b"), "pairs")
-    forget(met)
-    return out
-
-
-def _block_links(similarity: float):
-    """Of the texts of two blocks (i, j, block, node, shingles) a forest of all links between them, each compared exactly."""
-
-    def run(t: pa.Table) -> pa.Table:
-        node = t.column("node").to_numpy()
-        lists = t.column("shingles").combine_chunks()
-        n, values = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
-        _, column, times = np.unique(values, return_inverse=True, return_counts=True)
-        row, shared = np.repeat(np.arange(len(n)), n), np.zeros((len(n), len(n)), np.float32)
-        # A shingle of one text adds to no pair; the others are counted so many columns at a time.
-        number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
-        order = np.argsort(number, kind="stable")
-        number, row = number[order], row[order]
-        for at in range(0, int(number.max(initial=-1)) + 1, 4096):
-            lo, hi = np.searchsorted(number, [at, at + 4096])
-            part = np.zeros((len(n), 4096), np.float32)
-            part[row[lo:hi], number[lo:hi] - at] = 1
-            shared += part @ part.T
-        union = n[:, None] + n[None, :] - shared
-        near = (union == 0) | (shared >= similarity * union - 1e-9)
-        links, rest = [], np.ones(len(n), bool)
-        for first in range(len(n)):
-            queue = deque([first] if rest[first] else [])
-            rest[first] = False
-            while queue:
-                x = queue.popleft()
-                found = np.flatnonzero(near[x] & rest)
-                rest[found] = False
-                links += [(node[x], node[y]) for y in found]
-                queue.extend(found.tolist())
-        a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join all those of the pairs whose texts are similar; others that are similar may be among them.
-
-    Texts that pairs hold together stand together in blocks, and blocks with a pair between them are compared, so that
-    a text's shingles move about once per block that its own meets, however many pairs it is in.
-    """
-    groups = connected_components(pairs)
-    held = groups.join(nodes.select("node", "least", "n_shingles"), "node")
-    held = positioned(held, [F.col("root"), F.col("n_shingles"), F.col("node")], "pos")
-    size = F.greatest(F.ceil(F.log2(F.greatest(F.col("n_shingles"), F.lit(SET)) / SET)), F.lit(0))
-    rows = F.greatest(F.floor(F.lit(BLOCK) / F.pow(F.lit(2.0), size)), F.lit(1))
-    block = (size * F.lit(1 << 48) + F.floor(F.col("pos") / rows)).cast("long")
-    held = written(held.select("node", "least", block.alias("block")), "blocks")
-    at = lambda c: held.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}"))
-    both = pairs.join(at("a"), "a").join(at("b"), "b")
-    met = both.select(F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j")).distinct()
-    sides = written(met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "sides")
-    wanted = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
-    own = texts.join(wanted, (texts["own"] == held["node"]) & texts["doc_id"].eqNullSafe(held["least"]))
-    sets = written(own.select("block", "node", "t").mapInArrow(released(_shingled), "block long, node long, shingles array<long>"), "shingles")
-    out = written(sides.join(sets, "block").groupBy("i", "j").applyInArrow(_block_links(similarity), "a long, b long"), "links")
-    forget(groups, held, sides, sets)
-    return out
-
-
 def _fingerprints(similarity: float, common: np.ndarray):
     """Over rows (doc_id, key, t): doc_id, key, SimHash of the different words, number of shingles and prefix."""
 
@@ -486,41 +233,29 @@ def _fingerprints(similarity: float, common: np.ndarray):
             for at in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(at, AT_ONCE)
                 texts = batch.column(2).to_pylist()
-                found = [_shingle_hashes(words_of(t)) for t in texts]
+                found = [setjoin.shingle_hashes(words_of(t), SHINGLE) for t in texts]
                 fp = pa.array(np.array([simhash_of_words(t) for t in texts], np.uint64).view(np.int64))
-                sizes, prefixes = pa.array([len(x) for x in found], pa.int32()), pa.array([_prefix(x, common, similarity) for x in found], pa.list_(pa.int64()))
+                sizes, prefixes = pa.array([len(x) for x in found], pa.int32()), pa.array([setjoin.prefix(x, common, similarity) for x in found], pa.list_(pa.int64()))
                 yield pa.record_batch([batch.column(0), batch.column(1), fp, sizes, prefixes], ["doc_id", "key", "fp", "n_shingles", "prefix"])
 
     return run
 
 
-def _node(key: Column) -> Column:
-    """The first 64 bits of an MD5."""
-    half = lambda at: F.conv(F.substring(key, at, 8), 16, 10).cast("long")
-    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
-
-
 def _superfluous(docs: DataFrame, radius: int, similarity: float, doc_id: str, held: Column) -> tuple[DataFrame, DataFrame]:
     """(id, key) of the rows that go, and of those that repeat in both; id is doc_id as text and key the MD5 of the text."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.md5(held).alias("key"), held.alias("t"))
     rows = texts.select("doc_id", "key")
     schema = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *_parse_datatype_string("key string, fp long, n_shingles int, prefix array<long>").fields])
-    told = texts.mapInArrow(released(_fingerprints(similarity, _common_shingles(texts))), schema)
+    told = texts.mapInArrow(released(_fingerprints(similarity, setjoin.common_shingles(texts, SHINGLE))), schema)
     nodes = told.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("fp", "n_shingles", "prefix")])
-    nodes = written(nodes.withColumn("node", _node(F.col("key"))), "nodes")
-    own = texts.select("doc_id", _node(F.col("key")).alias("own"), "t")
-    # Of each fingerprint one text stands for it; the others are compared with that one.
+    # The number is given once, when the table is written.
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Of each fingerprint one text stands for it; links between fingerprints are links between those, and the others are linked with theirs.
     values = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "values")
     value = lambda c: values.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c))
     near = links_within(values, radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(value("a"), "fp_a").join(value("b"), "fp_b").select("a", "b")
     same = nodes.select("node", "fp").join(values, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    links = _verified(written(near.unionByName(same).distinct(), "near"), nodes, own, similarity)
-    labels = connected_components(links)
-    labelled = nodes.select("node", "n_shingles", "prefix").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    pairs = _candidates(labelled, similarity)
-    if not pairs.isEmpty():
-        links = links.unionByName(_verified(pairs, nodes, own, similarity))
-    roots = connected_components(links)
+    roots = setjoin.joined(written(near.unionByName(same).distinct(), "near"), nodes, texts, setjoin.Rule(SHINGLE, similarity, LARGE, BLOCK))
     group = written(nodes.join(roots, "node", "left").select("key", "node", "least", "n", F.coalesce("root", "node").alias("root")), "groups")
     order = F.struct(F.col("least").isNull(), "least", "node")
     best = written(group.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.node").alias("stays")), "best")
