@@ -7,12 +7,14 @@ its first and after its last separator is stitched to its neighbours by a prefix
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -38,11 +40,24 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
+#: Runs of so many blanks are more than the library's own search for words can take; texts with one are cut into words here.
+BLANKS = re.compile(r"\s{5000}")
+_WORDS = regex.compile(PATTERN)
+
+
+def token_ids(encoding, text: str) -> list[int]:
+    """The ids of the whole text, as the library has them; with a long run of blanks word by word, which is the same."""
+    if not BLANKS.search(text):
+        return encoding.encode_ordinary(text)
+    return [i for m in _WORDS.finditer(text) for i in encoding._encode_single_piece(m.group().encode("utf-8", "surrogatepass"))]
+
+
 def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, width: int = WIDTH) -> DataFrame:
     """Writes a flat token file per task; (path, n_bytes, ordinal, doc_id) of every document, in the order of its file.
 
     The table says which files count and whose turn it is in them, but neither where nor how long a document is.
-    A null text is empty: its document is just the separator.
+    A null text is empty: its document is just the separator. Texts of any length count as a whole, whatever they are made of; a text's ids are
+    in memory once. Rows that repeat, or share or lack an id, are documents of their own; columns other than the two named are not read; no rows, no files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +68,7 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
                 system, name, uri = new_file(folder, ".bin")
                 out = system.open_output_stream(name)
             for doc, value in zip(batch.column(0), batch.column(1)):
-                out.write(np.array([*encoding.encode_ordinary(value.as_py() or ""), END], kind).tobytes())
+                out.write(np.array([*token_ids(encoding, value.as_py() or ""), END], kind).tobytes())
                 done.append(doc.as_py())
         if out is not None:
             out.close()
