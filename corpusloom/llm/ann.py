@@ -29,11 +29,15 @@ SLAB = 1024
 _ROWS = 64
 
 
-def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>, dim) of the vectors that are not null, zero or empty and have finite components only; null ids go too."""
+def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", is_query: Column | None = None) -> DataFrame:
+    """(vec_id, v array<double>, query, dim) of the vectors that are not null, zero or empty and have finite components only; null ids go too."""
     v = F.col(embedding).cast("array<double>")
+    # Whether a row is a query is told by its own columns, whatever they are called.
+    query = F.lit(False) if is_query is None else F.coalesce(is_query, F.lit(False))
+    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), query.alias("query"))
+    v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    rows = own.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     return rows.where(finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
@@ -72,10 +76,10 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([*part.columns[:4], pa.array([data[i : i + dim] for i in range(0, len(data), dim)], pa.binary()), *map(pa.array, (scale, norm, error))], ["n", "vec_id", "dim", "query", "code", "scale", "norm", "error"])
 
 
-def tile(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+def tile(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int, known: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(query's row, candidate's row, lower, upper) of the pairs that may be among a query's k nearest in the tile.
 
-    q and c are (vec_id, codes, scale, norm of the coded vector, norm of what coding leaves).
+    q and c are (vec_id, codes, scale, norm of the coded vector, norm of what coding leaves); known has what k others reach at least, for each query.
     """
     qid, q8, qs, qn, qe = q
     cid, c8, cs, cn, ce = c
@@ -89,7 +93,7 @@ def tile(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int) -> Iterat
         error = qe[rows, None] * cn[None, :] + (qn[rows, None] + qe[rows, None]) * ce[None, :] + 1e-6
         near[cid[None, :] == qid[rows, None]] = -np.inf
         n = min(k, len(cid))
-        floor = -np.partition(error - near, n - 1, axis=1)[:, n - 1]
+        floor = np.maximum(-np.partition(error - near, n - 1, axis=1)[:, n - 1], known[rows])
         i, j = np.nonzero((near + error >= floor[:, None]) & (near > -np.inf))
         yield at + i, j, near[i, j] - error[i, j], near[i, j] + error[i, j]
 
@@ -104,7 +108,8 @@ def _tiles(k: int):
         number, found = t["n"].to_numpy(), []
         q, c = tuple(x[is_q] for x in columns), tuple(x[~is_q] for x in columns)
         if len(q[0]) and len(c[0]):
-            found = [(number[is_q][i], q[0][i], number[~is_q][j], low, high) for i, j, low, high in tile(q, c, k)]
+            known = t["floor"].to_numpy()[is_q]
+            found = [(number[is_q][i], q[0][i], number[~is_q][j], low, high) for i, j, low, high in tile(q, c, k, known)]
         out = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, d) for d in (np.int64, np.int64, np.int64, float, float)]
         return pa.table(dict(zip(("q", "query_id", "c", "lower", "upper"), map(pa.array, out))))
 
@@ -150,8 +155,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     vectors: no rows. Columns other than the two named count for is_query alone.
     """
     spark = vectors.sparkSession
-    v = written(usable(vectors, vec_id, embedding).withColumn("n", F.monotonically_increasing_id()), "vectors")
-    coded = v.select("n", "vec_id", "dim", F.coalesce(is_query, F.lit(False)).alias("query"), "v")
+    v = written(usable(vectors, vec_id, embedding, is_query).withColumn("n", F.monotonically_increasing_id()), "vectors")
+    coded = v.select("n", "vec_id", "dim", "query", "v")
     coded = written(coded.mapInArrow(_coded, "n long, vec_id long, dim int, query boolean, code binary, scale double, norm double, error double"), "codes")
     queries = coded.where("query").dropDuplicates(["vec_id"])
     # Of equal vectors only the first in the order of ids can be among a query's k: k rows of an id, and 2 k in all, so that k are left without the query's own.
@@ -166,11 +171,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     block = lambda n: F.pmod(F.xxhash64("n", F.lit(7)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = [F.col(c) for c in ("n", "vec_id", "code", "scale", "norm", "error")]
-    q = queries.select("dim", block(nq).alias("qb"), every(nc).alias("cb"), F.lit(True).alias("query"), *held)
-    c = others.select("dim", every(nq).alias("qb"), block(nc).alias("cb"), F.lit(False).alias("query"), *held)
-    found = written(q.unionByName(c).groupBy("dim", "qb", "cb").applyInArrow(_tiles(k), "q long, query_id long, c long, lower double, upper double"), "survivors")
-    # Over all tiles of a query the k-th best lower bound drops more of them.
-    kth = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("lower")))).where(F.col("place") == k).select("q", F.col("lower").alias("floor"))
+    lowest = F.lit(float("-inf"))
+
+    def survivors(asked: DataFrame, first: int, stop: int) -> DataFrame:
+        """The pairs that survive in the tiles with blocks of candidates from first to stop."""
+        q = asked.select("dim", block(nq).alias("qb"), F.explode(F.sequence(F.lit(first), F.lit(stop - 1))).alias("cb"), F.lit(True).alias("query"), "floor", *held)
+        c = others.select("dim", every(nq).alias("qb"), block(nc).alias("cb"), F.lit(False).alias("query"), lowest.alias("floor"), *held).where(F.col("cb").between(first, stop - 1))
+        return written(q.unionByName(c).groupBy("dim", "qb", "cb").applyInArrow(_tiles(k), "q long, query_id long, c long, lower double, upper double"), "survivors")
+
+    # What k pairs of a query reach at least; below it no other pair counts. The first block of candidates tells enough to keep the others' survivors few.
+    def reached(found: DataFrame) -> DataFrame:
+        return found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("lower")))).where(F.col("place") == k).select("q", F.col("lower").alias("floor"))
+
+    found = survivors(queries.withColumn("floor", lowest), 0, 1)
+    if nc > 1:
+        asked = queries.join(reached(found).withColumnRenamed("q", "n"), "n", "left").withColumn("floor", F.coalesce("floor", lowest))
+        found = found.unionByName(survivors(asked, 1, nc))
+    kth = reached(found)
     left = found.join(kth, "q", "left").where("floor is null or upper >= floor").select("q", "query_id", "c")
 
     @F.pandas_udf("double")
