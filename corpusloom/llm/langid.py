@@ -1,7 +1,7 @@
 """Language identification by hierarchical discrimination.
 
-First a linear model tells the language families apart, then one-versus-one linear support vector
-machines separate the languages within the family. Features are hashed character n-grams of one to
+First a linear machine for each family (one against all others) tells the language families apart, then
+one-versus-one linear support vector machines separate the languages within the family. Machines are fitted by the executors. Features are hashed character n-grams of one to
 three code points over the whole text, in lower case and with runs of other characters than letters
 as one space; a text's vector is the mean over its n-grams.
 """
@@ -9,7 +9,7 @@ as one space; a text's vector is the mean over its n-grams.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -22,10 +22,10 @@ from corpusloom.llm.common import fresh, released, table
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 14
-#: The classifiers learn from about so many documents of each language at most (a bounded sample, chosen by hash).
+#: The classifiers learn from about so many documents of each language at most (a bounded sample, chosen by hash), ...
 SAMPLE_PER_LANGUAGE = 800
-#: Only so many languages are learned, those with most rows (by name where they have as many).
-LANGUAGES = 200
+#: ... and from about so many in all: where there are many languages, from fewer of each, but of every one.
+SAMPLE = 64_000
 #: Texts are turned into features in pieces of so many code points, so that a very long one needs little memory.
 PIECE = 1 << 18
 #: Families of languages by ISO 639-1 code; a language that is not here is a family of its own.
@@ -107,15 +107,15 @@ def fit_svm(x: list[Vector], y: np.ndarray, rounds: int = 25, c: float = 1.0) ->
 
 @dataclass
 class Model:
-    """Families by one-versus-one machines, then languages within each family by theirs."""
+    """Families by machines of one against all others, then languages within each family by one-versus-one machines."""
 
     families: list[str]
     languages: dict[str, list[str]]
-    top: list[tuple[int, int, Svm]]
+    top: list[Svm]
     within: dict[str, list[tuple[int, int, Svm]]]
 
     def machines(self) -> list[Svm]:
-        return [m for _, _, m in self.top] + [m for f in self.families for _, _, m in self.within[f]]
+        return self.top + [m for f in self.families for _, _, m in self.within[f]]
 
     def stacked(self) -> np.ndarray:
         m = self.machines()
@@ -123,16 +123,25 @@ class Model:
 
     def decide(self, sums: np.ndarray) -> tuple[str, float]:
         """From the machines' mean sums without bias: the language, and the product of the winners' shares."""
-        at, score, names, pairs = 0, 1.0, self.families, self.top
+        names, first = self.families, len(self.top)
         margins = [float(s) + m.bias for s, m in zip(sums, self.machines())]
-        family, share = _vote(len(names), pairs, margins[: len(pairs)])
-        score *= share
-        at = len(pairs) + sum(len(self.within[f]) for f in names[:family])
+        family, score = _winner(len(names), self.top, margins[:first])
+        at = first + sum(len(self.within[f]) for f in names[:family])
         pairs = self.within[names[family]]
         lang, share = _vote(len(self.languages[names[family]]), pairs, margins[at : at + len(pairs)])
         return self.languages[names[family]][lang], min(max(score * share, 0.0), 1.0)
 
 
+def _winner(n: int, machines: list[Svm], margins: list[float]) -> tuple[int, float]:
+    """The class with the largest margin (ties: the first) and its sigmoid; of two classes one machine tells both."""
+    if n == 1:
+        return 0, 1.0
+    if n == 2:
+        margins, machines = [margins[0], -margins[0]], [machines[0]] * 2
+    best = max(range(n), key=lambda k: (margins[k], -k))
+    return best, float(1 / (1 + np.exp(-np.clip(machines[best].slope * margins[best], -50, 50))))
+
+
 def _vote(n: int, pairs: list[tuple[int, int, Svm]], margins: list[float]) -> tuple[int, float]:
     """The class with the most pairwise wins (ties: the larger sum of margins, then the first), and its mean sigmoid."""
     if n == 1:
@@ -149,22 +158,30 @@ def _vote(n: int, pairs: list[tuple[int, int, Svm]], margins: list[float]) -> tu
     return best, float(share[best] / (n - 1))
 
 
-def fit(sample: list[tuple[Vector, str]]) -> Model:
-    """A model of the languages in the sample; of an empty sample a model without any."""
-    langs = sorted({lang for _, lang in sample})
+def _jobs(langs: list[str]) -> tuple[list[str], dict[str, list[str]], list[tuple[list[str], list[str]]]]:
+    """Families, their languages, and for each machine the languages that count for it and those against."""
     families = sorted({family_of(x) for x in langs})
-    labels = np.array([lang for _, lang in sample], object)
-    of = np.array([family_of(lang) for lang in labels], object)
+    languages = {f: [x for x in langs if family_of(x) == f] for f in families}
+    one = families if len(families) > 2 else families[: len(families) - 1]
+    jobs = [(languages[f], [x for x in langs if family_of(x) != f]) for f in one]
+    return families, languages, jobs + [([own[i]], [own[j]]) for own in languages.values() for i, j in combinations(range(len(own)), 2)]
 
-    def pairwise(names: list[str], by: np.ndarray) -> list[tuple[int, int, Svm]]:
-        out = []
-        for i, j in combinations(range(len(names)), 2):
-            rows = np.flatnonzero((by == names[i]) | (by == names[j]))
-            out.append((i, j, fit_svm([sample[r][0] for r in rows], np.where(by[rows] == names[i], 1, -1))))
-        return out
 
-    languages = {f: [x for x in langs if family_of(x) == f] for f in families}
-    return Model(families, languages, pairwise(families, of), {f: pairwise(languages[f], labels) for f in families})
+def _fitted(sample: list[tuple[Vector, str]], job: tuple[list[str], list[str]]) -> Svm:
+    sides = {x: 1 for x in job[0]} | {x: -1 for x in job[1]}
+    rows = [(x, sides[lang]) for x, lang in sample if lang in sides]
+    return fit_svm([x for x, _ in rows], np.array([y for _, y in rows]))
+
+
+def fit(sample: list[tuple[Vector, str]], over: Callable | None = None) -> Model:
+    """A model of the languages in the sample; of an empty sample a model without any. over(jobs) may fit the machines elsewhere."""
+    families, languages, jobs = _jobs(sorted({lang for _, lang in sample}))
+    machines = over(jobs) if over else [_fitted(sample, j) for j in jobs]
+    n_top = len(families) if len(families) > 2 else max(len(families) - 1, 0)
+    top, rest, within = machines[:n_top], iter(machines[n_top:]), {}
+    for f in families:
+        within[f] = [(i, j, next(rest)) for i, j in combinations(range(len(languages[f])), 2)]
+    return Model(families, languages, top, within)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -178,27 +195,50 @@ def _unpacked(data: bytes) -> Vector:
 
 
 def train(labelled: DataFrame, key: Column, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learns from about per_language rows of each language, chosen by the hash of key, and the LANGUAGES most frequent languages.
+    """Learns from about per_language rows of each language, or as many as SAMPLE allows to each, chosen by the hash of key.
 
-    Rows with a null lang or text or without a letter are left out. Features are made by the executors, of whole texts however
+    Every language that occurs is learned; the model has 64 KB for each family and for each two languages of one. Rows with a null lang
+    or text or without a letter are left out. Features are made by the executors, of whole texts however
     long; the driver gets at most twice the asked number of vectors, first ones in the order of their hash, each of at most
-    DIMENSIONS entries. Rows that repeat are learned as often as they are chosen; no rows give a model without languages.
+    DIMENSIONS entries, and shares them with the executors, which fit a machine each. Rows that repeat are learned as often as they are
+    chosen; no rows give a model without languages.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(key.cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    n = counts.count()
+    if not n:
         return fit([])
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n) * 2**31)) for k, n in counts.items()])
+    each = min(per_language, max(SAMPLE // n, 1))
     hashed = F.pmod(F.xxhash64("key"), F.lit(2**31))
-    chosen = rows.withColumn("hash", hashed).where(F.col("hash") < share)
+    # A row for each language.
+    chosen = rows.join(F.broadcast(counts), "lang").withColumn("hash", hashed).where(F.col("hash") < F.least(F.lit(1.0), F.lit(float(each)) / F.col("count")) * 2**31)
 
     @F.arrow_udf("binary")
     def vector(texts: pa.Array) -> pa.Array:
         return pa.array([_packed(features(t.as_py())) for t in texts], pa.binary())
 
-    got = chosen.select("hash", "key", "lang", vector("text").alias("v")).orderBy("hash", "key", "lang", "v").limit(2 * per_language * len(counts)).collect()
-    got.sort(key=lambda r: (r["lang"], r["key"] or "", bytes(r["v"])))
-    return fit([(_unpacked(bytes(r["v"])), r["lang"]) for r in got if len(r["v"])])
+    got = chosen.select("hash", "key", "lang", vector("text").alias("v")).orderBy("hash", "key", "lang", "v").limit(2 * each * n).collect()
+    got = sorted((r["lang"], r["key"] or "", bytes(r["v"])) for r in got)
+    packed = [(v, lang) for lang, _, v in got if v]
+    held = spark.sparkContext.broadcast(packed)
+
+    def fitting(jobs: list) -> list[Svm]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sample = [(_unpacked(v), lang) for v, lang in held.value]
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    m = _fitted(sample, jobs[i])
+                    yield pa.record_batch([pa.array([i], pa.int64()), pa.array([m.weights.tobytes()]), pa.array([m.bias]), pa.array([m.slope])], ["id", "weights", "bias", "slope"])
+
+        if not jobs:
+            return []
+        told = spark.range(0, len(jobs), 1, min(len(jobs), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(released(run), "id long, weights binary, bias double, slope double").collect()
+        return [Svm(np.frombuffer(bytes(r["weights"])).copy(), r["bias"], r["slope"]) for r in sorted(told, key=lambda r: r["id"])]
+
+    model = fit([(None, lang) for _, lang in packed], fitting)
+    held.destroy()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
