@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zipfile
 from collections.abc import Callable, Mapping
+from itertools import product
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -30,14 +31,34 @@ def run_variants(variants: Mapping[str, Retriever], qrels: DataFrame, queries: D
     return done, failed
 
 
+def expanded(folder: str, matrix: Mapping[str, list[str]], paths: Mapping[str, str], options: Mapping[str, Mapping] | None = None) -> dict[str, dict[str, dict]]:
+    """Variants by name, each with its stages and their configurations: every combination of modes, generators and contexts (raw or processed).
+
+    paths has chunks_jsonl, queries_jsonl and benchmark_jsonl; options add to the configuration of a stage. Every variant has a folder of its own.
+    """
+    more, out = options or {}, {}
+    for mode, generator, contexts in product(matrix["modes"], matrix.get("generators", ["extractive"]), matrix.get("contexts", ["raw"])):
+        name = f"{mode}__{generator}__{contexts}"
+        at = lambda x, name=name: f"{folder}/{name}/{x}"
+        steps = {"retrieve": {"chunks_jsonl": paths["chunks_jsonl"], "queries_jsonl": paths["queries_jsonl"], "mode": mode, "output_jsonl": at("hits")}}
+        shown = "hits"
+        if contexts == "processed":
+            steps["process-contexts"], shown = {"input_jsonl": at("hits"), "output_jsonl": at("contexts")}, "contexts"
+        steps["generate"] = {"input_jsonl": at(shown), "generator": generator, "output_jsonl": at("answers")}
+        steps["eval-retrieval"] = {"results_jsonl": at("hits"), "benchmark_jsonl": paths["benchmark_jsonl"], "output_csv": at("retrieval_metrics")}
+        steps["eval-generation"] = {"answers_jsonl": at("answers"), "benchmark_jsonl": paths["benchmark_jsonl"], "output_csv": at("generation_metrics")}
+        out[name] = {k: {**v, **more.get(k, {})} for k, v in steps.items()}
+    return out
+
+
 def write_report(folder: str, done: list[dict], failed: dict[str, str]) -> Path:
     """summary.json and summary.md in the folder, and both in bundle.zip."""
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
     (out / "summary.json").write_text(json.dumps({"variants": done, "failed": failed}, indent=2))
-    names = list(done[0]) if done else ["variant"]
+    names = list(dict.fromkeys(k for row in done for k in row)) or ["variant"]
     lines = ["# Experiments", "", "| " + " | ".join(names) + " |", "|" + "-|" * len(names)]
-    lines += ["| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in row.values()) + " |" for row in done]
+    lines += ["| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in (row.get(n, "") for n in names)) + " |" for row in done]
     lines += [f"\n- failed `{name}`: {why}" for name, why in failed.items()]
     (out / "summary.md").write_text("\n".join(lines) + "\n")
     with zipfile.ZipFile(out / "bundle.zip", "w") as z:

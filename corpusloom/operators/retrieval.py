@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.sources.shared import saved
 
+#: Document frequencies of so many different grams at most are broadcast.
+BROADCAST_TERMS = 500_000
 K1, B = 1.5, 0.75
 RRF = 60.0
 
@@ -62,20 +64,23 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, okapi: bool = False) -> Da
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, k: int, n: int = 3) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine of character n-gram TF-IDF; grams that no document has count in a query's norm.
 
-    Documents are dealt by id once; their grams are then counted, weighed and summed where they are. Only document
-    frequencies are shuffled, combined before, and of a document's weights only those of asked grams leave its row.
+    Documents are dealt by id once; their grams are then counted, weighed and summed where they are. Document
+    frequencies are worked out once and sent to the documents where they are few, else joined by a shuffle; of a document's weights
+    only those of asked grams leave its row.
     """
     grams = T.char_ngrams(F.col("text"), n)
     dealt = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(grams).alias("term"))
     index = dealt.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     asked = postings(queries.withColumnRenamed("query_text", "text"), "query_id", grams).withColumnRenamed("tf", "qtf")
     total = docs.agg(F.count("*").alias("n"))
-    df = docs.select(F.explode(F.array_distinct(grams)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = saved(docs.select(F.explode(F.array_distinct(grams)).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "grams")
+    few = df.count() <= BROADCAST_TERMS
     idf = F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1
     q = asked.join(df, "term", "left").crossJoin(F.broadcast(total)).select("query_id", "term", (F.col("qtf") * idf).alias("qw"))
     qnorm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     wanted = asked.select("term").distinct().withColumn("asked", F.lit(True))
-    weighed = index.join(df.join(wanted, "term", "left"), "term").crossJoin(F.broadcast(total)).select("doc_id", "term", "asked", (F.col("tf") * idf).alias("w"))
+    known = df.join(wanted, "term", "left")
+    weighed = index.join(F.broadcast(known) if few else known, "term").crossJoin(F.broadcast(total)).select("doc_id", "term", "asked", (F.col("tf") * idf).alias("w"))
     own = F.collect_list(F.when(F.col("asked"), F.struct("term", "w")))
     rows = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), own.alias("own"))
     dots = rows.select("doc_id", "norm", F.explode("own").alias("g")).select("doc_id", "norm", "g.term", "g.w").join(q, "term")

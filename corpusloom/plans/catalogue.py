@@ -653,9 +653,12 @@ def ablation_pivot(spark, sf):
     return evaluation.ablation(rows, ["recall_3", "recall_5"], ["bm25", "tfidf"]).select("metric", F.round("bm25", 6).alias("bm25"), F.round("tfidf", 6).alias("tfidf"))
 
 
-@registered("SELECT retriever, generator, contexts, retriever || '__' || generator || '__' || contexts AS variant FROM (SELECT unnest(['bm25', 'dense', 'hybrid']) AS retriever), (SELECT unnest(['extractive', 'llm']) AS generator), (SELECT unnest(['raw', 'processed']) AS contexts)")
+@registered("WITH c AS (SELECT coalesce(lang, '') AS corpus, count(*) AS n_docs FROM documents GROUP BY 1) SELECT retriever, generator, contexts, corpus, n_docs, retriever || '__' || generator || '__' || contexts || '__' || corpus AS variant FROM c, (SELECT unnest(['bm25', 'dense', 'hybrid']) AS retriever), (SELECT unnest(['extractive', 'llm']) AS generator), (SELECT unnest(['raw', 'processed']) AS contexts)")
 def experiment_matrix(spark, sf):
-    return evaluation.experiment_matrix(spark, ["bm25", "dense", "hybrid"], ["extractive", "llm"], ["raw", "processed"])
+    """Every combination of methods for each corpus that the documents make, by language, with its size."""
+    corpora = table(spark, sf, "documents").groupBy(F.coalesce("lang", F.lit("")).alias("corpus")).agg(F.count("*").alias("n_docs"))
+    rows = corpora.crossJoin(F.broadcast(evaluation.experiment_matrix(spark, ["bm25", "dense", "hybrid"], ["extractive", "llm"], ["raw", "processed"])))
+    return rows.withColumn("variant", F.concat_ws("__", "variant", "corpus"))
 
 
 @registered(f"WITH {S.bm25(3)} SELECT query_id, rank::VARCHAR AS label, doc_id, trim(left(body, 120)) AS span_text FROM bm JOIN d USING (doc_id)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -297,16 +298,36 @@ def auto_eval_files(spark: SparkSession, c: dict, make: Callable | None = None)
 
 @stage("run-experiments")
 def experiment_files(spark: SparkSession, c: dict) -> None:
-    """folder, variants (name: stage by name with its configuration): each variant's stages in order; a failure names its stage."""
-    rows = []
-    for name, steps in c["variants"].items():
+    """folder, and variants (name: stage by name with its configuration) or matrix with chunks_jsonl, queries_jsonl, benchmark_jsonl[, options by stage].
+
+    Each variant's stages run in order; a failure names its stage and stops no other variant. The folder gets a CSV of the stages, the
+    variants' mean metrics and those by type of question, a summary and a bundle of all reports.
+    """
+    folder = c["folder"]
+    variants = c["variants"] if "variants" in c else experiments.expanded(folder, c["matrix"], c, c.get("options"))
+    rows, done, failed, by_type = [], [], {}, None
+    for name, steps in variants.items():
+        means: dict[str, object] = {"variant": name}
         for step, config in steps.items():
             try:
                 STAGES[step](spark, config)
                 rows.append((name, step, "done", ""))
+                if step in ("eval-retrieval", "eval-generation"):
+                    m = spark.read.option("header", True).option("inferSchema", True).csv(config["output_csv"])
+                    numbers = [n for n, t in m.dtypes if t in ("double", "int", "bigint") and n not in ("query_id", "variant")]
+                    means |= m.agg(*[F.avg(n).alias(n) for n in numbers]).first().asDict()
+                    if "question_type" in m.columns:
+                        group = m.groupBy(F.lit(name).alias("variant"), "question_type").agg(F.count("*").alias("n"), *[F.round(F.avg(n), 6).alias(n) for n in numbers])
+                        by_type = group if by_type is None else by_type.unionByName(group, allowMissingColumns=True)
             except Exception as e:  # a variant's own failure belongs in the report
+                failed[name] = f"{step}: {type(e).__name__}: {str(e)[:300]}"
                 rows.append((name, step, "failed", f"{type(e).__name__}: {str(e)[:300]}"))
                 break
+        done.append(means)
     summary = spark.createDataFrame(rows, "variant string, stage string, status string, error string")
-    R.write_csv(summary, f"{c['folder']}/summary_csv")
-    _report(f"{c['folder']}/summary.md", "Experiments", {"stages": summary})
+    R.write_csv(summary, f"{folder}/summary_csv")
+    bundle = experiments.write_report(folder, done, failed)
+    sections = {"stages": summary} | ({"by type": by_type} if by_type is not None else {})
+    _report(f"{folder}/stages.md", "Experiments", sections)
+    with zipfile.ZipFile(bundle, "a") as z:
+        z.write(f"{folder}/stages.md", "stages.md")

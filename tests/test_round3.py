@@ -218,3 +218,38 @@ def test_rerankers_name_themselves(spark):
     hits = spark.createDataFrame([(1, "q", 1, 0.1, "t", "x", "bm25"), (1, "q", 2, 0.2, "t", "longer", "bm25")], "query_id long, query_text string, doc_id long, score double, title string, text string, retrieval_method string")
     cross = retrieval.build_reranker("cross", make=lambda: lambda q, t: [float(len(x)) for x in t])(hits, 2).orderBy("rank").collect()
     assert [r["doc_id"] for r in cross] == [2, 1] and cross[0]["retrieval_method"] == "bm25+cross_rerank"
+
+
+def test_experiment_matrix_from_files_to_files(spark, tmp_path):
+    import zipfile
+
+    at = lambda n: str(tmp_path / n)
+    chunks = [{"chunk_id": f"c{i}", "doc_id": f"d{i}", "chunk_method": "structure", "title": f"t{i}", "text": f"Word{i} apple grows by river{i}."} for i in range(4)]
+    (tmp_path / "chunks.jsonl").write_text("\n".join(map(json.dumps, chunks)))
+    (tmp_path / "q.jsonl").write_text("\n".join(json.dumps({"query_id": f"q{i}", "query_text": f"word{i} Word{i} river{i}"}) for i in range(2)))
+    gold = [{"query_id": f"q{i}", "question": "?", "question_type": "ab"[i], "answerable": True, "gold_answer": f"Word{i} apple grows by river{i}.", "gold_evidence": [{"chunk_id": f"c{i}"}]} for i in range(2)]
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, gold)))
+    STAGES["run-experiments"](spark, {"folder": at("exp"), "matrix": {"modes": ["bm25", "wrong"], "generators": ["extractive"], "contexts": ["raw", "processed"]}, "chunks_jsonl": at("chunks.jsonl"), "queries_jsonl": at("q.jsonl"), "benchmark_jsonl": at("b.jsonl"), "options": {"retrieve": {"k": 2}}})
+    told = json.loads((tmp_path / "exp/summary.json").read_text())
+    held = {r["variant"]: r for r in told["variants"]}
+    assert set(held) == {f"{m}__extractive__{c}" for m in ("bm25", "wrong") for c in ("raw", "processed")}
+    assert all(held[f"bm25__extractive__{c}"]["mrr"] == 1.0 and held[f"bm25__extractive__{c}"]["answer_correctness"] > 0.5 for c in ("raw", "processed"))
+    assert set(told["failed"]) == {"wrong__extractive__raw", "wrong__extractive__processed"} and told["failed"]["wrong__extractive__raw"].startswith("retrieve: ValueError")
+    assert sorted(zipfile.ZipFile(tmp_path / "exp/bundle.zip").namelist()) == ["stages.md", "summary.json", "summary.md"] and "by type" in (tmp_path / "exp/stages.md").read_text()
+
+
+def test_answers_of_query_transformers(spark):
+    from corpusloom.functions import text as T
+
+    said = ['{"multi_queries": ["a", "b"], "hyde": "long"}', 'Sure: {"queries": ["c"]} done', 'no object but "x" and "y", "z", "w"', "{broken", None]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", T.transform_payload(F.col("s")).alias("p")).orderBy("i").collect()
+    assert [(r["p"]["multi_queries"], r["p"]["hyde"]) for r in got] == [(["a", "b"], "long"), (["c"], ""), (["x", "y", "z"], ""), ([], ""), ([], "")]
+
+
+def test_grams_are_joined_alike_by_either_way(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some text {i} of words {i % 3}") for i in range(12)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "text 3 of words"), (2, "none")], "query_id long, query_text string")
+    told = lambda: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in retrieval.tfidf_cosine(docs, q, 5).collect())
+    few = told()
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    assert told() == few and few
