@@ -23,10 +23,10 @@ from corpusloom.llm.words import BEYOND_ASCII, LETTERS, blanks, runs
 
 #: Terms of one automaton; languages with more have several slices.
 TERMS = 100_000
-#: Bytes of text of one language for which one more part of it is dealt out.
-SHARE = 16 << 20
+#: Bytes of text (for each slice of its language) that one part is dealt.
+SHARE = 32 << 20
 #: Entries that a task counts before it hands them on.
-HELD = 200_000
+HELD = 500_000
 #: Bytes of words that a task of the second pass hands on at once.
 HANDED = 4 << 20
 #: Terms are matches of letters and all that is not ASCII.
@@ -64,7 +64,7 @@ def _slice(term: bytes, slices: int) -> int:
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (lang, source, slices, shares, salt, text): the words of each run of a text by slice, and the share that takes them; both follow from the row alone."""
+    """Over rows (lang, source, slices, first, shares, salt, text): the words of each run of a text by slice, and the share that takes them; both follow from the row alone."""
     names = ["lang", "piece", "share", "source", "words"]
     types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
 
@@ -73,8 +73,8 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([*arrays[:4], arrays[4].cast(pa.string())], names)
 
     for batch in batches:
-        lang, source, slices, shares, salt = (batch.column(c).to_pylist() for c in range(5))
-        texts = batch.column(5).cast(pa.binary())
+        lang, source, slices, first, shares, salt = (batch.column(c).to_pylist() for c in range(6))
+        texts = batch.column(6).cast(pa.binary())
         rows, size = [], 0
         for i in range(batch.num_rows):
             for k, words in enumerate(runs(texts[i].as_py(), _TABLE)):
@@ -85,7 +85,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         parts[_slice(w, slices[i])].append(w)
                 for piece, own in parts.items():
                     if own:
-                        rows.append((lang[i], piece, (salt[i] + k) % shares[i], source[i], b" ".join(own)))
+                        rows.append((lang[i], piece, first[i] + (salt[i] + k) % shares[i], source[i], b" ".join(own)))
                         size += len(rows[-1][4])
                 if size >= HANDED:
                     yield out(rows)
@@ -140,12 +140,16 @@ def occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n) of the kept terms (lang, term) that occur in the texts of a source; docs has lang, source, text and salt, a number that tells rows apart."""
     spark = docs.sparkSession
     n = partitions(spark)
-    volume = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    plan = kept.groupBy("lang").count().join(volume, "lang")
-    plan = plan.select("lang", F.ceil(F.col("count") / TERMS).cast("int").alias("slices"), F.greatest(F.ceil(F.col("bytes") / F.col("count") * F.least("count", F.lit(TERMS)) / SHARE), F.lit(1)).cast("int").alias("shares"))
-    plan = written(plan, "plan")
-    texts = docs.join(plan, "lang").select("lang", "source", "slices", "shares", "salt", "text").mapInArrow(released(_dealt), "lang string, piece int, share int, source string, words string")
-    sliced = kept.join(plan, "lang").select("lang", "slices", "shares", "term").mapInArrow(_placed, "lang string, piece int, shares int, term string")
+    # A language's sources stand one after the other and are cut where a share is full, so that a share has few sources and a large source many shares.
+    volume = docs.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    plan = kept.groupBy("lang").agg(F.ceil(F.count("*") / TERMS).cast("int").alias("slices")).join(volume, "lang")
+    end = F.sum("bytes").over(Window.partitionBy("lang").orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
+    share = lambda at: F.floor(at / (F.lit(SHARE) * F.col("slices"))).cast("int")
+    plan = plan.withColumn("end", end).select("lang", "source", "slices", share(F.col("end") - F.col("bytes")).alias("first"), share(F.greatest(F.col("end") - 1, F.lit(0))).alias("last"))
+    plan = written(plan.select("lang", "source", "slices", "first", F.greatest(F.col("last") - F.col("first") + 1, F.lit(1)).alias("shares")), "plan")
+    whole = plan.groupBy("lang").agg(F.first("slices").alias("slices"), F.max(F.col("first") + F.col("shares")).alias("shares"))
+    texts = docs.join(plan, ["lang", "source"]).select("lang", "source", "slices", "first", "shares", "salt", "text").mapInArrow(released(_dealt), "lang string, piece int, share int, source string, words string")
+    sliced = kept.join(whole, "lang").select("lang", "slices", "shares", "term").mapInArrow(_placed, "lang string, piece int, shares int, term string")
     terms = sliced.select("lang", "piece", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("string").alias("source"), F.col("term").alias("words"))
     both = terms.unionByName(texts).repartition(n, "lang", "piece", "share").sortWithinPartitions("lang", "piece", "share", F.col("source").isNotNull())
     return both.mapInArrow(released(_recounted), "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
