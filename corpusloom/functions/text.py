@@ -220,13 +220,6 @@ def transform_payload(c: Column, most: int = 3) -> Column:
     """A struct (multi_queries, hyde) of a model's answer: those fields of its object, be it the whole or what stands between the first brace and the last; without one the strings that it quotes, `most` of them."""
     payload = json_payload(c)
     field = lambda *names: F.coalesce(*[F.from_json(F.get_json_object(payload, f"$.{n}"), "array<string>") for n in names], F.array().cast("array<string>"))
-    quoted = F.slice(F.regexp_extract_all(_text(c), F.lit(r'"([^"]+)"'), F.lit(1)), 1, most)
+    quoted = F.slice(F.regexp_extract_all(strip_reasoning(c), F.lit(r'"([^"]+)"'), F.lit(1)), 1, most)
     told = F.struct(field("multi_queries", "queries").alias("multi_queries"), F.coalesce(F.get_json_object(payload, "$.hyde"), F.get_json_object(payload, "$.passage"), F.lit("")).alias("hyde"))
     return F.when(payload.isNull(), F.struct(quoted.alias("multi_queries"), F.lit("").alias("hyde"))).otherwise(told)
-
-
-def listed_queries(c: Column, most: int = 3) -> Column:
-    """The list named queries of a model's answer; of an answer without an object the strings that it quotes, `most` of them."""
-    quoted = F.regexp_extract_all(strip_reasoning(c), F.lit(r'"([^"]+)"'), F.lit(1))
-    listed = F.from_json(F.get_json_object(json_payload(c), "$.queries"), "array<string>")
-    return F.slice(F.when(json_payload(c).isNull(), quoted).otherwise(F.coalesce(listed, F.array().cast("array<string>"))), 1, most)

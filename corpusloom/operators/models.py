@@ -110,10 +110,10 @@ def expand(queries: DataFrame, make: Callable[[], Client], n: int = 3, multi_que
     out = None
     if multi_query:
         said = complete(queries.withColumn("prompt", F.concat(F.lit(_REWRITE.format(n=n)), F.col("query_text"))), make)
-        out = said.select("query_id", F.lit("multi_query").alias("source"), F.explode(T.listed_queries(F.col("raw"), n)).alias("text"))
+        out = said.select("query_id", F.lit("multi_query").alias("source"), F.explode(F.slice(T.transform_payload(F.col("raw"), n)["multi_queries"], 1, n)).alias("text")).where(T.present(F.col("text")))
     if hyde:
         said = complete(queries.withColumn("prompt", F.concat(F.lit(_HYDE), F.col("query_text"))), make)
-        passage = said.select("query_id", F.lit("hyde").alias("source"), F.get_json_object("payload", "$.passage").alias("text")).where(T.present(F.col("text")))
+        passage = said.select("query_id", F.lit("hyde").alias("source"), T.transform_payload(F.col("raw"))["hyde"].alias("text")).where(T.present(F.col("text")))
         out = passage if out is None else out.unionByName(passage)
     return queries.select("query_id", F.lit("").alias("source"), F.lit("").alias("text")).limit(0) if out is None else out
 
@@ -126,6 +126,16 @@ def mean_pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (mean / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
+def pooled_encoder(make: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]) -> Callable[[], Encoder]:
+    """A factory of encoders from one of models that give token vectors and their mask: texts become the mean of their tokens, of length one."""
+
+    def built() -> Encoder:
+        model = make()
+        return lambda texts: mean_pooled(*model(texts))
+
+    return built
+
+
 def http_client(url: str, model: str, key: str = "", timeout: float = 60, temperature: float = 0.0) -> Callable[[], Client]:
     """A factory of clients of any chat-completions endpoint."""
 

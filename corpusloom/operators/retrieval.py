@@ -206,11 +206,12 @@ def retrieve_corpora(corpora: Mapping[str, DataFrame], variants: DataFrame, k: i
     return merge_corpora(named, k)
 
 
-def retrieve(corpora: Mapping[str, DataFrame], variants: DataFrame, mode: str, k: int, retrieve_k: int = 20, reranker: Reranker | None = None, fusion: str = "rrf", vectors: Mapping[str, DataFrame] | None = None, encoded: DataFrame | None = None) -> DataFrame:
+def retrieve(corpora: Mapping[str, DataFrame], variants: DataFrame, mode: str, k: int, retrieve_k: int = 20, reranker: Reranker | None = None, fusion: str = "rrf", vectors: Mapping[str, DataFrame] | None = None, encoded: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
     """The retrieval driver: bm25, dense, vector or hybrid over corpora (doc_id, title, text), an optional reranker, then the first k.
 
     Vectors (doc_id, v) by corpus, as `records.read_vectors` reads them of a written index, and encoded variants (query_id, variant_no, q)
-    are what mode vector searches, and hybrid in place of TF-IDF where they are given. (query_id, query_text, doc_id, title, text, score,
+    are what mode vector searches, and hybrid in place of TF-IDF where they are given. A query's own text is that of queries (query_id,
+    query_text), else of its first variant. (query_id, query_text, doc_id, title, text, score,
     rank, retrieval_method) for all queries at once.
     """
     if mode not in ("bm25", "dense", "hybrid", "vector"):
@@ -223,7 +224,8 @@ def retrieve(corpora: Mapping[str, DataFrame], variants: DataFrame, mode: str, k
     for d in corpora.values():
         rows = d.select("doc_id", "title", "text")
         held = rows if held is None else held.unionByName(rows).dropDuplicates(["doc_id"])
-    original = variants.where("variant_no = 0").select("query_id", F.col("text").alias("query_text"))
+    own = variants.where("variant_no = 0").select("query_id", F.col("text").alias("query_text"))
+    original = own if queries is None else queries.select("query_id", "query_text")
 
     def of(method: str) -> DataFrame:
         hits = retrieve_corpora(vectors if method == "vector" else bodies, variants, depth, method, retrieve_k, encoded)

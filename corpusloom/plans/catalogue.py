@@ -276,9 +276,25 @@ def short_chunk_merge(spark, sf):
     return chunking.merge_short(chunking.fixed_windows(documents(spark, sf)), 200)
 
 
-@registered()
+#: Greedy packing as a recursion over each document's sentences: pieces cover the text, so that their lengths tell where they are.
+_PACK = f"""WITH RECURSIVE {S.DOCS}, pc AS (SELECT doc_id, regexp_extract_all(body, '[^.!?;\n]+[.!?;\n]?|[.!?;\n]') AS p FROM d),
+po AS (SELECT doc_id, k, s, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM (SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS s FROM pc)),
+sp AS (SELECT doc_id, list({{'a': b - length(s), 'b': b}} ORDER BY k) AS sp FROM po WHERE trim(s) <> '' AND NOT regexp_matches(s, '^[.!?;\n]') GROUP BY doc_id),
+st(doc_id, n, i, a, b, cut) AS (
+ SELECT doc_id, 0, 1, NULL::BIGINT, NULL::BIGINT, false FROM sp
+ UNION ALL SELECT doc_id, n + 1, CASE WHEN long THEN i + 1 WHEN last >= len(sp) THEN NULL ELSE greatest(i + 1, coalesce(i - 1 + list_position(list_transform(sp[i:last], lambda x: x.a >= e - 100), true), last + 1)) END, start, e, long
+ FROM (SELECT *, CASE WHEN long THEN sp[i].b ELSE sp[last].b END AS e FROM (SELECT *, i - 1 + len(list_filter(sp[i:], lambda x: x.b - start <= 500)) AS last FROM
+  (SELECT st.doc_id, n, i, sp, sp[i].a AS start, sp[i].b - sp[i].a > 500 AS long FROM st JOIN sp USING (doc_id) WHERE i <= len(sp))))),
+ch AS (SELECT doc_id, n, a AS s, b AS e FROM st WHERE a IS NOT NULL AND NOT cut
+ UNION ALL SELECT doc_id, n, s, least(s + 500, b) FROM (SELECT doc_id, n, unnest(range(a, greatest(b - 100, a + 1), 400)) AS s, b FROM st WHERE cut)
+ UNION ALL SELECT doc_id, 1, s, least(s + 500, length(body)) FROM (SELECT doc_id, body, unnest(range(0, greatest(length(body) - 100, 1), 400)) AS s FROM d WHERE trim(body) <> '' AND doc_id NOT IN (SELECT doc_id FROM sp)))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n, s) - 1)::INT AS chunk_index, s::INT AS start_char, e::INT AS end_char, md5(trim(substr(body, s + 1, e - s))) AS digest FROM ch JOIN d USING (doc_id)"""
+
+
+@registered(_PACK)
 def chunk_sentence_pack(spark, sf):
-    return chunking.sentence_chunks(documents(spark, sf))
+    c = chunking.sentence_chunks(documents(spark, sf))
+    return c.select("doc_id", "chunk_index", "start_char", "end_char", F.md5("text").alias("digest"))
 
 
 @registered()

@@ -13,6 +13,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.presets import LATIN, ZH
 from corpusloom.operators import answers, audit, benchmark, chunking, cleaning, context, evaluation, experiments, models, retrieval
 from corpusloom.sources import records as R
+from corpusloom.sources.shared import saved
 
 Stage = Callable[[SparkSession, dict], None]
 STAGES: dict[str, Stage] = {}
@@ -96,16 +97,25 @@ def _corpora(spark: SparkSession, path) -> dict[str, DataFrame]:
 
 
 @stage("retrieve")
-def retrieve_files(spark: SparkSession, c: dict, make: Callable | None = None) -> None:
-    """chunks_jsonl, queries_jsonl, output_jsonl[, mode, k, retrieve_k, reranker, fusion, index, dimensions, report]; mode vector (and hybrid, if named) reads the index that build-dense-index has written."""
+def retrieve_files(spark: SparkSession, c: dict, make: Callable | None = None, client: Callable | None = None) -> None:
+    """chunks_jsonl, queries_jsonl, output_jsonl[, mode, k, retrieve_k, reranker, fusion, index, dimensions, multi_query, hyde, include_original, url, model, report].
+
+    Mode vector (and hybrid, if an index is named) reads the index that build-dense-index has written. multi_query (a number) and hyde ask a
+    client for variants of each query; with include_original false the query itself is asked only where there are none.
+    """
     queries = R.read_table(spark, R.QUERY, *_paths(c["queries_jsonl"])).select("query_id", "query_text")
     corpora = _corpora(spark, c["chunks_jsonl"])
-    variants, vectors, encoded = retrieval.query_variants(queries), None, None
+    generated, vectors, encoded = None, None, None
+    if c.get("multi_query") or c.get("hyde"):
+        ask = client or models.http_client(c["url"], c["model"], c.get("key", ""))
+        # A client is asked once, whatever reads the variants.
+        generated = saved(models.expand(queries, ask, c.get("multi_query", 0), bool(c.get("multi_query")), bool(c.get("hyde"))), "variants")
+    variants = retrieval.query_variants(queries, generated, c.get("include_original", True))
     if "index" in c:
         encode = make or (lambda: models.hashing_encoder(c.get("dimensions", 64)))
         vectors = {n: R.read_vectors(spark, c["index"], n).select(F.col("chunk_id").alias("doc_id"), F.col("embedding").alias("v")) for n in corpora}
         encoded = models.embed(variants, encode).select("query_id", "variant_no", F.col("embedding").alias("q"))
-    hits = retrieval.retrieve(corpora, variants, c.get("mode", "hybrid"), c.get("k", 5), c.get("retrieve_k", 20), retrieval.build_reranker(c.get("reranker", "none")), c.get("fusion", "rrf"), vectors, encoded)
+    hits = retrieval.retrieve(corpora, variants, c.get("mode", "hybrid"), c.get("k", 5), c.get("retrieve_k", 20), retrieval.build_reranker(c.get("reranker", "none")), c.get("fusion", "rrf"), vectors, encoded, queries)
     owner = R.read_table(spark, R.CHUNK, *_paths(c["chunks_jsonl"])).select("chunk_id", "doc_id")
     hits = hits.select("query_id", "rank", F.col("doc_id").alias("chunk_id"), "score", "retrieval_method", F.col("text").alias("chunk_text"), "title").join(owner, "chunk_id")
     hits = hits.select("query_id", "rank", "chunk_id", "doc_id", "score", "retrieval_method", "chunk_text", "title")

@@ -253,3 +253,46 @@ def test_grams_are_joined_alike_by_either_way(spark, monkeypatch):
     few = told()
     monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
     assert told() == few and few
+
+
+def test_expanded_queries_are_asked_once_each(spark, tmp_path):
+    chunks = [{"chunk_id": f"c{i}", "doc_id": f"d{i}", "chunk_method": "structure", "title": "t", "text": f"word{i} apple{i % 3}"} for i in range(6)]
+    (tmp_path / "chunks.jsonl").write_text("\n".join(map(json.dumps, chunks)))
+    (tmp_path / "q.jsonl").write_text(json.dumps({"query_id": "q", "query_text": "word1"}) + "\n" + json.dumps({"query_id": "r", "query_text": "word2"}))
+    at = lambda n: str(tmp_path / n)
+
+    def client():
+        def ask(prompt):
+            with open(at("asked"), "a") as f:
+                f.write("x")
+            return '{"multi_queries": ["word5", "word4"]}' if "word1" in prompt else "nothing"
+
+        return ask
+
+    base = {"chunks_jsonl": at("chunks.jsonl"), "queries_jsonl": at("q.jsonl"), "mode": "bm25", "k": 5, "multi_query": 2}
+    STAGES["retrieve"](spark, {**base, "output_jsonl": at("with")}, None, client)
+    assert len((tmp_path / "asked").read_text()) == 2
+    STAGES["retrieve"](spark, {**base, "output_jsonl": at("without"), "include_original": False}, None, client)
+    hits = lambda n: {q: sorted(r["chunk_id"] for r in records.flat_hits(records.read_table(spark, records.RESULT, at(n))).where(f"query_id = '{q}'").collect()) for q in "qr"}
+    assert hits("with") == {"q": ["c1", "c4", "c5"], "r": ["c2"]} and hits("without") == {"q": ["c4", "c5"], "r": ["c2"]}
+    told = records.read_table(spark, records.RESULT, at("without")).where("query_id = 'q'").first()
+    assert told["query_text"] == "word1"
+
+
+def test_encoders_from_token_models(spark):
+    from corpusloom.operators import models
+
+    def tokens():
+        def run(texts):
+            n = max(len(t.split()) for t in texts) if texts else 1
+            x, mask = np.zeros((len(texts), n, 2)), np.zeros((len(texts), n))
+            for i, t in enumerate(texts):
+                for j, w in enumerate(t.split()):
+                    x[i, j], mask[i, j] = ((1, 0) if w == "a" else (0, 1)), 1
+            return x, mask
+
+        return run
+
+    df = spark.createDataFrame([(1, "a a a"), (2, "b"), (3, "a b")], "doc_id long, text string")
+    got = {r["doc_id"]: [round(float(v), 4) for v in r["embedding"]] for r in models.embed(df, models.pooled_encoder(tokens)).collect()}
+    assert got == {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [0.7071, 0.7071]}
