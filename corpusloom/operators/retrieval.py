@@ -40,11 +40,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, okapi: bool = False) -> Da
     """
     own = ["doc_id", "corpus_pos"] if "corpus_pos" in docs.columns else ["doc_id"]
     split = docs.select(*own, T.tokens(F.col("text")).alias("t"))
-    stats = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     asked = postings(queries.withColumnRenamed("query_text", "text"), "query_id", T.tokens(F.col("text"))).withColumnRenamed("tf", "qtf")
     terms = asked.select("term").distinct()
-    words = split.select(*own, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    index = words.join(terms, "term", "left_semi").groupBy(*own, "dl", "term").agg(F.count("*").alias("tf"))
+    # Texts are cut once: what is kept of them are the asked terms and, as an empty term, each document's length.
+    none = docs.sparkSession.range(1).select(F.lit("").alias("term"))
+    words = split.select(*own, F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    held = saved(words.join(terms.unionByName(none), "term", "left_semi"), "terms")
+    stats = held.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    index = held.where("term != ''").groupBy(*own, "dl", "term").agg(F.count("*").alias("tf"))
     if okapi:
         df = postings(docs, "doc_id", F.array_distinct(T.tokens(F.col("text")))).groupBy("term").agg(F.count("*").alias("df"))
         raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
