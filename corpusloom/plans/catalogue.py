@@ -683,9 +683,10 @@ def citations(spark, sf):
     return context.citations(bm25_hits(spark, sf, 3).join(d, "doc_id"))
 
 
+from corpusloom.plans import files as _files  # noqa: E402
 from corpusloom.plans import further as _further  # noqa: E402
 from corpusloom.plans import more as _more  # noqa: E402
 
-for _module in (_more, _further):
+for _module in (_more, _further, _files):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -56,13 +56,21 @@ def read_lines(spark: SparkSession, *paths: str, suffix: str = ".jsonl") -> Data
     return lines.join(heads, ["path", "block"]).select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), (F.col("before") + F.col("at") - F.col("first")).alias("record_index"), "line")
 
 
-def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
-    """Raw records of .json and .jsonl files (or folders of them), with aliased fields as text and the whole record in `extra`."""
+def read_raw(spark: SparkSession, *paths: str, by_line: bool = False) -> DataFrame:
+    """Raw records of .json and .jsonl files (or folders of them), with aliased fields as text and the whole record in `extra`.
+
+    A .json file is read whole, as it may be one array or object; with by_line such files are JSON Lines too, as Spark writes
+    them, and are read in splits.
+    """
     if any(Path(p).suffix not in ("", ".json", ".jsonl") for p in paths):
         raise ValueError("only .json and .jsonl files can be read")
-    text = spark.read.option("pathGlobFilter", "*.json").text(list(paths), wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
+    rows = _parsed(read_lines(spark, *paths))
+    if by_line:
+        rows = rows.unionByName(_parsed(read_lines(spark, *paths, suffix=".json")))
+    else:
+        text = spark.read.option("pathGlobFilter", "*.json").text(list(paths), wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value")
+        rows = rows.unionByName(_records(text))
     get = lambda k: F.try_variant_get("record", f"$.{k}", "string")
-    rows = _records(text).unionByName(_parsed(read_lines(spark, *paths)))
     body = F.coalesce(F.nullif(get("contentText"), F.lit("")), get("content"))
     return rows.select(F.concat_ws(":", "source_file", F.col("record_index").cast("string")).alias("doc_id"), "source_file", "record_index", *[get(j).alias(c) for c, j in ALIASES.items()], body.alias("content_text"), F.to_json("record").alias("extra"))
 
