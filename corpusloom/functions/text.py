@@ -161,7 +161,7 @@ def question_subject(c: Column, patterns: tuple[str, ...]) -> Column:
 def split_articles(c: Column, article: str) -> Column:
     """Parts that begin with an article heading; what stands before the first is dropped."""
     inner = article.strip("()")
-    return F.regexp_extract_all(_text(c), F.lit(f"(?s)(?:{inner})(?:(?!{inner}).)*"), F.lit(0))
+    return F.regexp_extract_all(_text(c), F.lit(f"(?s)(?:{inner})(?:(?!{inner}).)*+"), F.lit(0))
 
 
 def has_citation_brackets(c: Column) -> Column:

@@ -97,6 +97,26 @@ def segments(text: str, heading: re.Pattern, levels: tuple[str, ...]) -> list[tu
     return [s for s in out if text[s[2] : s[3]].strip()]
 
 
+def sections(docs: DataFrame, preset: Preset = LATIN, text: str = "text") -> DataFrame:
+    """(doc_id, section, label, level, start_char, end_char, path, text): what `segments` finds, a row each, without Python.
+
+    A section begins with its heading. An enclosing label of level L is the last of level L or less so far, where that is of level L
+    itself. What stands before the first heading has level 0 and no path; blank sections are left out, null texts have none.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    heads = F.concat(F.array(F.lit("")), F.regexp_extract_all(t, F.lit(preset.heading), F.lit(0)))
+    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(heads.alias("head"), F.split(t, preset.heading, -1).alias("rest"))).alias("section", "s"))
+    order = Window.partitionBy("doc_id").orderBy("section")
+    level = F.coalesce(F.when(F.col("section") == 0, 0), *[F.when(F.contains("s.head", F.lit(mark)), k) for k, mark in enumerate(preset.levels, 1)], F.lit(len(preset.levels) + 1))
+    rows = rows.select("doc_id", "section", T.strip(F.col("s.head")).alias("label"), level.alias("level"), F.concat("s.head", "s.rest").alias("text"))
+    end = F.sum(F.char_length("text")).over(order)
+    last = lambda n: F.last(F.when(F.col("level").between(1, n), F.struct("level", "label")), ignorenulls=True).over(order)
+    levels = range(1, len(preset.levels) + 2)
+    rows = rows.withColumns({"start_char": (end - F.char_length("text")).cast("int"), "end_char": end.cast("int"), **{f"_{n}": last(n) for n in levels}})
+    path = F.array_compact(F.array(*[F.when(F.col(f"_{n}.level") == n, F.col(f"_{n}.label")) for n in levels]))
+    return rows.where(T.strip(F.col("text")) != "").select("doc_id", "section", "label", "level", "start_char", "end_char", path.alias("path"), "text")
+
+
 def _grouped(units: list[str], most: int) -> list[str]:
     """Units that follow one another, together up to `most`."""
     out: list[str] = []

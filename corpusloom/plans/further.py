@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.presets import LATIN
 from corpusloom.operators import benchmark, chunking, context, experiments, retrieval
 from corpusloom.plans import catalogue as C
 from corpusloom.plans import sql as S
@@ -127,6 +129,34 @@ def chunk_merge_texts(spark, sf):
     return m.select("doc_id", "chunk_index", "n_merged", F.md5("text").alias("digest"), "start_char", "end_char", F.array_join("section_path", "|").alias("path"), F.array_join("structure_labels", "|").alias("labels"))
 
 
+#: Headings of four levels in prose: a capitalised word with the mark that follows it.
+PROSE = replace(LATIN, heading=r"([A-Z][a-z]+[.,;:])", levels=(".", ",", ";"))
+
+
+@registered(
+    f"WITH h0 AS (SELECT doc_id, list_concat([''], regexp_extract_all(text, '{PROSE.heading}')) AS hs, regexp_split_to_array(text, '{PROSE.heading}') AS gs FROM documents WHERE text IS NOT NULL), "
+    "h1 AS (SELECT doc_id, generate_subscripts(hs, 1) - 1 AS section, unnest(hs) AS label, unnest(gs) AS rest FROM h0), "
+    "h2 AS (SELECT doc_id, section, label, label || rest AS text, CASE WHEN section = 0 THEN 0 WHEN contains(label, '.') THEN 1 WHEN contains(label, ',') THEN 2 WHEN contains(label, ';') THEN 3 ELSE 4 END AS level FROM h1), "
+    f"h3 AS (SELECT *, sum(length(text)) OVER w AS e, {', '.join(f'last_value(CASE WHEN level BETWEEN 1 AND {n} THEN level END IGNORE NULLS) OVER w AS v{n}, last_value(CASE WHEN level BETWEEN 1 AND {n} THEN label END IGNORE NULLS) OVER w AS x{n}' for n in range(1, 5))} FROM h2 WINDOW w AS (PARTITION BY doc_id ORDER BY section)) "
+    f"SELECT doc_id, section::INT AS section, label, level, (e - length(text))::INT AS start_char, e::INT AS end_char, concat_ws('|', {', '.join(f'CASE WHEN v{n} = {n} THEN x{n} END' for n in range(1, 5))}) AS path, md5(text) AS digest FROM h3 WHERE {S.space('text')} <> ''"
+)
+def section_paths(spark, sf):
+    """The sections between headings of all texts, with the labels that enclose each."""
+    s = chunking.sections(C.table(spark, sf, "documents"), PROSE)
+    return s.select("doc_id", "section", "label", "level", "start_char", "end_char", F.array_join("path", "|").alias("path"), F.md5("text").alias("digest"))
+
+
+@registered(
+    f"WITH a0 AS (SELECT doc_id, {S.space('text')} AS t FROM documents), a1 AS (SELECT doc_id, t, regexp_extract_all(t, '{PROSE.heading}') AS h, regexp_split_to_array(t, '{PROSE.heading}') AS g FROM a0 WHERE length(t) >= 40), "
+    f"a2 AS (SELECT doc_id, CASE WHEN len(h) = 0 THEN [t] ELSE list_transform(h, lambda x, i: x || g[i + 1]) END AS ps FROM a1), a3 AS (SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INT AS part, unnest(ps) AS raw FROM a2), a4 AS (SELECT doc_id, part, {S.space('raw')} AS text FROM a3) "
+    f"SELECT doc_id, part, nullif(regexp_extract(text, '^{PROSE.heading}', 1), '') AS label, md5(text) AS digest FROM a4 WHERE length(text) >= 40 QUALIFY row_number() OVER (PARTITION BY doc_id, left(text, 120) ORDER BY part) = 1"
+)
+def article_sections(spark, sf):
+    """All texts parted at headings as articles are, with their labels; a text without one is whole."""
+    a = chunking.articles(C.table(spark, sf, "documents"), PROSE.heading)
+    return a.select("doc_id", "part", "label", F.md5("text").alias("digest"))
+
+
 # Benchmark synthesis
 
 _SEED = "doc_id || ':' || part || ':' || next_part || ':neighbours'"
