@@ -3,11 +3,12 @@
 A text's words are encoded apart, so each worker keeps the ids of the words it has met and asks DuckDB for
 the new ones: rows of word, position and token join the merge table, and in each recursion every word's
 leftmost pair of minimum rank is contracted, until no word has such a pair. The recursion is keyed by word and
-position, so it holds one row per byte however many steps a word takes. Decoding joins each document's ids
+position, so it holds one row per byte however many steps a word takes. In a long word a step contracts all places of
+that pair from the left, as far as single steps would do so too. Decoding joins each document's ids
 with the vocabulary and puts their bytes together by an ordered aggregation.
 
 Before that, words are cut at seams: places that no token of the vocabulary can lie across, so that no
-contraction ever does. This keeps words short; a run of n bytes without a seam takes n steps of up to n rows.
+contraction ever does. This keeps words short; a run without a seam takes some steps for each different token that it is contracted to.
 """
 
 from __future__ import annotations
@@ -48,6 +49,29 @@ WITH RECURSIVE t(w, pos, tok) USING KEY (w, pos) AS (
 )
 SELECT w, string_agg(tok, ',' ORDER BY pos) AS ids FROM t WHERE tok >= 0 GROUP BY w ORDER BY w
 """
+#: Words of more bytes are encoded by ENCODE_LONG.
+LONG = 64
+#: As ENCODE, for words in which a pair of minimum rank may stand often: its places, of overlapping ones every other from the left, are
+#: contracted at once, up to the first that makes a pair of lower rank with what then stands before or after it (`first`), as single
+#: steps would turn to that pair next.
+ENCODE_LONG = """
+WITH RECURSIVE t(w, pos, tok) USING KEY (w, pos) AS (
+  SELECT w, pos, tok FROM start
+  UNION ALL
+  (WITH n AS (SELECT w, pos, tok, row_number() OVER p AS k, CASE WHEN lead(w) OVER p = w THEN lead(tok) OVER p END AS following, CASE WHEN lag(w) OVER p = w THEN lag(tok) OVER p END AS l, CASE WHEN lead(w, 2) OVER p = w THEN lead(tok, 2) OVER p END AS r FROM t WHERE tok >= 0 WINDOW p AS (ORDER BY w, pos)),
+  c AS (SELECT n.w, n.k, l, r, m.merged FROM n JOIN merges m ON n.tok * 65536::BIGINT + n.following = m.pair),
+  best AS (SELECT w, min(merged) AS merged FROM c GROUP BY w),
+  nth AS (SELECT *, k - row_number() OVER (PARTITION BY w ORDER BY k) AS run FROM c JOIN best USING (w, merged)),
+  place AS (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY k) AS i FROM nth),
+  apart AS (SELECT w, k, merged, CASE WHEN i > 1 THEN merged ELSE l END AS l, r FROM place WHERE i % 2 = 1),
+  new AS (SELECT w, k, merged, l * 65536::BIGINT + merged AS pair FROM apart UNION ALL SELECT w, k, merged, merged * 65536::BIGINT + r FROM apart),
+  first AS (SELECT new.w, min(new.k) AS last FROM new JOIN merges m ON m.pair = new.pair AND m.merged < new.merged GROUP BY new.w),
+  picked AS (SELECT k, merged FROM apart LEFT JOIN first USING (w) WHERE last IS NULL OR k <= last)
+  SELECT n.w, n.pos, CASE WHEN a.k IS NOT NULL THEN a.merged::INT WHEN b.k IS NOT NULL THEN -1 ELSE n.tok END
+  FROM n JOIN best USING (w) LEFT JOIN picked a ON a.k = n.k LEFT JOIN picked b ON b.k + 1 = n.k)
+)
+SELECT w, string_agg(tok, ',' ORDER BY pos) AS ids FROM t WHERE tok >= 0 GROUP BY w ORDER BY w
+"""
 DECODE = """
 SELECT d, unhex(array_to_string(list(v.hex ORDER BY pos), '')) AS bytes FROM encoded JOIN vocabulary v USING (id) GROUP BY d ORDER BY d
 """
@@ -115,11 +139,11 @@ class Codec:
         """The parts' ids by the recursive query, those of like length together."""
         out, part, size = {}, [], 0
         for p in [*sorted(parts, key=lambda p: (len(p), p)), None]:
-            if part and (p is None or size + len(p) > BYTES_AT_ONCE):
+            if part and (p is None or size + len(p) > BYTES_AT_ONCE or len(part[-1]) <= LONG < len(p)):
                 n, flat = np.array([len(x) for x in part]), np.frombuffer(b"".join(part), np.uint8)
                 begin = np.repeat(np.cumsum(n) - n, n)
                 self._table("start", {"w": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": (np.arange(len(flat)) - begin).astype(np.int32), "tok": self.byte[flat]})
-                out.update(zip(part, self.db.sql(ENCODE).to_arrow_table()["ids"].to_pylist()))
+                out.update(zip(part, self.db.sql(ENCODE if n[-1] <= LONG else ENCODE_LONG).to_arrow_table()["ids"].to_pylist()))
                 part, size = [], 0
             if p is not None:
                 part.append(p)
