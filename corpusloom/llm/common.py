@@ -43,14 +43,16 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str = "step") -> DataFrame:
+def written(df: DataFrame, label: str = "step", group: int | None = None) -> DataFrame:
     """df as a Parquet table in a shared folder: lineage ends there, and lost executors lose none of it.
 
     Zstandard keeps it small, and unlike the usual codec holds no direct buffers until the next collection of garbage.
+    Row groups are of `group` bytes, or of the usual size.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark, label)}/table"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.size", group) if group else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -80,6 +82,19 @@ def released(run: Callable) -> Callable:
     return whole
 
 
+@contextmanager
+def small_reads(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, rows are read from Parquet and given to Python so many at once: long ones fill a task's memory otherwise."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)))
+    try:
+        with small_batches(spark, rows):
+            yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While it lasts, Python is given so many rows at once: batches of texts are held on both sides of the pipe."""

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import forget, fresh, partitions, positioned, released, small_batches, table, written
+from corpusloom.llm.common import forget, fresh, partitions, positioned, released, small_reads, table, written
 from corpusloom.llm.words import BEYOND_ASCII, DIGITS, LETTERS, blanks, runs
 
 #: Features are hashed into so many buckets.
@@ -28,6 +28,8 @@ BUCKETS = 10_000
 RANGES = 32
 #: A chunk of documents ends with so many of them, or so many bytes.
 CHUNK_ROWS, CHUNK_BYTES = 1024, 4 << 20
+#: A row of postings has 150 KB or so: that many are read at once, and a row group ends with so many bytes.
+POSTING_ROWS, POSTING_GROUP = 64, 16 << 20
 #: Words are runs of letters, digits and all that is not ASCII.
 _TABLE = blanks(LETTERS + DIGITS + BEYOND_ASCII)
 
@@ -176,11 +178,12 @@ def weighed(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: st
     kind = docs.schema[doc_id].dataType
     n_ranges, width = _ranges(buckets)
     schema = lambda k: f"{_POSTINGS}, ids array<{k}>, n_words array<long>, n_features array<long>"
-    with small_batches(spark, 256):
-        held = written(docs.select(doc_id, text).mapInArrow(released(_postings(longest, buckets, width, to_arrow_type(kind))), schema(kind.simpleString())), "postings")
-        other = written(target.select(F.lit(0).alias("id"), target_text).mapInArrow(released(_postings(longest, buckets, width, pa.int32())), schema("int")), "target")
+    with small_reads(spark, 256):
+        held = written(docs.select(doc_id, text).mapInArrow(released(_postings(longest, buckets, width, to_arrow_type(kind))), schema(kind.simpleString())), "postings", POSTING_GROUP)
+        other = written(target.select(F.lit(0).alias("id"), target_text).mapInArrow(released(_postings(longest, buckets, width, pa.int32())), schema("int")), "target", POSTING_GROUP)
     one = lambda df, name: df.where("part >= 0").select("part", "bucket", "hits").mapInArrow(released(_totals(buckets, width)), "bucket int, n long").select("bucket", *[(F.col("n") if c == name else F.lit(0).cast("long")).alias(c) for c in "st"])
-    totals = written(one(held, "s").unionByName(one(other, "t")).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "totals")
+    with small_reads(spark, POSTING_ROWS):
+        totals = written(one(held, "s").unionByName(one(other, "t")).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "totals")
     all_s, all_t = totals.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     # A range meets its totals in every one of its slices; a range has at most `width` of them.
     n = partitions(spark)
@@ -191,7 +194,7 @@ def weighed(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: st
     info = held.where("part < 0").select("chunk", F.lit(None).cast("binary").alias("got"), "ids", "n_words", "n_features")
     both = info.unionByName(got.select("chunk", "got", *[F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("ids", "n_words", "n_features")]))
     both = both.repartition(n, "chunk").sortWithinPartitions("chunk", F.col("got").isNotNull())
-    with small_batches(spark, 256):
+    with small_reads(spark, POSTING_ROWS):
         out = written(both.mapInArrow(released(_weights(to_arrow_type(kind))), f"id {kind.simpleString()}, n_words long, n_features long, weight long"), "weights")
     forget(held, other, totals)
     return out
