@@ -11,30 +11,37 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import positioned, small_batches, table, written
+from corpusloom.llm.common import positioned, released, small_batches, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 4096
 END = 1
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
 REMEMBERED = 700_000
-#: Marks that part from a letter before them.
-MARKS = ".,;:!?"
 #: Letters that stay one letter each when the tokenizer normalises them: Latin, Greek and Cyrillic ones, but for the dotted capital I.
 PLAIN = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u024f\u0370-\u04ff]+")
+#: Bytes of ASCII letters, and of marks at which a word is cut after one: not those of "'s", which stays whole, or of special strings.
+_LETTER = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))
+_MARK = np.isin(np.arange(256), np.frombuffer(b'!"#$%&()*+,-./:;=?@[]^_{}~', np.uint8))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: Long texts are tokenised in pieces of about so many code points, cut at white space.
 PIECE = 1 << 20
+#: Bytes of shorter texts whose words are looked up at once.
+CUT = 1 << 21
+#: Words that are encoded at once: the tokenizer holds much for each letter of them.
+TOGETHER = 2_000
 
 
 class _Words:
     """Ids of whole texts, word by word.
 
     The tokenizer drops white space and neither its normaliser nor its words nor its special strings reach across
-    it, so a text's ids are those of its parts between spaces, one after the other. A special string in a text is
-    the special token, as in the library's own call.
+    it, so a text's ids are those of its parts between spaces, one after the other. Nor do its words reach from an ASCII letter to
+    a mark. It takes letters in lower case. A special string in a text is the special token, as in the library's own call.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -46,9 +53,7 @@ class _Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
-        #: The marks that may follow a word stay known.
-        self.first = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
-        self.known: dict[str, bytes] = dict(self.first)
+        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -59,46 +64,81 @@ class _Words:
             at = len(text) if cut < 0 else cut
         return b"".join(out)
 
+    def each(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column; null texts are empty. A word is looked up once for some texts, which are then put together from numbers."""
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        if not len(texts):
+            return
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        a = 0
+        while a < len(texts):
+            b = int(np.searchsorted(ends, ends[a] + CUT, "right")) - 1
+            if b > a:
+                out, stop = self._put(whole[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                for i in range(b - a):
+                    yield out[stop[i] : stop[i + 1]].tobytes()
+            else:
+                yield self.ids(texts[a].as_py().decode())
+            a = max(b, a + 1)
+
     def _ids(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        new = set(parts).difference(self.known)
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self._put(data, np.array([0, len(data)]))[0].tobytes()
+
+    def _put(self, data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The ids of texts that stand one after the other from the places `own` on, and the places of each text's ids."""
+        if not (data[:-1][data[1:] == 0x7C] == 0x3C).any():
+            # Without `<|` there is no special string, which is one as it is written alone. A letter before what may be an accent stays: some have one only in lower case.
+            data = np.where(np.append(data[1:] < 0x80, True), _LOWER[data], data)
+        held = (data != 0x20) & (data != 0x0A)
+        first = held.copy()
+        first[1:] &= ~held[:-1] | _LETTER[data[:-1]] & _MARK[data[1:]]
+        begins = own[:-1][own[:-1] < len(data)]
+        first[begins] = held[begins]
+        n_words = np.searchsorted(np.flatnonzero(first), own)
+        at = np.append(np.flatnonzero(first[held]), np.count_nonzero(held)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data[held])]).dictionary_encode()
+        ids = self._of(coded.dictionary.cast(pa.large_string()).to_pylist())
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        word = coded.indices.to_numpy()
+        n = size[word]
+        stop = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        step = ((np.cumsum(size, dtype=np.int64) - size)[word] - stop[:-1]).astype(np.int32)
+        return flat[np.repeat(step, n) + np.arange(stop[-1], dtype=np.int32)], stop[n_words].tolist()
+
+    def _of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        new = [w for w in words if w not in self.known]
         if new:
-            if len(self.known) + 2 * len(new) > self.remembered:
-                self.known = dict(self.first)
-                new = set(parts)
+            if len(self.known) + len(new) > self.remembered:
+                self.known = {}
+                new = words
             self._learn(new)
-        out = b"".join(map(self.known.__getitem__, parts))
+        out = list(map(self.known.__getitem__, words))
         if len(new) > self.remembered // 4:
-            self.known = dict(self.first)
+            self.known = {}
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """A word of plain letters, also before a mark, is one word to the tokenizer, and ends with a token that ends words.
+    def _learn(self, words: list[str]) -> None:
+        """A word of plain letters is one word to the tokenizer, and ends with a token that ends words.
 
-        So many of them can be encoded at once and told apart again; all others are encoded one by one.
+        So some of them can be encoded at once and told apart again; all others are encoded one by one.
         """
-        known = self.known
-        plain = lambda w: w.isalpha() and PLAIN.fullmatch(w)
-        marked = [w for w in words if w[-1:] in MARKS and plain(w[:-1])]
-        stems = {w for w in words if plain(w)}
-        stems.update(w[:-1] for w in marked)
-        stems = {w for w in stems if w not in known}
-        rest = words.difference(marked).difference(stems)
-        listed = list(stems)
-        ids = np.array(self.tokenizer.encode(" ".join(listed), add_special_tokens=False).ids, "<u4") if listed else np.zeros(0, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(listed):
-            data, at = ids.tobytes(), 0
-            for w, stop in zip(listed, (4 * stops).tolist()):
-                known[w] = data[at:stop]
-                at = stop
-        else:
-            rest.update(listed)
-        rest = [w for w in rest if w not in known]
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1]]
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() and PLAIN.fullmatch(w) else rest).append(w)
+        for k in range(0, len(plain), TOGETHER):
+            listed = plain[k : k + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(listed)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(listed):
+                data = ids.tobytes()
+                self.known.update(zip(listed, [data[x:y] for x, y in zip([0, *stops], stops)]))
+            else:
+                rest += listed
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 @lru_cache(1)
@@ -123,16 +163,16 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
             return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
 
         for batch in batches:
-            for doc, value in zip(batch.column(0), batch.column(1)):
-                ids = words.ids(value.as_py() or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.each(batch.column(1))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
-                    rows.append((doc.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * keep_ids))
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * keep_ids))
             yield out()
             rows.clear()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(tokenise, schema)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(released(tokenise), schema)
 
 
 def fullest(counts: dict[int, int], order: list[int], slack: int) -> dict[int, int]:
