@@ -11,15 +11,17 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import forget, partitions, released, small_batches, table, written
-from corpusloom.llm.words import BEYOND_ASCII, LETTERS, blanks, runs
+from corpusloom.llm.words import BEYOND_ASCII, LETTERS, RUN, blanks, runs
 
 #: Terms of one automaton; languages with more have several slices.
 TERMS = 100_000
@@ -31,6 +33,13 @@ HELD = 500_000
 HANDED = 4 << 20
 #: Terms are matches of letters and all that is not ASCII.
 _TABLE = blanks(LETTERS + BEYOND_ASCII)
+_BYTES = np.frombuffer(bytes(range(256)).lower().translate(_TABLE), np.uint8)
+#: Bytes of text that go past the automaton at once.
+PASSED = 1 << 16
+#: A number for each byte at each place in a term (places from 64 on have the same again); the blank after a term counts for nothing.
+_NUMBERS = np.arange(1, 64 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_NUMBERS = ((_NUMBERS ^ _NUMBERS >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
+_NUMBERS[0x20::256] = 0
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,9 +48,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def out() -> pa.RecordBatch:
-        rows = [(lang, t, n) for lang, c in held.items() for t, n in c.items()]
+        lang, terms, n = [], [], []
+        for name, c in held.items():
+            lang += [name] * len(c)
+            terms += c.keys()
+            n += c.values()
         held.clear()
-        lang, terms, n = zip(*rows) if rows else ((), (), ())
         return pa.record_batch([pa.array(lang, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "term", "df"])
 
     for batch in batches:
@@ -59,75 +71,136 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _slice(term: bytes, slices: int) -> int:
-    return xxhash.xxh64_intdigest(term, 0) % slices if slices > 1 else 0
+def _pieces(data: np.ndarray, at: np.ndarray, slices: np.ndarray) -> np.ndarray:
+    """The slice of each term, of `slices` in all, from the bytes of terms that begin at the places `at` and may have a blank after them."""
+    if not len(at):
+        return np.zeros(0, np.int32)
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(at.astype(np.int32), np.diff(np.append(at, len(data))))
+    h = np.add.reduceat(_NUMBERS[(place & 63) << 8 | data], at)
+    h = (h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B)
+    return ((h >> np.uint32(8)) % slices.astype(np.uint32)).astype(np.int32)
+
+
+def _joined(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that stand one after the other from the places `own` on: their terms, each with a blank, where each term begins, and the text that it is of."""
+    given, data = data, np.full(len(data) + len(own) - 1, 0x20, np.uint8)
+    for i, (x, y) in enumerate(zip(own[:-1].tolist(), own[1:].tolist())):
+        data[x + i : y + i] = given[x:y]
+    data = _BYTES[data]
+    held = data != 0x20
+    held[1:] |= held[:-1]
+    # A byte is kept if it is a term's or the first blank after one.
+    blank = data == 0x20
+    first = held & ~blank
+    first[1:] &= blank[:-1]
+    text = np.searchsorted(own[1:] + np.arange(1, len(own)), np.flatnonzero(first), "right")
+    return data[held], np.flatnonzero(first[held]), text
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (lang, source, slices, first, shares, salt, text): the words of each run of a text by slice, and the share that takes them; both follow from the row alone."""
-    names = ["lang", "piece", "share", "source", "words"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
 
-    def out(rows: list) -> pa.RecordBatch:
-        arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-        return pa.record_batch([*arrays[:4], arrays[4].cast(pa.string())], names)
+    def out(data: np.ndarray, at: np.ndarray, text: np.ndarray, rows: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+        size, of = np.diff(np.append(at, len(data))), rows[text]
+        piece = _pieces(data, at, slices[of])
+        for p in range(int(piece.max(initial=-1)) + 1):
+            own = piece == p
+            ends = np.cumsum(np.bincount(text[own], size[own], len(rows)).astype(np.int64))
+            some = np.flatnonzero(np.diff(ends, prepend=0))
+            if not len(some):
+                continue
+            kept = data[np.repeat(own, size)]
+            words = pa.Array.from_buffers(pa.string(), len(some), [None, pa.py_buffer(np.append(0, ends[some]).astype(np.int32)), pa.py_buffer(kept)])
+            r = rows[some]
+            share = pa.array((first[r] + (salt[r] + k) % shares[r]).astype(np.int32))
+            yield pa.record_batch([batch.column(0).take(pa.array(r)), pa.array(np.full(len(r), p, np.int32)), share, batch.column(1).take(pa.array(r)), words], ["lang", "piece", "share", "source", "words"])
 
     for batch in batches:
-        lang, source, slices, first, shares, salt = (batch.column(c).to_pylist() for c in range(6))
-        texts = batch.column(6).cast(pa.binary())
-        rows, size = [], 0
-        for i in range(batch.num_rows):
-            for k, words in enumerate(runs(texts[i].as_py(), _TABLE)):
-                parts: dict[int, list] = {0: words}
-                if slices[i] > 1:
-                    parts = defaultdict(list)
-                    for w in words:
-                        parts[_slice(w, slices[i])].append(w)
-                for piece, own in parts.items():
-                    if own:
-                        rows.append((lang[i], piece, first[i] + (salt[i] + k) % shares[i], source[i], b" ".join(own)))
-                        size += len(rows[-1][4])
-                if size >= HANDED:
-                    yield out(rows)
-                    rows, size = [], 0
-        if rows:
-            yield out(rows)
+        slices, first, shares, salt = (batch.column(c).to_numpy() for c in range(2, 6))
+        texts = pc.fill_null(batch.column(6).cast(pa.large_binary()), b"")
+        if not len(texts):
+            continue
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        a = 0
+        while a < len(texts):
+            b = int(np.searchsorted(ends, ends[a] + RUN, "right")) - 1
+            if b > a:
+                yield from out(*_joined(whole[ends[a] : ends[b]], ends[a : b + 1] - ends[a]), np.arange(a, b), 0)
+            else:
+                for k, words in enumerate(runs(texts[a].as_py(), _TABLE)):
+                    run = np.frombuffer(b" ".join(words), np.uint8)
+                    yield from out(*_joined(run, np.array([0, len(run)])), np.array([a]), k)
+            a = max(b, a + 1)
 
 
 def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (lang, piece, share, source, words) sorted so that kept terms (no source) come before the texts: (lang, source, term, n) as the automaton finds them."""
-    at, terms, found, count = None, [], None, Counter()
-    held: dict[tuple, Counter] = defaultdict(Counter)
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        rows = [(*key, t, n) for key, c in held.items() for t, n in c.items()]
-        held.clear()
-        cols = list(zip(*rows)) if rows else [()] * 4
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "source", "term", "n"])
-
+    """Over rows (lang, piece, share, source, words) sorted so that kept terms (no source) come before the texts, and these by source: (lang, source, term, n) as the automaton finds them."""
+    at, terms, found, source = None, [], None, None
+    passing: list[str] = []
+    size, hits, n_hits = 0, [], 0
+    made, n_made = [], 0
+
+    def passed() -> None:
+        nonlocal size, n_hits
+        hits.append(np.fromiter(map(itemgetter(1), found.iter(f" {' '.join(passing)} ")), np.int32))
+        n_hits += len(hits[-1])
+        passing.clear()
+        size = 0
+
+    def counted() -> None:
+        """What the texts of one source have so far, as rows."""
+        nonlocal n_hits, n_made
+        if passing:
+            passed()
+        if n_hits:
+            all_ = np.concatenate(hits)
+            if 4 * len(all_) > len(terms):
+                n = np.bincount(all_, minlength=len(terms))
+                which = np.flatnonzero(n)
+                n = n[which]
+            else:
+                which, n = np.unique(all_, return_counts=True)
+            made.append(pa.record_batch([pa.array([at[0]] * len(which), pa.string()), pa.array([source] * len(which), pa.string()), listed.take(pa.array(which)), pa.array(n, pa.int64())], ["lang", "source", "term", "n"]))
+            n_made += len(which)
+        hits.clear()
+        n_hits = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        nonlocal n_made
+        yield from pa.Table.from_batches(made).combine_chunks().to_batches() if made else ()
+        made.clear()
+        n_made = 0
+
+    listed = pa.array([], pa.string())
     for batch in batches:
-        for lang, piece, share, source, words in zip(*(c.to_pylist() for c in batch.columns)):
-            if (lang, piece, share) != at:
-                at, terms, found = (lang, piece, share), [], None
-            if source is None:
+        for lang, piece, share, own, words in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lang, piece, share) != at or own != source:
+                counted()
+                if n_made >= HELD:
+                    yield from out()
+                if (lang, piece, share) != at:
+                    at, terms, found = (lang, piece, share), [], None
+                source = own
+            if own is None:
                 terms.append(words)
                 continue
             if not terms:
                 continue
             if found is None:
-                found = ahocorasick.Automaton()
-                for t in terms:
-                    found.add_word(f" {t} ", t)
+                found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+                for i, t in enumerate(terms):
+                    found.add_word(f" {t} ", i)
                 found.make_automaton()
-            count = held[lang, source]
-            before = len(count)
-            count.update(t for _, t in found.iter(f" {words} "))
-            size += len(count) - before
-            if size >= HELD:
-                yield out()
-                size = 0
-    yield out()
+                listed = pa.array(terms, pa.string())
+            passing.append(words)
+            size += len(words)
+            if size >= PASSED:
+                passed()
+                if n_hits >= HELD:
+                    counted()
+    counted()
+    yield from out()
 
 
 def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
@@ -151,15 +224,17 @@ def occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
     texts = docs.join(plan, ["lang", "source"]).select("lang", "source", "slices", "first", "shares", "salt", "text").mapInArrow(released(_dealt), "lang string, piece int, share int, source string, words string")
     sliced = kept.join(whole, "lang").select("lang", "slices", "shares", "term").mapInArrow(_placed, "lang string, piece int, shares int, term string")
     terms = sliced.select("lang", "piece", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("string").alias("source"), F.col("term").alias("words"))
-    both = terms.unionByName(texts).repartition(n, "lang", "piece", "share").sortWithinPartitions("lang", "piece", "share", F.col("source").isNotNull())
+    both = terms.unionByName(texts).repartition(n, "lang", "piece", "share").sortWithinPartitions("lang", "piece", "share", F.asc_nulls_first("source"))
     return both.mapInArrow(released(_recounted), "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (lang, slices, shares, term): the slice of each term, as `_dealt` gives it to the term's occurrences."""
     for batch in batches:
-        slices, terms = batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()
-        piece = pa.array([_slice(t, s) for t, s in zip(terms, slices)], pa.int32())
+        terms = batch.column(3).cast(pa.large_binary())
+        ends = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1] if len(terms) else np.zeros(1, np.int64)
+        data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        piece = pa.array(_pieces(data, ends[:-1] - ends[0], batch.column(1).to_numpy()))
         yield pa.record_batch([batch.column(0), piece, batch.column(2), batch.column(3)], ["lang", "piece", "shares", "term"])
 
 
